@@ -20,8 +20,9 @@ MAIL_LINK = "mailto:[^ ]+"
 WEB_LINK = "http[^ ]+"
 MISREAD_DASH_AND_APOSTROPHE = ("\u0096\u0092", "-'")
 TITLE = r"^[^.\n]{10,120}"
-QUERY_PUNCTUATION = r"""[+()"']"""
-SKILL_SEPARATOR = "[-_ ]"
+QUERY_PUNCTUATION = """+()"'"""
+QUERY_WILDCARD = "*"
+SKILL_SEPARATORS = "-_ "
 LEADING_DIGITS = r"^[0-9]+"
 LEADING_POSTAL_CODE = r"(?U)^\d+\s+"
 FIRST_NUMBER = r"[0-9]+"
@@ -69,10 +70,10 @@ def clean_ad_text(text: Column) -> Column:
 
 def concept(skill: Column) -> Column:
     """Lower-cased tag without hyphens, underscores and blanks."""
-    return F.regexp_replace(F.lower(skill), SKILL_SEPARATOR, "")
+    return F.translate(F.lower(skill), SKILL_SEPARATORS, "")
 
 
 def search_terms(query: Column) -> Column:
     """Array of the distinct words of a query, freed of punctuation and ``*``."""
-    plain = F.replace(F.regexp_replace(query, QUERY_PUNCTUATION, " "), F.lit("*"), F.lit(""))
-    return words(F.lower(plain))
+    blanks = " " * len(QUERY_PUNCTUATION)
+    return words(F.lower(F.translate(query, QUERY_PUNCTUATION + QUERY_WILDCARD, blanks)))

@@ -33,8 +33,11 @@ def _sort_key(order: Sequence[str]) -> list[Column]:
 
 
 def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_group_rows: int,
-               sizes: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+               sizes: DataFrame | None,
+               rows_at_most: int | None) -> tuple[DataFrame, DataFrame | None]:
     """``df`` as (ordinary rows, rows of hot groups cut into parts or None)."""
+    if rows_at_most is not None and rows_at_most <= max_group_rows:
+        return df, None
     if sizes is None:
         sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     hot = sizes.where(F.col("rows") > max_group_rows)
@@ -56,12 +59,15 @@ def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gro
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   previous: dict[str, str], max_group_rows: int = MAX_GROUP_ROWS,
-                  sizes: DataFrame | None = None) -> DataFrame:
+                  sizes: DataFrame | None = None,
+                  rows_at_most: int | None = None) -> DataFrame:
     """Add ``{new column: source column}`` taken from the previous row of the group.
 
-    ``sizes`` (the keys and ``rows``) saves counting the groups once more.
+    Whether a group is hot takes a count per group. ``sizes`` (the keys and
+    ``rows``) gives it ready made; a known bound on the rows of ``df``, if below
+    the limit, makes it unnecessary.
     """
-    ordinary, cut = _split_hot(df, keys, order, max_group_rows, sizes)
+    ordinary, cut = _split_hot(df, keys, order, max_group_rows, sizes, rows_at_most)
     window = Window.partitionBy(*keys).orderBy(*_sort_key(order))
     result = ordinary.withColumns({new: F.lag(source).over(window)
                                    for new, source in previous.items()})
@@ -85,9 +91,10 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
 
 def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
                   max_group_rows: int = MAX_GROUP_ROWS,
-                  sizes: DataFrame | None = None) -> DataFrame:
+                  sizes: DataFrame | None = None,
+                  rows_at_most: int | None = None) -> DataFrame:
     """Add the 1-based position of each row in its ordered group."""
-    ordinary, cut = _split_hot(df, keys, order, max_group_rows, sizes)
+    ordinary, cut = _split_hot(df, keys, order, max_group_rows, sizes, rows_at_most)
     window = Window.partitionBy(*keys).orderBy(*_sort_key(order))
     result = ordinary.withColumn(name, F.row_number().over(window).cast("long"))
     if cut is None:

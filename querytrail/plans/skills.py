@@ -50,8 +50,8 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
     A word of separators only normalises to empty text, which stays a term.
     """
-    terms = F.array_distinct(F.transform(X.search_terms(F.col("query")), X.concept))
-    return queries.select("job_id", F.explode(terms).alias("term_clean")).distinct()
+    terms = queries.select("job_id", F.explode(X.search_terms(F.col("query"))).alias("term"))
+    return terms.select("job_id", X.concept(F.col("term")).alias("term_clean")).distinct()
 
 
 def skill_query_overlap(skills: DataFrame, queries: DataFrame) -> DataFrame:

@@ -16,21 +16,41 @@ from ..operators.ordered import with_position
 WORD_BREAK = "[ \n]+"
 
 
+# Up to this many documents a scan may give fewer tasks than there are cores.
+FEW_DOCUMENTS = 1_000_000
+
+
 class Tables:
     """The given Parquet tables of one folder."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._sizes: dict[str, int] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
+    def rows(self, name: str) -> int:
+        """Rows of a table, from the file footers alone."""
+        if name not in self._sizes:
+            self._sizes[name] = getattr(self, name).count()
+        return self._sizes[name]
 
-def _row_count(df: DataFrame) -> Column:
-    return df.agg(F.count(F.lit(1))).scalar()
+    def texts(self, *columns: str) -> DataFrame:
+        """The documents, whose text is what costs time.
+
+        A small file is a single task however many cores there are, so few documents
+        are first spread; many are left as read.
+        """
+        documents = self.documents.select("doc_id", *columns)
+        if self.rows("documents") > FEW_DOCUMENTS:
+            return documents
+        return documents.repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def _session(user: Column, ts: Column) -> Column:
@@ -48,13 +68,14 @@ def query_log(t: Tables) -> DataFrame:
     events = t.events.select(
         "event_id", (event % 2).cast("string").alias("MESSAGE_ID"),
         _session(F.col("user_id"), ts).alias("sid"), ts.alias("ts"))
-    counted = with_position(events, ["sid", "MESSAGE_ID"], ["ts", "event_id"], "position")
-
-    n_docs = _row_count(t.documents)
-    placed = counted.withColumn("n_docs", n_docs).select(
-        "*", (event % F.col("n_docs")).alias("doc_id"),
-        F.expr("event_id div n_docs").alias("visit")).drop("n_docs")
-    texts = t.documents.select("doc_id", F.split(F.lower("text"), WORD_BREAK).alias("w"))
+    counted = with_position(events, ["sid", "MESSAGE_ID"], ["ts", "event_id"], "position",
+                            rows_at_most=t.rows("events"))
+    n_docs = t.rows("documents")
+    placed = counted.withColumns({
+        "doc_id": event % n_docs, "visit": F.expr(f"event_id div {n_docs}")})
+    # explode() of the single array makes a document be split once, not for every visit.
+    texts = t.texts("text").select(
+        "doc_id", F.explode(F.array(F.split(F.lower("text"), WORD_BREAK))).alias("w"))
     # The visits of a document walk through its words, six at a time, round and round.
     start = (F.col("visit") * 6 % F.size("w") + 1).cast("int")
 
@@ -109,16 +130,14 @@ def job_ads(t: Tables) -> DataFrame:
     ending = (F.when(kind == 0, F.lit(" mailto:hr@example.com end"))
               .when(kind == 1, F.lit(" see http://jobs.example/1 now"))
               .when(kind == 2, F.lit(" a\u0096b\u0092s")).otherwise(F.lit("")))
-    return t.documents.select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("job_id"),
-                              F.concat(F.lit("  "), F.col("text"), ending).alias("text"))
+    return t.texts("text").select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("job_id"),
+                                  F.concat(F.lit("  "), F.col("text"), ending).alias("text"))
 
 
 def skills_raw(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id").withColumn("n_items", _row_count(t.benchmark))
+    docs = t.documents.select("doc_id", (F.col("doc_id") % t.rows("benchmark")).alias("item_id"))
     tags = t.benchmark.select(F.col("item_id"), F.split("text", WORD_BREAK).alias("w"))
-    words = (docs.withColumn("item_id", F.col("doc_id") % F.col("n_items"))
-             .join(tags, "item_id")
-             .select("doc_id", F.posexplode("w").alias("i", "k")))
+    words = docs.join(tags, "item_id").select("doc_id", F.posexplode("w").alias("i", "k"))
     n, k = F.col("doc_id") + F.col("i"), F.col("k")
     skill = (F.when(n % 31 == 0, F.lit("NA"))
              .when(n % 29 == 0, F.lit("  "))
@@ -133,7 +152,7 @@ def skills_raw(t: Tables) -> DataFrame:
 
 def job_queries(t: Tables) -> DataFrame:
     """What was searched for per job: the whole document text."""
-    return t.documents.select(F.col("doc_id").alias("job_id"), F.col("text").alias("query"))
+    return t.texts("text").select(F.col("doc_id").alias("job_id"), F.col("text").alias("query"))
 
 
 def industry_raw(t: Tables) -> DataFrame:
@@ -174,8 +193,8 @@ def area_raw(t: Tables) -> DataFrame:
 
 def job_locations(t: Tables, areas: DataFrame) -> DataFrame:
     """A city per job: location ids run from 1, jobs take them in turn."""
-    jobs = (t.documents.select(F.col("doc_id").alias("job_id"))
-            .withColumn("n_places", _row_count(t.customer))
-            .select("job_id", (F.col("job_id") % F.col("n_places") + 1).alias("location_id")))
+    job = F.col("doc_id")
+    jobs = t.documents.select(job.alias("job_id"),
+                              (job % t.rows("customer") + 1).alias("location_id"))
     cities = areas.select("location_id", F.col("city_full").alias("location_name"))
     return null_safe_join(jobs, cities, ["location_id"]).select("job_id", "location_name")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,36 +16,38 @@ ROW_ID = "row_id"
 
 
 def load_log(spark: SparkSession, path: str, snake: bool = True, trim: bool = True,
-             blank_as_null: bool = True, row_id: bool = False,
+             blank_as_null: bool | Sequence[str] = True, row_id: bool = False,
              multi_line: bool = False) -> DataFrame:
     """A CSV with a header row as a frame of text columns.
 
-    ``NA`` is NULL; blank cells are NULL too unless ``blank_as_null`` is off.
-    Unnamed index columns go. ``row_id`` adds the order of the rows within each
-    file, taken right at the scan, so it is the same however the plan continues.
+    ``NA`` is NULL. Blank cells are NULL too, in all columns, in none, or in those
+    listed in ``blank_as_null`` (such as the columns of numbers); elsewhere they
+    are empty text. Unnamed index columns go. ``row_id`` adds the order of the rows
+    within each file, taken right at the scan, so it is the same however the plan
+    continues.
 
     ``multi_line`` admits line breaks in quoted cells. Such files cannot be split,
     each is read by one task: give many files of moderate size, or store the table
     as Parquet once.
     """
-    options = {"header": True, "multiLine": multi_line, "escape": '"',
-               "nullValue": MISSING_MARK, "emptyValue": "",
-               "ignoreLeadingWhiteSpace": trim, "ignoreTrailingWhiteSpace": trim}
-    reader = spark.read.options(**options)
+    reader = spark.read.options(
+        header=True, multiLine=multi_line, escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace=trim, ignoreTrailingWhiteSpace=trim)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns])
-    return _tidy(reader.schema(schema).csv(path), snake, blank_as_null, row_id)
+    named = without_index_columns(reader.schema(schema).csv(path))
+    if isinstance(blank_as_null, bool):
+        blank_as_null = named.columns if blank_as_null else ()
 
+    def cell(name: str) -> Column:
+        # The reader gives NULL for an unquoted blank, so NULL means blank here.
+        text = F.coalesce(F.col(f"`{name}`"), F.lit(""))
+        missing = [MISSING_MARK, ""] if name in blank_as_null else [MISSING_MARK]
+        return F.when(~text.isin(missing), text).alias(name)
 
-def _tidy(raw: DataFrame, snake: bool, blank_as_null: bool, row_id: bool) -> DataFrame:
-    named = without_index_columns(raw)
-    names = list(named.columns)
+    cells = [cell(name) for name in named.columns]
     if row_id:
-        named = named.withColumn(ROW_ID, F.monotonically_increasing_id())
-    missing = [MISSING_MARK, ""] if blank_as_null else [MISSING_MARK]
-    cells = named.select(
-        *[F.when(~F.col(f"`{c}`").isin(missing), F.col(f"`{c}`")).alias(c) for c in names],
-        *([ROW_ID] if row_id else []))
-    return clean_names(cells) if snake else cells
+        cells.append(F.monotonically_increasing_id().alias(ROW_ID))
+    return clean_names(named.select(*cells)) if snake else named.select(*cells)
 
 
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:
