@@ -13,14 +13,16 @@ from pyspark.sql import functions as F
 # The patterns that define the measures.
 WORD = r"(?U)\S+"
 WHITE_SPACE = r"(?U)\s+"
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+SPACES = ("\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+          "\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 BOOLEAN_OPERATOR = r"(?U)\b(and|or|not)\b|\+|-|\|"
 WILDCARD = r"\*|\?"
 MAIL_LINK = "mailto:[^ ]+"
 WEB_LINK = "http[^ ]+"
-MISREAD_DASH_AND_APOSTROPHE = ("\u0096\u0092", "-'")
+MISREAD_DASH, DASH = "\u0096", "-"
+MISREAD_APOSTROPHE, APOSTROPHE = "\u0092", "'"
 TITLE = r"^[^.\n]{10,120}"
-QUERY_PUNCTUATION = """+()"'"""
+QUERY_PUNCTUATION = r"""[+()"']"""
 QUERY_WILDCARD = "*"
 SKILL_SEPARATORS = "-_ "
 LEADING_DIGITS = r"^[0-9]+"
@@ -30,7 +32,7 @@ MISSING_MARK = "NA"
 
 
 def trim_space(text: Column) -> Column:
-    return F.regexp_replace(text, OUTER_SPACE, "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def squish(text: Column) -> Column:
@@ -65,7 +67,8 @@ def clean_ad_text(text: Column) -> Column:
     """Squish first, then strip links, so blanks around a removed link remain."""
     squished = squish(text.cast("string"))
     unlinked = F.regexp_replace(F.regexp_replace(squished, MAIL_LINK, ""), WEB_LINK, "")
-    return F.translate(unlinked, *MISREAD_DASH_AND_APOSTROPHE)
+    dashed = F.replace(unlinked, F.lit(MISREAD_DASH), F.lit(DASH))
+    return F.replace(dashed, F.lit(MISREAD_APOSTROPHE), F.lit(APOSTROPHE))
 
 
 def concept(skill: Column) -> Column:
@@ -75,5 +78,6 @@ def concept(skill: Column) -> Column:
 
 def search_terms(query: Column) -> Column:
     """Array of the distinct words of a query, freed of punctuation and ``*``."""
-    blanks = " " * len(QUERY_PUNCTUATION)
-    return words(F.lower(F.translate(query, QUERY_PUNCTUATION + QUERY_WILDCARD, blanks)))
+    plain = F.replace(F.regexp_replace(query, QUERY_PUNCTUATION, " "), F.lit(QUERY_WILDCARD),
+                      F.lit(""))
+    return words(F.lower(plain))

@@ -94,13 +94,18 @@ def _distances(features: DataFrame, valid: DataFrame, max_group_rows: int) -> Da
 
 def query_reformulation(log: DataFrame, responses: DataFrame, industry: DataFrame,
                         max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
-    """Every valid query with its gap, edit distance, response and industry."""
+    """Every valid query with its gap, edit distance, response and industry.
+
+    Response and industry meet first, session to session, so that the queries,
+    of which one session may hold very many, are joined once.
+    """
     features = effort_features(log)
     valid = materialised_side(valid_sessions(features))
     queries = _distances(features, valid, max_group_rows)
     answered = response_summary(only_valid(responses, valid))
-    return null_safe_join(null_safe_join(queries, answered, ["JOB_ID"]),
-                          industry_one(only_valid(industry, valid)), ["JOB_ID"])
+    known = null_safe_join(valid.select("JOB_ID"), answered, ["JOB_ID"])
+    described = null_safe_join(known, industry_one(only_valid(industry, valid)), ["JOB_ID"])
+    return null_safe_join(queries, described, ["JOB_ID"])
 
 
 def _timed_responses(responses: DataFrame, valid: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import present
 from ..operators.joins import fan_out_left_join, null_safe_join
 from ..operators.ranking import top
+from ..session import stored
 
 # The company columns a job is described by, and the weights of the
 # efficiency score.
@@ -171,7 +172,12 @@ def six_numbers(df: DataFrame, column: str) -> DataFrame:
 
 def efficiency_score(level: DataFrame, names: Sequence[str] = ("n_words", "n_skills"),
                      weights: Sequence[float] = (WORDS_WEIGHT, SKILLS_WEIGHT)) -> DataFrame:
-    """Weighted sum of z-scores of ad length and number of skills."""
+    """Weighted sum of z-scores of ad length and number of skills.
+
+    The narrow job rows are written once: counting the words of all ads again for
+    the means would cost far more.
+    """
+    level = stored(level)
     measures = [m for c in names for m in (F.avg(c).alias(f"mean_{c}"),
                                            F.stddev_samp(c).alias(f"sd_{c}"))]
     scale = level.agg(F.struct(*measures)).scalar()

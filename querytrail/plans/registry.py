@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.plotdata import histogram
-from ..session import checkpointed, scratch_path
+from ..session import scratch_path, stored
 from ..sources import adapters as A
 from ..sources import logs
 from . import audit, clean, effect, jobs, sessions, skills
@@ -38,6 +38,16 @@ def query(name: str) -> Callable:
 
 # ---- cleaned inputs that several queries start from
 
+def _log(t: A.Tables) -> DataFrame:
+    """The query log as a table: the jobs below read it more than once, and it is
+    far smaller than the texts it is derived from."""
+    return stored(A.query_log(t))
+
+
+def _log_with_empty_column(t: A.Tables) -> DataFrame:
+    return _log(t).withColumn("EMPTY_COL", F.lit(None).cast("string"))
+
+
 def _ads(t: A.Tables) -> DataFrame:
     return clean.clean_job_ads(A.job_ads(t))
 
@@ -55,7 +65,7 @@ def _industry(t: A.Tables) -> DataFrame:
 
 
 def _summary(t: A.Tables) -> DataFrame:
-    return sessions.session_summary(A.query_log(t))
+    return sessions.session_summary(_log(t))
 
 
 def _features(t: A.Tables) -> DataFrame:
@@ -63,7 +73,7 @@ def _features(t: A.Tables) -> DataFrame:
 
 
 def _effectiveness(t: A.Tables) -> DataFrame:
-    return effect.session_effectiveness(A.query_log(t), A.response_log(t), A.industry_session(t))
+    return effect.session_effectiveness(_log(t), A.response_log(t), A.industry_session(t))
 
 
 def _valid(t: A.Tables) -> DataFrame:
@@ -107,7 +117,7 @@ def _(t):
 
 @query("export_roundtrip")
 def _(t):
-    overlap = checkpointed(_overlap(t))
+    overlap = stored(_overlap(t))
     coverage = skills.job_skill_coverage(overlap)
     tables = {
         "skill_frequency": (skills.skill_frequency(_skills(t)), "n"),
@@ -137,12 +147,12 @@ def _(t):
 
 @query("clean_query_log")
 def _(t):
-    return clean.clean_query_log(A.query_log_with_empty_column(t))
+    return clean.clean_query_log(_log_with_empty_column(t))
 
 
 @query("clean_query_log_exact")
 def _(t):
-    return clean.clean_query_log(A.query_log_with_empty_column(t), mode="exact")
+    return clean.clean_query_log(_log_with_empty_column(t), mode="exact")
 
 
 @query("audit_counter")
@@ -167,12 +177,12 @@ def _(t):
 
 @query("audit_time_by_counter")
 def _(t):
-    return audit.audit_time_by_counter(A.query_log(t))
+    return audit.audit_time_by_counter(_log(t))
 
 
 @query("audit_time_by_counter_counts")
 def _(t):
-    return audit.flag_counts(audit.audit_time_by_counter(A.query_log(t)), "backwards")
+    return audit.flag_counts(audit.audit_time_by_counter(_log(t)), "backwards")
 
 
 @query("clean_response_log")
@@ -266,7 +276,8 @@ def _(t):
 
 @query("valid_queries")
 def _(t):
-    return effect.only_valid(effect.effort_features(A.query_log(t)), _valid(t))
+    features = effect.effort_features(_log(t))
+    return effect.only_valid(features, effect.valid_sessions(features))
 
 
 @query("valid_responses")
@@ -281,7 +292,7 @@ def _(t):
 
 @query("query_reformulation")
 def _(t):
-    return effect.query_reformulation(A.query_log(t), A.response_log(t), A.industry_session(t))
+    return effect.query_reformulation(_log(t), A.response_log(t), A.industry_session(t))
 
 
 @query("time_to_response")

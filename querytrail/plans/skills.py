@@ -58,11 +58,12 @@ def skill_query_overlap(skills: DataFrame, queries: DataFrame) -> DataFrame:
     """Per job and skill: 1 if the skill was searched for in that job, else 0.
 
     Both sides are distinct on (job, term), so the join never multiplies rows and a
-    job with very many skills is spread over its terms.
+    job with very many skills is spread over its terms. The planner takes the terms
+    for as small as the texts they come from, hence the hint not to broadcast them.
     """
     pairs = normalised_skills(skills).select("job_id", "skill", "skill_clean").distinct()
     searched = query_terms(queries).select(
-        "job_id", F.col("term_clean").alias("skill_clean"), F.lit(1).alias("found"))
+        "job_id", F.col("term_clean").alias("skill_clean"), F.lit(1).alias("found")).hint("merge")
     return null_safe_join(pairs, searched, ["job_id", "skill_clean"]).select(
         "job_id", "skill", "skill_clean", F.coalesce("found", F.lit(0)).alias("skill_queried"))
 

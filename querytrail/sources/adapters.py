@@ -97,10 +97,6 @@ def query_log(t: Tables) -> DataFrame:
         query.alias("QUERY"))
 
 
-def query_log_with_empty_column(t: Tables) -> DataFrame:
-    return query_log(t).withColumn("EMPTY_COL", F.lit(None).cast("string"))
-
-
 def response_log(t: Tables) -> DataFrame:
     event, ts = F.col("event_id"), F.col("ts").cast("timestamp")
     kind = (F.when(event % 97 == 0, F.lit(None).cast("int"))

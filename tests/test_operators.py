@@ -27,6 +27,31 @@ def test_fan_out_left_join_is_a_left_join(frame):
         joins.null_safe_join(left, right, ["k"]))
 
 
+def test_fan_out_left_join_of_a_hot_key(spark):
+    """A third of both sides has one key; the skew setting must not change rows."""
+    left = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id"))
+                                   .alias("k"), F.col("id").alias("x"))
+    right = spark.range(1200).select(F.when(F.col("id") % 3 == 0, -1)
+                                     .otherwise(F.col("id") % 300).alias("k"),
+                                     F.col("id").alias("y"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+                "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256b"}
+    expected = 300 * 400 + sum(4 if k < 300 and k % 3 else 1 for k in range(900) if k % 3)
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        joined = joins.fan_out_left_join(left, right, ["k"])
+        counts = joined.agg(F.count(F.lit(1)), F.count("y"), F.count_distinct("x")).first()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    assert counts[0] == expected
+    assert counts[2] == 900
+
+
 @pytest.fixture(scope="module")
 def steps(frame):
     """One group with most of the rows, a NULL group, ties and missing counters."""
@@ -56,6 +81,13 @@ def test_with_position_hot_groups(steps):
     assert rows_of(plain) == rows_of(expected)
 
 
+def test_hot_groups_are_cut_evenly(steps):
+    ordinary, cut = ordered._split_hot(steps, ["k"], ["counter", "row_id"], 200, None, None)
+    assert ordinary.count() + cut.count() == 3000
+    largest = cut.groupBy("k", "_part").count().agg(F.max("count")).first()[0]
+    assert largest <= 400
+
+
 def test_known_bound_skips_the_count(steps):
     ready = ordered.with_position(steps, ["k"], ["counter", "row_id"], "place",
                                   rows_at_most=3000)
