@@ -137,6 +137,7 @@ STATEMENTS: dict[str, str] = {
     "clean_skills": "SELECT job_id, skill FROM skills",
     "skills_per_job": "SELECT * FROM per_job",
     "skill_freq": "SELECT * FROM freq",
+    "top_skills": "SELECT * FROM freq ORDER BY n DESC, skill LIMIT 20",
     "top_skill_jobs": "SELECT * FROM per_job ORDER BY n_skills DESC, job_id LIMIT 20",
     "clean_industry": "SELECT * FROM industry",
     "split_locations": "SELECT * FROM locations",
@@ -265,6 +266,9 @@ STATEMENTS: dict[str, str] = {
     "sector_skill_counts": """
         SELECT industry_sector_name, skill, count(*) AS n FROM master
         WHERE skill IS NOT NULL GROUP BY 1, 2""",
+    "master_skill_counts_top20": """
+        SELECT skill, count(*) AS n FROM master GROUP BY skill
+        ORDER BY n DESC, skill NULLS LAST LIMIT 20""",
     "industry_complexity": """
         SELECT industry_sector_name, round(avg(n_words), 6) AS avg_words,
                round(median(n_words), 6) AS median_words, count(DISTINCT job_id) AS n_ads
@@ -326,7 +330,12 @@ STATEMENTS: dict[str, str] = {
         UNION ALL SELECT 'industry_skill_mismatch', count(*), CAST(sum(n_jobs) AS BIGINT)
                   FROM (SELECT industry_sector_name, count(DISTINCT job_id) AS n_jobs
                         FROM master GROUP BY 1)
-        UNION ALL SELECT 'job_ads', count(*), CAST(sum(n_words) AS BIGINT) FROM ads""",
+        UNION ALL SELECT 'skills_per_job', count(*), CAST(sum(n_skills) AS BIGINT) FROM per_job
+        UNION ALL SELECT 'job_ads', count(*), CAST(sum(n_words) AS BIGINT) FROM ads
+        UNION ALL SELECT 'job_ads typed', count(*), CAST(sum(n_words) AS BIGINT) FROM ads
+        UNION ALL SELECT 'industry', count(*), CAST(sum(employee_count) AS BIGINT) FROM industry
+        UNION ALL SELECT 'locations', count(*), CAST(sum(postal_code) AS BIGINT)
+                  FROM locations""",
 }
 for _kind, _flag, _source in (("audit_counter_counts", "counter_ok", "audit_counter"),
                               ("audit_time_sorted_counts", "backwards", "audit_time_sorted"),

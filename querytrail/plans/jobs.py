@@ -108,6 +108,24 @@ def sector_skill_counts(ads: DataFrame, details: DataFrame, skills: DataFrame) -
             .groupBy("industry_sector_name", "skill").agg(F.sum("rows").alias("n")))
 
 
+def master_skill_counts(ads: DataFrame, details: DataFrame, skills: DataFrame) -> DataFrame:
+    """Master rows per skill; the rows of ads without any skill count under NULL.
+
+    Counted skills meet ads that are already counted per job, one row a job.
+    """
+    ad_rows = fan_out_left_join(ads.select("job_id"), details.select("job_id"), ["job_id"])
+    per_job = ad_rows.groupBy("job_id").agg(F.count(F.lit(1)).alias("rows"))
+    tags = skills.select("job_id", "skill")
+    return (fan_out_left_join(per_job, tags, ["job_id"])
+            .groupBy("skill").agg(F.sum("rows").alias("n")))
+
+
+def master_skill_counts_top(ads: DataFrame, details: DataFrame, skills: DataFrame,
+                            n: int = 20) -> DataFrame:
+    return top(master_skill_counts(ads, details, skills),
+               [F.desc("n"), F.asc_nulls_last("skill")], n)
+
+
 def rare_by_sector(counts: DataFrame, rare: DataFrame) -> DataFrame:
     """Sector counts of the rare skills only."""
     return null_safe_join(counts, rare.select("skill"), ["skill"], "left_semi")

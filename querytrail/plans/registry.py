@@ -7,11 +7,13 @@ differ in their last digits with the order of the rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.timecols import as_number
 from ..operators.plotdata import histogram
 from ..session import scratch_path, stored
 from ..sources import adapters as A
@@ -119,30 +121,38 @@ def _(t):
 def _(t):
     overlap = stored(_overlap(t))
     coverage = skills.job_skill_coverage(overlap)
+    tags = _skills(t)
     tables = {
-        "skill_frequency": (skills.skill_frequency(_skills(t)), "n"),
-        "skill_concept_counts": (skills.skill_concept_counts(_skills(t)), "total_frequency"),
-        "skill_mismatch_overview": (skills.skill_mismatch_overview(overlap),
-                                    "n_jobs_with_skill"),
-        "job_skill_coverage": (coverage, "n_skills_queried"),
-        "industry_skill_mismatch": (
-            skills.industry_skill_mismatch(_ad_sizes(t), _industry(t), coverage), "n_jobs"),
+        "skill_frequency": skills.skill_frequency(tags),
+        "skill_concept_counts": skills.skill_concept_counts(tags),
+        "skill_mismatch_overview": skills.skill_mismatch_overview(overlap),
+        "job_skill_coverage": coverage,
+        "industry_skill_mismatch":
+            skills.industry_skill_mismatch(_ad_sizes(t), _industry(t), coverage),
+        "skills_per_job": skills.skills_per_job(tags),
+        "job_ads": _ad_sizes(t),
+        "industry": _industry(t),
+        "locations": clean.split_locations(A.area_raw(t)),
+    }
+    measured = {
+        "skill_frequency": "n", "skill_concept_counts": "total_frequency",
+        "skill_mismatch_overview": "n_jobs_with_skill",
+        "job_skill_coverage": "n_skills_queried", "industry_skill_mismatch": "n_jobs",
+        "skills_per_job": "n_skills", "job_ads": "n_words", "industry": "employee_count",
+        "locations": "postal_code",
     }
     folder = scratch_path(t.spark, "export")
-    written = []
-    for name, (table, measure) in tables.items():
-        logs.write_csv(table, f"{folder}/{name}.csv")
-        back = logs.load_log(t.spark, f"{folder}/{name}.csv")
-        written.append((name, back.select(F.col(measure).cast("long").alias("measure"))))
-    logs.write_parquet(_ads(t), f"{folder}/job_ads.parquet")
-    written.append(("job_ads", logs.load_parquet(t.spark, f"{folder}/job_ads.parquet")
-                    .select(F.col("n_words").cast("long").alias("measure"))))
-    result = None
-    for name, back in written:
-        row = back.agg(F.count(F.lit(1)).alias("n_rows"), F.sum("measure").alias("total")).select(
+    logs.export(tables, folder, typed=["job_ads", "locations"])
+
+    def totals(name: str, back: DataFrame) -> DataFrame:
+        number = as_number(F.col(measured[name])).cast("long")
+        return back.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(number).alias("total")).select(
             F.lit(name).alias("table_name"), "n_rows", "total")
-        result = row if result is None else result.unionByName(row)
-    return result
+
+    back = [totals(name, logs.load_log(t.spark, f"{folder}/{name}.csv")) for name in tables]
+    typed = logs.load_parquet(t.spark, f"{folder}/job_ads.parquet")
+    back.append(totals("job_ads", typed).withColumn("table_name", F.lit("job_ads typed")))
+    return reduce(DataFrame.unionByName, back)
 
 
 @query("clean_query_log")
@@ -342,6 +352,11 @@ def _(t):
     return skills.skill_frequency(_skills(t))
 
 
+@query("top_skills")
+def _(t):
+    return skills.top_skills(_skills(t))
+
+
 @query("top_skill_jobs")
 def _(t):
     return skills.top_skill_jobs(_skills(t))
@@ -439,6 +454,11 @@ def _(t):
     return jobs.sector_skill_counts(_ad_sizes(t), jobs.job_company(_industry(t)), _skills(t))
 
 
+@query("master_skill_counts_top20")
+def _(t):
+    return jobs.master_skill_counts_top(_ad_sizes(t), jobs.job_company(_industry(t)), _skills(t))
+
+
 @query("industry_rare")
 def _(t):
     counts = jobs.sector_skill_counts(_ad_sizes(t), jobs.job_company(_industry(t)), _skills(t))

@@ -22,6 +22,11 @@ def skill_frequency(skills: DataFrame) -> DataFrame:
     return skills.groupBy("skill").agg(F.count(F.lit(1)).alias("n"))
 
 
+def top_skills(skills: DataFrame, n: int = 20) -> DataFrame:
+    """The most frequent skills."""
+    return top(skill_frequency(skills), [F.desc("n"), F.col("skill")], n)
+
+
 def top_skill_jobs(skills: DataFrame, n: int = 20) -> DataFrame:
     """The jobs with most skills."""
     return top(skills_per_job(skills), [F.desc("n_skills"), F.asc_nulls_last("job_id")], n)

@@ -52,8 +52,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's own part of the shared folder.
+
+    That part, ``querytrail-<application id>``, can be deleted once the results
+    have been written.
+    """
+    own = f"querytrail-{spark.sparkContext.applicationId}"
+    return f"{shared_folder(spark).rstrip('/')}/{own}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

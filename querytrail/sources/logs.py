@@ -65,6 +65,23 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
+def export(tables: Mapping[str, DataFrame], folder: str, typed: Sequence[str] = ()) -> list[str]:
+    """Write every table as ``<name>.csv``, those in ``typed`` as ``<name>.parquet`` too.
+
+    A typed table is computed once: its CSV is made from the Parquet copy.
+    """
+    written = []
+    for name, table in tables.items():
+        path = f"{folder.rstrip('/')}/{name}"
+        if name in typed:
+            write_parquet(table, f"{path}.parquet")
+            table = load_parquet(table.sparkSession, f"{path}.parquet")
+            written.append(f"{path}.parquet")
+        write_csv(table, f"{path}.csv")
+        written.append(f"{path}.csv")
+    return written
+
+
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Row count of every table."""
     counts = [df.agg(F.count(F.lit(1)).alias("n_rows"))
