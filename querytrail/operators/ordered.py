@@ -39,8 +39,10 @@ def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gro
     if rows_at_most is not None and rows_at_most <= max_group_rows:
         return df, None
     if sizes is None:
-        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-    hot = sizes.where(F.col("rows") > max_group_rows)
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+        hot = checkpointed(counts.where(F.col("rows") > max_group_rows))
+    else:
+        hot = sizes.where(F.col("rows") > max_group_rows)
     hot_rows = hot.agg(F.sum("rows")).first()[0]
     if not hot_rows:
         return df, None

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException  # noqa: E402
 from querytrail.functions.timecols import as_long, as_number  # noqa: E402
 from querytrail.operators.plotdata import histogram  # noqa: E402
 from querytrail.plans import audit, clean, effect, jobs, sessions, skills  # noqa: E402
-from querytrail.session import build_session, stored  # noqa: E402
+from querytrail.session import build_session, sized_for, stored  # noqa: E402
 from querytrail.sources import logs  # noqa: E402
 
 Load = Callable[..., DataFrame]
@@ -201,8 +201,11 @@ def main(arguments: Sequence[str] | None = None) -> None:
     parser.add_argument("study", choices=STUDIES)
     parser.add_argument("--input", required=True)
     parser.add_argument("--output", required=True)
+    parser.add_argument("--input-gb", type=int, help="size of the input, to size the shuffles")
     chosen = parser.parse_args(arguments)
-    for path in run(build_session(), chosen.study, chosen.input, chosen.output):
+    settings = sized_for(chosen.input_gb * 1024 ** 3) if chosen.input_gb else None
+    spark = build_session(settings=settings)
+    for path in run(spark, chosen.study, chosen.input, chosen.output):
         print(path)
 
 

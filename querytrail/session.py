@@ -17,6 +17,22 @@ RUNTIME_SETTINGS = {
 }
 
 
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def sized_for(input_bytes: int) -> dict[str, str]:
+    """Settings for a cluster run over so much input.
+
+    Enough shuffle partitions that each holds about 128 MiB if everything were
+    shuffled; adaptive execution merges those that turn out smaller.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, -(-input_bytes // TASK_BYTES))),
+        "spark.sql.files.maxPartitionBytes": str(TASK_BYTES),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(TASK_BYTES),
+    }
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every job relies on."""
     for key, value in RUNTIME_SETTINGS.items():

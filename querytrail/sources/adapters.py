@@ -131,7 +131,7 @@ def job_ads(t: Tables) -> DataFrame:
 
 
 def skills_raw(t: Tables) -> DataFrame:
-    docs = t.documents.select("doc_id", (F.col("doc_id") % t.rows("benchmark")).alias("item_id"))
+    docs = t.texts().select("doc_id", (F.col("doc_id") % t.rows("benchmark")).alias("item_id"))
     tags = t.benchmark.select(F.col("item_id"), F.split("text", WORD_BREAK).alias("w"))
     words = docs.join(tags, "item_id").select("doc_id", F.posexplode("w").alias("i", "k"))
     n, k = F.col("doc_id") + F.col("i"), F.col("k")

@@ -4,7 +4,7 @@ import os
 
 from conftest import rows_of
 
-from querytrail.session import checkpointed, shared_folder
+from querytrail.session import checkpointed, shared_folder, sized_for
 from querytrail.sources import logs
 
 
@@ -66,3 +66,8 @@ def test_checkpoint_goes_to_the_shared_folder(spark, frame):
     assert checkpointed(frame([(1,)], "a int")).count() == 1
     assert spark.sparkContext.getCheckpointDir().replace("file:", "").startswith(
         shared_folder(spark).replace("file:", "").rsplit("/", 1)[0])
+
+
+def test_sized_for():
+    assert sized_for(0)["spark.sql.shuffle.partitions"] == "200"
+    assert sized_for(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == str(8 * 102400)
