@@ -71,13 +71,17 @@ def clean_ad_text(text: Column) -> Column:
     return F.replace(dashed, F.lit(MISREAD_APOSTROPHE), F.lit(APOSTROPHE))
 
 
+def without_separators(text: Column) -> Column:
+    return F.translate(text, SKILL_SEPARATORS, "")
+
+
 def concept(skill: Column) -> Column:
     """Lower-cased tag without hyphens, underscores and blanks."""
-    return F.translate(F.lower(skill), SKILL_SEPARATORS, "")
+    return without_separators(F.lower(skill))
 
 
 def search_terms(query: Column) -> Column:
-    """Array of the distinct words of a query, freed of punctuation and ``*``."""
+    """Array of the distinct lower-case words of a query, without punctuation and ``*``."""
     plain = F.replace(F.regexp_replace(query, QUERY_PUNCTUATION, " "), F.lit(QUERY_WILDCARD),
                       F.lit(""))
     return words(F.lower(plain))

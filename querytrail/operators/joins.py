@@ -15,14 +15,19 @@ from ..session import checkpointed
 BROADCAST_ROWS = 1_000_000
 
 
-def materialised_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Write a join side once, count it, and mark it for broadcast if it is small.
 
-    Beyond ``max_rows`` the written copy is returned unmarked and joins by shuffle.
-    For narrow rows only.
+    Beyond ``max_rows`` the written copy is returned unmarked, with False: it joins
+    by shuffle. For narrow rows only.
     """
     written = checkpointed(df)
-    return F.broadcast(written) if written.count() <= max_rows else written
+    small = written.count() <= max_rows
+    return (F.broadcast(written) if small else written), small
+
+
+def materialised_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    return small_side(df, max_rows)[0]
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],

@@ -14,11 +14,14 @@ from ..operators.ranking import top
 from .sessions import query_features
 
 # Session limits in seconds, response limits in minutes, the
-# response type that counts as positive, bounds of the boolean-use groups.
+# response type that counts as positive, bounds and names of the boolean-use
+# groups, names of the response states, the glue between sector names.
 SHORTEST_S, LONGEST_S = 60, 14400
 RESPONSE_MIN, RESPONSE_MAX = 0, 240
 POSITIVE = 1
 NONE_AT, LOW_UP_TO, MEDIUM_UP_TO = 0, 0.33, 0.66
+NONE, LOW, MEDIUM, HIGH = "None", "Low", "Medium", "High"
+ANSWERED, UNANSWERED = "At least one response", "No response"
 NAME_GLUE = ";"
 
 
@@ -166,7 +169,7 @@ def industry_efficiency_top(sessions: DataFrame, n: int = 8) -> DataFrame:
 def response_share(sessions: DataFrame) -> DataFrame:
     """Sessions with and without a positive response; NULL where none is on record."""
     positive = F.col("any_positive_response")
-    status = F.when(positive, "At least one response").when(~positive, "No response")
+    status = F.when(positive, ANSWERED).when(~positive, UNANSWERED)
     counts = sessions.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.withColumn("share", F.col("n") / total)
@@ -181,8 +184,8 @@ def boolean_groups(sessions: DataFrame) -> DataFrame:
     """Sessions labelled by how much they use boolean operators."""
     rate = F.col("boolean_usage_rate")
     return sessions.withColumn(
-        "boolean_group", F.when(rate == NONE_AT, "None").when(rate <= LOW_UP_TO, "Low")
-        .when(rate <= MEDIUM_UP_TO, "Medium").otherwise("High"))
+        "boolean_group", F.when(rate == NONE_AT, NONE).when(rate <= LOW_UP_TO, LOW)
+        .when(rate <= MEDIUM_UP_TO, MEDIUM).otherwise(HIGH))
 
 
 def boolean_group_box(sessions: DataFrame) -> DataFrame:

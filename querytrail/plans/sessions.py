@@ -10,9 +10,10 @@ from ..functions.timecols import as_number, fix_timestamp_units
 from ..operators.joins import null_safe_join
 from ..operators.plotdata import linear_trend
 
-# Session limits in minutes.
+# Session limits in minutes, and the names of the session types.
 SHORTEST_MIN, LONGEST_MIN = 1, 240
 MATCHING_UP_TO_MIN = 60
+MATCHING, RECRUITING, OTHER = "Matching", "Recruiting", "Other"
 
 
 def query_features(log: DataFrame, null_text: str = "keep", fix_units: bool = False) -> DataFrame:
@@ -82,8 +83,8 @@ def session_summary(log: DataFrame, shortest_min: float = SHORTEST_MIN,
     minutes = F.col("session_duration_min")
     kept = session_measures(query_features(log, fix_units=fix_units)).where(
         minutes.between(shortest_min, longest_min))
-    session_type = (F.when(minutes <= MATCHING_UP_TO_MIN, "Matching")
-                    .when(minutes <= longest_min, "Recruiting").otherwise("Other"))
+    session_type = (F.when(minutes <= MATCHING_UP_TO_MIN, MATCHING)
+                    .when(minutes <= longest_min, RECRUITING).otherwise(OTHER))
     return null_safe_join(kept, unique_tokens_per_session(log), ["JOB_ID"]).withColumns({
         "session_type": session_type,
         "used_boolean": F.col("boolean_usage_rate") > 0,

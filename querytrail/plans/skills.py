@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators.joins import null_safe_join
+from ..operators.joins import BROADCAST_ROWS, null_safe_join, small_side
 from ..operators.ranking import top, top_with_ties
+from ..session import stored
 from .jobs import job_sectors
 
 # Fixed value: a skill seen less often than this is rare.
@@ -50,24 +51,38 @@ def skill_concept_counts(skills: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("total_frequency")))
 
 
+def _terms(queries: DataFrame) -> DataFrame:
+    """Normalised words of the queries, distinct within each query only."""
+    words = queries.select("job_id", F.explode(X.search_terms(F.col("query"))).alias("term"))
+    return words.select("job_id", X.without_separators(F.col("term")).alias("term_clean"))
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct normalised words searched for per job.
 
     A word of separators only normalises to empty text, which stays a term.
     """
-    terms = queries.select("job_id", F.explode(X.search_terms(F.col("query"))).alias("term"))
-    return terms.select("job_id", X.concept(F.col("term")).alias("term_clean")).distinct()
+    return _terms(queries).distinct()
 
 
-def skill_query_overlap(skills: DataFrame, queries: DataFrame) -> DataFrame:
+def skill_query_overlap(skills: DataFrame, queries: DataFrame,
+                        max_concepts: int = BROADCAST_ROWS) -> DataFrame:
     """Per job and skill: 1 if the skill was searched for in that job, else 0.
 
     Both sides are distinct on (job, term), so the join never multiplies rows and a
-    job with very many skills is spread over its terms. The planner takes the terms
-    for as small as the texts they come from, hence the hint not to broadcast them.
+    job with very many skills is spread over its terms. Most words of the queries
+    are no skill anywhere; while there are at most ``max_concepts`` distinct
+    concepts, such words are left out before anything is shuffled. The planner takes
+    the terms for as small as the texts they come from, hence the hint not to
+    broadcast them.
     """
-    pairs = normalised_skills(skills).select("job_id", "skill", "skill_clean").distinct()
-    searched = query_terms(queries).select(
+    pairs = stored(normalised_skills(skills).select("job_id", "skill", "skill_clean").distinct())
+    concepts, few = small_side(
+        pairs.select(F.col("skill_clean").alias("term_clean")).distinct(), max_concepts)
+    terms = _terms(queries)
+    if few:
+        terms = terms.join(concepts, "term_clean", "left_semi")
+    searched = terms.distinct().select(
         "job_id", F.col("term_clean").alias("skill_clean"), F.lit(1).alias("found")).hint("merge")
     return null_safe_join(pairs, searched, ["job_id", "skill_clean"]).select(
         "job_id", "skill", "skill_clean", F.coalesce("found", F.lit(0)).alias("skill_queried"))

@@ -240,6 +240,7 @@ def test_overlap_and_mismatch(frame):
     assert rows_of(overlap) == [
         (1, "front-end", "frontend", 1), (1, "sql", "sql", 1), (2, "sql", "sql", 0),
         (3, "-", "", 1), (None, "sql", "sql", 1)]
+    assert rows_of(skills.skill_query_overlap(tags, queries, max_concepts=1)) == rows_of(overlap)
     overview = skills.skill_mismatch_overview(overlap)
     assert rows_of(overview.where("skill = 'sql'"))[0][2:] == (3, 2, pytest.approx(2 / 3))
     assert skills.least_queried(overview, 1).first()["skill"] == "sql"
