@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .redirects import op8_redirect_equivalence
+from .secrets import op2_randomness_secrets
 from .sharding import op5_prefix_sum_shards
 from .warc import op10_seekable_warc
 
 QUERIES = {
+    "op2_randomness_secrets": op2_randomness_secrets,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
+    "op8_redirect_equivalence": op8_redirect_equivalence,
     "op10_seekable_warc": op10_seekable_warc,
 }
 
