@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .quality import op7_line_first_quality
 from .redirects import op8_redirect_equivalence
 from .secrets import op2_randomness_secrets
 from .sharding import op5_prefix_sum_shards
@@ -10,6 +11,7 @@ from .warc import op10_seekable_warc
 QUERIES = {
     "op2_randomness_secrets": op2_randomness_secrets,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
+    "op7_line_first_quality": op7_line_first_quality,
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op10_seekable_warc": op10_seekable_warc,
 }

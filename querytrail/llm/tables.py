@@ -1,14 +1,19 @@
-"""Reading the tables and walking through Arrow batches in pieces of bounded size."""
+"""Reading the tables and mapping texts through Python in batches of bounded size."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-# Rows that go to Python at once; long texts make a batch large.
+# Rows that go to Python at once, and characters that are worked on at once.
 BATCH_ROWS = 500
+CHUNK_CHARS = 1_000_000
+TEXT = "__text"
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,7 +31,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
+def chunks(texts: Sequence[str], most: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of texts with about ``most`` characters each."""
     begin, chars = 0, 0
     for i, text in enumerate(texts):
@@ -36,3 +41,26 @@ def chunks(texts: list[str], most: int) -> Iterator[tuple[int, int]]:
         chars += len(text)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def map_texts(docs: DataFrame, work: Callable[[list[str]], dict[str, Sequence]],
+              added: str, keep: Sequence[str] = ("doc_id",), text: str = "text") -> DataFrame:
+    """The ``keep`` columns, untouched, and those that ``work`` gives for lists of texts.
+
+    ``added`` is the DDL of the new columns. A NULL text counts as empty. No shuffle.
+    """
+    rows = docs.select(*[col(c) for c in keep], F.coalesce(col(text), F.lit("")).alias(TEXT))
+    kept = [f for f in rows.schema.fields if f.name != TEXT]
+    schema = T.StructType([*kept, *T._parse_datatype_string(added).fields])
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(kept)).to_pylist()
+            for begin, end in chunks(texts):
+                found = work(texts[begin:end])
+                old = [c.slice(begin, end - begin) for c in batch.columns[:len(kept)]]
+                new = [pa.array(found[f.name], type=f.type) for f in list(kinds)[len(kept):]]
+                yield pa.RecordBatch.from_arrays([*old, *new], names=kinds.names)
+
+    return rows.mapInArrow(run, schema)
