@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .pii import op9_semicrf_pii
 from .quality import op7_line_first_quality
 from .redirects import op8_redirect_equivalence
 from .secrets import op2_randomness_secrets
@@ -13,6 +14,7 @@ QUERIES = {
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
     "op7_line_first_quality": op7_line_first_quality,
     "op8_redirect_equivalence": op8_redirect_equivalence,
+    "op9_semicrf_pii": op9_semicrf_pii,
     "op10_seekable_warc": op10_seekable_warc,
 }
 
