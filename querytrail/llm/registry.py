@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language import op3_segmentation_language
 from .pii import op9_semicrf_pii
 from .quality import op7_line_first_quality
 from .redirects import op8_redirect_equivalence
@@ -12,6 +13,7 @@ from .warc import op10_seekable_warc
 QUERIES = {
     "op2_randomness_secrets": op2_randomness_secrets,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
+    "op3_segmentation_language": op3_segmentation_language,
     "op7_line_first_quality": op7_line_first_quality,
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_semicrf_pii": op9_semicrf_pii,
