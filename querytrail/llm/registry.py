@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .jaccard import op6_bayes_jaccard_join
 from .language import op3_segmentation_language
 from .pii import op9_semicrf_pii
 from .quality import op7_line_first_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_randomness_secrets": op2_randomness_secrets,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
     "op3_segmentation_language": op3_segmentation_language,
+    "op6_bayes_jaccard_join": op6_bayes_jaccard_join,
     "op7_line_first_quality": op7_line_first_quality,
     "op8_redirect_equivalence": op8_redirect_equivalence,
     "op9_semicrf_pii": op9_semicrf_pii,
