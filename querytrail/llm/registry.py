@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .jaccard import op6_bayes_jaccard_join
 from .language import op3_segmentation_language
+from .mixing import op4_raking_mixture
 from .pii import op9_semicrf_pii
 from .quality import op7_line_first_quality
 from .redirects import op8_redirect_equivalence
@@ -13,6 +14,7 @@ from .warc import op10_seekable_warc
 
 QUERIES = {
     "op2_randomness_secrets": op2_randomness_secrets,
+    "op4_raking_mixture": op4_raking_mixture,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
     "op3_segmentation_language": op3_segmentation_language,
     "op6_bayes_jaccard_join": op6_bayes_jaccard_join,
