@@ -243,9 +243,12 @@ def learnable(key: str) -> Column:
 
 
 def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang",
-                       key: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+                       key: str = "doc_id", vocabulary: str = VOCABULARY,
+                       keep: Sequence[str] = ()) -> DataFrame:
     """``key, held_out, lang_pred, score`` for every document.
 
+    With ``keep``, those columns instead, then ``__lang_pred`` and ``__score``.
+
     The text's words are scored by summing, with a forward pass, the probabilities of all
     their segmentations into pieces of a fixed public vocabulary; ``score`` is the best
     language's share of the total. Only the model (pieces x languages) is sent to the tasks,
@@ -257,6 +260,11 @@ def identify_languages(docs: DataFrame, text: str = "text", lang: str = "lang",
     are left out.
     """
     model = fit(docs.where(learnable(key)), text, lang, key, vocabulary)
+    if keep:
+        def carried(texts: list[str]) -> dict[str, list]:
+            return {f"__{name}": values for name, values in scored(texts, model).items()}
+
+        return map_texts(docs, carried, "__lang_pred string, __score double", keep, text)
     rows = docs.select(F.col(key).alias(key), (~learnable(key)).alias("held_out"),
                        F.col(text).alias(text))
     return map_texts(rows, lambda texts: scored(texts, model), "lang_pred string, score double",

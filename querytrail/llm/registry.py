@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontamination import op1_latent_decontamination
 from .jaccard import op6_bayes_jaccard_join
 from .language import op3_segmentation_language
 from .mixing import op4_raking_mixture
@@ -13,6 +14,7 @@ from .sharding import op5_prefix_sum_shards
 from .warc import op10_seekable_warc
 
 QUERIES = {
+    "op1_latent_decontamination": op1_latent_decontamination,
     "op2_randomness_secrets": op2_randomness_secrets,
     "op4_raking_mixture": op4_raking_mixture,
     "op5_prefix_sum_shards": op5_prefix_sum_shards,
