@@ -108,7 +108,7 @@ def shingled(texts: list[str]) -> dict[str, list]:
     shingles, numbers = shingle_hashes([words_of(t) for t in texts])
     ends = np.cumsum(numbers)
     return {"signature": list(min_hashes(shingles, numbers).view(np.int64)),
-            "shingles": [np.unique(shingles[e - n:e]).view(np.int64)
+            "shingles": [np.unique(shingles[e - n:e].view(np.int64))
                          for e, n in zip(ends, numbers, strict=True)]}
 
 

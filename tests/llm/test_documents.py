@@ -1,0 +1,456 @@
+"""Language, quality, shards, mixing, near duplicates, leaks and the pipeline."""
+
+from __future__ import annotations
+
+import random
+import zlib
+from collections import Counter
+from itertools import product
+
+import numpy as np
+import pytest
+
+import corpus_pipeline
+from querytrail.llm import decontamination, jaccard, language, mixing, quality, sharding
+from querytrail.llm.tables import read
+
+from .conftest import SMALL
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi".split()
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) + rng.choice(["", "a", "en", "ity"]) for _ in range(n))
+
+
+# --- quality -----------------------------------------------------------------------------
+
+def plain_quality(text):
+    words = [w for w in "".join(" " if c in "\t\n\x0b\x0c\r" else c for c in text).split(" ") if w]
+    lines = [x for x in text.split("\n") if x.strip(" \t\x0b\x0c\r")]
+    dup = sum(x in lines[:i] for i, x in enumerate(lines))
+    windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    many = Counter(windows)
+    inside = sum(any(many[windows[j]] > 1 for j in range(max(0, i - 2), min(i + 1, len(windows))))
+                 for i in range(len(words)))
+    return (len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, inside,
+            len(words) < 50 or 100 * inside > 50 * len(words))
+
+
+def test_quality_measures_match_plain_counts(spark, documents):
+    rng = random.Random(1)
+    pieces = ["a", "b", "cc", " ", " ", "\n", "\t", "\x0b", "\x85", "\xa0", "#", "|", "é😀", "x y z "]
+    texts = [None, "", " \n ", "a b c " * 30, *["".join(rng.choices(pieces, k=rng.randrange(200)))
+                                               for _ in range(80)]]
+    rows = quality.line_first_quality(documents(list(enumerate(texts))), with_text=False).collect()
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words,
+                r.base_failed) == plain_quality(text), text
+        assert not (r.kept and r.base_failed)
+
+
+def test_lines_are_judged_one_by_one(spark, documents):
+    rng = random.Random(2)
+    good = "\n".join(f"{prose(rng, 9)} number {i}." for i in range(20))
+    menu = "Home | News | Sport | Weather | About"
+    rows = {r.doc_id: r for r in quality.line_first_quality(documents([
+        (1, good), (2, good + "\n" + menu + "\nAll rights reserved."),
+        (3, "\n".join([menu.replace("News", f"N{i}") for i in range(40)]) + "\n" + good[:200]),
+    ])).collect()}
+    assert rows[1].kept and rows[1].cleaned == good
+    assert rows[2].kept and rows[2].cleaned == good and rows[2].n_failed_lines == 2
+    assert not rows[3].kept and not rows[3].base_failed
+    assert quality.line_first_quality(documents([]).where("false")).count() == 0
+
+
+# --- language ----------------------------------------------------------------------------
+
+def segmentations(word, chance):
+    """Sum over all segmentations, one by one."""
+    if not word:
+        return 1.0
+    total = language.UNKNOWN * segmentations(word[1:], chance)
+    for n in range(1, len(word) + 1):
+        if word[:n] in chance:
+            total += chance[word[:n]] * segmentations(word[n:], chance)
+    return total
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["a", "b", "ab", "ba", "aba", "▁a", "▁"]
+    v = language.vocabulary_of(pieces)
+    order = sorted(pieces, key=language.piece_hash)
+    rng = np.random.default_rng(0)
+    table = np.vstack([rng.random((len(pieces), 2)), np.zeros((1, 2))])
+    words = ["▁" + "".join(w) for n in range(1, 6) for w in product("abc", repeat=n)]
+    got = language.word_scores(words, v, table)
+    for i, word in enumerate(words):
+        for k in range(2):
+            expected = segmentations(word, dict(zip(order, table[:, k], strict=False)))
+            assert np.isclose(got[i, k], np.log(expected))
+
+
+def test_expected_counts_match_enumeration():
+    pieces = ["a", "b", "ab", "ba"]
+    v = language.vocabulary_of(pieces)
+    order = sorted(pieces, key=language.piece_hash)
+    chance = np.array([0.1, 0.4, 0.3, 0.2])
+    by_piece = dict(zip(order, chance, strict=True))
+
+    def walk(word):
+        if not word:
+            return [(1.0, [])]
+        out = [(language.UNKNOWN * p, used) for p, used in walk(word[1:])]
+        for n in (1, 2):
+            if word[:n] in by_piece and len(word) >= n:
+                out += [(by_piece[word[:n]] * p, [word[:n], *used]) for p, used in walk(word[n:])]
+        return out
+
+    ways = walk("abab")
+    whole = sum(p for p, _ in ways)
+    expected = [3 * sum(p * used.count(x) for p, used in ways) / whole for x in order]
+    got = language.expected_counts(["abab"], np.array([3.0]), v, chance)
+    assert np.allclose(got, expected)
+
+
+def test_language_query_holds_out_and_predicts(spark):
+    rows = language.op3_segmentation_language(spark, SMALL).collect()
+    truth = {r.doc_id: r for r in read(spark, SMALL, "documents").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(truth)
+    held = [r for r in rows if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    long = [r for r in held if len(truth[r.doc_id].text.split()) >= 20]
+    assert sum(r.lang_pred == truth[r.doc_id].lang for r in long) >= 0.95 * len(long)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_language_edges(spark, documents):
+    rows = [(i, "the house of the water", "en") for i in range(12)] + [
+        (i, "das haus und der wein", "de") for i in range(12, 24)] + [
+        (100, None, "en"), (101, "12 34 ²", "en"), (102, "", None), (None, "der wein", None),
+        (103, "x" * 5000, "de"), (103, "x" * 5000, "de")]
+    got = language.identify_languages(documents(rows)).collect()
+    assert len(got) == len(rows)
+    by_id = {r.doc_id: r for r in got}
+    assert [by_id[i].lang_pred for i in (100, 101, 102)] == ["und"] * 3
+    assert by_id[None].lang_pred == "de" and by_id[None].held_out
+    assert by_id[0].lang_pred == "en" and by_id[12].lang_pred == "de"
+    nothing = language.identify_languages(documents([(1, "a b", None)])).collect()
+    assert [(r.lang_pred, r.score) for r in nothing] == [("und", 0.0)]
+    assert language.identify_languages(documents([]).where("false")).count() == 0
+
+
+# --- shards ------------------------------------------------------------------------------
+
+def check_shards(rows, sizes, n):
+    """rows: (order, size, shard, slot) of every row."""
+    total, start = sum(sizes), 0
+    counts = Counter()
+    for _, size, shard, slot in rows:
+        assert shard == min(n - 1, start * n // max(1, total))
+        assert slot == counts[shard]
+        counts[shard] += 1
+        start += size
+
+
+def test_shards_are_prefix_sums(spark):
+    rows = sharding.op5_prefix_sum_shards(spark, SMALL).collect()
+    texts = {r.doc_id: r.text for r in read(spark, SMALL, "documents").collect()}
+    ordered = sorted(rows, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in ordered] == sorted(texts)
+    for r in rows:
+        data = texts[r.doc_id].encode()
+        assert (r.size, r.text_crc32, r.law) == (len(data) + 16, zlib.crc32(data), "bytes")
+    check_shards([(r.doc_id, r.size, r.shard, r.slot) for r in ordered],
+                 [r.size for r in rows], 40)
+
+
+def test_shards_with_ties_nulls_and_a_hot_key(spark, documents):
+    rows = [(7, "same text")] * 500 + [(None, None), (None, ""), (1, "é" * 1000), (2, "x" * 90_000)]
+    rows += [(i, "y" * (i % 50)) for i in range(100, 300)]
+    out = sharding.prefix_sum_shards(documents(rows), sharding.text_bytes(
+        documents(rows)["text"]), ["doc_id"], 8)
+    got = out.collect()
+    assert "shard" in out.columns and out.columns.count("shard") == 1
+    assert len(got) == len(rows)
+    ordered = sorted(got, key=lambda r: (r.shard, r.slot))
+    assert [r.doc_id for r in ordered] == sorted(
+        (r[0] for r in rows), key=lambda x: (x is not None, x or 0))
+    sizes = [len((r.text or "").encode()) + 16 for r in ordered]
+    check_shards([(0, s, r.shard, r.slot) for s, r in zip(sizes, ordered, strict=True)], sizes, 8)
+    empty = documents([]).where("false")
+    assert sharding.prefix_sum_shards(empty, sharding.text_bytes(empty["text"]),
+                                      ["doc_id"]).count() == 0
+
+
+# --- mixing ------------------------------------------------------------------------------
+
+def test_raking_matches_numpy(spark, documents):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.randrange(1, 90)), rng.choice(["en", "de", None]),
+             rng.choice(["a", "a", "a", "b", None])) for i in range(300)]
+    rows += [(900, None, "en", "a"), (901, "", "de", "b")]
+    got = mixing.mix(documents(rows)).collect()
+    assert len(got) == len(rows)
+    cells = Counter()
+    for r in got:
+        assert r.n_tokens == len((next(x[1] for x in rows if x[0] == r.doc_id) or "").split())
+        cells[r.source, r.lang, r.topic] += r.n_tokens
+    cells = {k: v for k, v in cells.items() if v}
+    total = sum(cells.values())
+    mass = {k: v / total for k, v in cells.items()}
+    goals = []
+    for d, name in enumerate(mixing.DIMENSIONS):
+        sums = Counter()
+        for k, v in cells.items():
+            sums[k[d]] += v
+        parts = {k: v ** mixing.POWERS[name] for k, v in sums.items()}
+        goals.append({k: v / sum(parts.values()) for k, v in parts.items()})
+    for _ in range(200):
+        for d, goal in enumerate(goals):
+            sums = Counter()
+            for k, v in mass.items():
+                sums[k[d]] += v
+            mass = {k: v * goal[k[d]] / sums[k[d]] for k, v in mass.items()}
+    low, high = 0.0, 1e6
+    for _ in range(200):  # the factor by bisection
+        middle = (low + high) / 2
+        expected = sum(min(1, middle * mass[k] / cells[k]) * cells[k] for k in cells)
+        low, high = (middle, high) if expected < mixing.TOKEN_SHARE * total else (low, middle)
+    for r in got:
+        key = r.source, r.lang, r.topic
+        if not r.n_tokens:
+            assert (r.weight, r.probability, r.kept) == (0, 0, False)
+            continue
+        assert np.isclose(r.weight, mass[key] * total / cells[key], rtol=1e-4)
+        assert np.isclose(r.probability, min(1, low * mass[key] / cells[key]), rtol=1e-3)
+    again = {r.doc_id: r.kept for r in mixing.mix(documents(rows)).collect()}
+    assert again == {r.doc_id: r.kept for r in got}
+    assert mixing.mix(documents([]).where("false")).count() == 0
+
+
+# --- near duplicates ---------------------------------------------------------------------
+
+def shingles(text):
+    words = (text or "").lower().split()
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_join(rows, threshold=0.8):
+    sets = [shingles(t) for _, t in rows]
+    norm = [" ".join((t or "").lower().split()) for _, t in rows]
+    group, links = list(range(len(rows))), [0] * len(rows)
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            near = both and both >= threshold * (len(sets[i] | sets[j])) - 1e-9
+            if near or norm[i] == norm[j]:
+                links[i] += 1
+                links[j] += 1
+                group[root(i)] = root(j)
+    least = {}
+    for i, (key, _) in enumerate(rows):
+        if key is not None:
+            least[root(i)] = min(least.get(root(i), key), key)
+    return sorted(((key, least.get(root(i)), links[i]) for i, (key, _) in enumerate(rows)), key=str)
+
+
+def variants(rng, words, n, changes):
+    out = []
+    for _ in range(n):
+        copy = list(words)
+        for _ in range(rng.randrange(changes)):
+            copy[rng.randrange(len(copy))] = f"new{rng.randrange(10 ** 6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_join_matches_all_pairs(spark, documents, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 16)  # several blocks for the large group
+    rng = random.Random(8)
+    texts = variants(rng, prose(rng, 150).split(), 90, 8)       # a large group around 0.8
+    for _ in range(12):
+        texts += variants(rng, prose(rng, rng.randrange(5, 120)).split(), 5, 4)
+    texts += [None, "", "  \n", "one two", "One  TWO", "one two three", "a b c d e", "A b c d e f"]
+    rows = [(1000 - i, t) for i, t in enumerate(texts)] + [(3, "a b c d e")] * 4 + [(None, texts[0])]
+    got = jaccard.jaccard_join(documents(rows)).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=str) == plain_join(rows)
+    firsts = {}
+    for r in got:
+        if r.first:
+            firsts.setdefault(r.class_id, set()).add((r.doc_id, r.digest))
+    classes = {r.class_id for r in got}
+    assert set(firsts) == classes
+    assert jaccard.jaccard_join(documents([]).where("false")).count() == 0
+
+
+def test_intersections_in_runs_of_columns(monkeypatch):
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
+    rng = random.Random(3)
+    made = jaccard.shingled([prose(rng, 60) + " a b c d e f g h" for _ in range(12)])["shingles"]
+    got = jaccard.intersections(made[:5], made[5:])
+    assert [[len(set(a) & set(b)) for b in made[5:]] for a in made[:5]] == got.tolist()
+
+
+def test_pruning_keeps_pairs_at_the_threshold():
+    looks = jaccard.least_matches(0.8, 1e-7)
+    rng = np.random.default_rng(0)
+    matches = (rng.random((200_000, jaccard.HASHES)) < 0.8).cumsum(axis=1)
+    lost = np.zeros(len(matches), bool)
+    for turn, least in enumerate(looks, start=1):
+        lost |= matches[:, turn * jaccard.STEP - 1] < least
+    assert lost.sum() == 0
+    rare = (rng.random((1000, jaccard.HASHES)) < 0.4).sum(axis=1)
+    assert (rare < looks[-1]).mean() > 0.99
+
+
+# --- leaks -------------------------------------------------------------------------------
+
+def test_leaks_are_found_and_clean_documents_left(spark, documents):
+    rng = random.Random(6)
+    vocabulary = ["".join(rng.choices("bcdfgklmnprst", k=2)) + rng.choice(["a", "e", "io"]) +
+                  "".join(rng.choices("bdgklmnrst", k=2)) for _ in range(3000)]
+
+    def text(n):
+        return " ".join(rng.choices(["the", "of", "and"] * 400 + vocabulary, k=n))
+
+    items = [(i, text(20) + ". So the answer is " + text(6) + ".") for i in range(30)]
+    items += [(100, None), (101, ""), (102, "...")]
+    rows, truth = [], set()
+    for i in range(120):
+        body = text(300)
+        if i < 60:
+            item = items[i % 30][1]
+            if i >= 30:  # a paraphrase: some words of the question changed, the answer kept
+                words = item.split()
+                for k in rng.sample(range(18), 5):
+                    words[k] = rng.choice(vocabulary)
+                item = " ".join(words)
+            words = body.split()
+            at = rng.randrange(len(words))
+            body = " ".join([*words[:at], item, *words[at:]])
+            truth.add((i, i % 30))
+        rows.append((i, body))
+    rows += [(500, None), (501, ""), (502, text(2))]
+    bench = spark.createDataFrame([(*r, "x") for r in items], "item_id long, text string, topic string")
+    found = {(r.doc_id, r.item_id): r for r in
+             decontamination.find_leaks(documents(rows), bench).collect()}
+    assert truth <= set(found)
+    assert len(set(found) - truth) == 0
+    empty = documents([]).where("false")
+    assert decontamination.find_leaks(empty, bench).count() == 0
+    assert decontamination.find_leaks(documents(rows), bench.where("false")).count() == 0
+
+
+def test_subsequence_matches_dynamic_programming():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = rng.choices("abcd", k=rng.randrange(1, 30))
+        b = rng.choices("abcd", k=rng.randrange(1, 90))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = (table[i][j] + 1 if x == y
+                                       else max(table[i][j + 1], table[i + 1][j]))
+        assert decontamination.common_subsequence(
+            decontamination.masks_of(a), len(a), b) == table[-1][-1]
+
+
+def test_randomised_svd_matches_numpy(spark):
+    rng = np.random.default_rng(1)
+    dense = rng.standard_normal((80, 6)) @ rng.standard_normal((6, 40))
+    dense[np.abs(dense) < 0.5] = 0
+    rows = spark.createDataFrame(
+        [([int(i) for i in np.flatnonzero(r)], [float(v) for v in r[r != 0]]) for r in dense],
+        "terms array<int>, weights array<double>")
+    basis = decontamination.randomised_svd(rows, 40, 10)
+    exact = np.linalg.svd(dense)[2][:10]
+    # The subspaces agree: projections of the exact vectors lose almost nothing.
+    assert np.linalg.norm(exact @ basis, axis=1)[:5].min() > 0.999
+
+
+def test_leak_query_recall_against_brute_force(spark):
+    got = {(r.doc_id, r.item_id)
+           for r in decontamination.op1_latent_decontamination(spark, SMALL).collect()}
+    docs = {r.doc_id: decontamination.words_of(r.text)
+            for r in read(spark, SMALL, "documents").collect()}
+    truth = set()
+    for item in read(spark, SMALL, "benchmark").collect():
+        words = decontamination.words_of(item.text)
+        masks, n = decontamination.masks_of(words), len(words)
+        for doc, body in docs.items():
+            if len(set(words) & set(body)) >= 0.8 * len(set(words)) and any(
+                    decontamination.common_subsequence(masks, n, body[k:k + 2 * n]) >= 0.8 * n
+                    for k in range(0, len(body), max(1, n // 2))):
+                truth.add((doc, item.item_id))
+    assert truth and len(truth & got) >= 0.9 * len(truth)
+
+
+# --- pipeline ----------------------------------------------------------------------------
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    docs, out = read(spark, SMALL, "documents"), []
+    for name, stage in corpus_pipeline.STAGES:
+        from querytrail.session import stored
+        after = stored(stage(spark, docs, SMALL))
+        out.append((name, docs.collect(), after.collect(), after.columns))
+        docs = after
+    return out
+
+
+def test_stages_keep_rows_whole(staged):
+    assert [s[0] for s in staged] == [n for n, _ in corpus_pipeline.STAGES]
+    for name, before, after, columns in staged[:-1]:
+        assert columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+        assert {tuple(r) for r in after} <= {tuple(r) for r in before}, name
+    assert staged[-1][3] == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"]
+    assert len(staged[-1][1]) == len(staged[-1][2])
+
+
+def test_near_duplicate_stage_leaves_one_of_each_group(staged):
+    _, before, after, _ = staged[1]
+    rows = [(r.doc_id, r.text) for r in before]
+    classes = {key: least for key, least, _ in plain_join(rows)}
+    assert sorted(r.doc_id for r in after) == sorted(set(classes.values()))
+
+
+def test_decontamination_stage_drops_the_leaks_alone(staged):
+    _, before, after, _ = staged[2]
+    gone = {r.doc_id for r in before} - {r.doc_id for r in after}
+    bench = [r.text for r in read_benchmark()]
+    holding = {r.doc_id for r in before if any(b[:40] in r.text and b[-40:] in r.text
+                                               for b in bench)}
+    assert holding <= gone
+    assert len(gone) <= len(holding) + 1
+
+
+def read_benchmark():
+    from pyspark.sql import SparkSession
+    return read(SparkSession.getActiveSession(), SMALL, "benchmark").collect()
+
+
+def test_stages_with_awkward_rows(spark, documents, folder):
+    rng = random.Random(12)
+    rows = [(i, prose(rng, 80), "en", "s") for i in range(30)]
+    rows += [(1, rows[1][1], "en", "s"), (1, rows[1][1], "en", "s"), (None, prose(rng, 60), None, None),
+             (40, None, None, None), (41, "", "en", "s"), (42, "1 2 3", "en", "s"),
+             (43, rows[2][1], "en", "t")]
+    frame = documents(rows).drop("shard", "slot")
+    bench = spark.createDataFrame([(1, "zz yy xx ww vv uu")], "item_id long, text string")
+    path = folder(documents=frame, benchmark=bench)
+    docs = read(spark, path, "documents")
+    near = corpus_pipeline.near_duplicates(spark, docs, path)
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in near.collect())
+    assert kept == sorted([(False, i) for i in range(30)] + [(True, 0), (False, 40), (False, 42)])
+    out = corpus_pipeline.run(spark, path)
+    assert out.columns[:2] == ["doc_id", "text"] and out.where("doc_id = 42").count() == 0
+    empty = folder(documents=frame.where("false"), benchmark=bench.where("false"))
+    assert corpus_pipeline.run(spark, empty).count() == 0
