@@ -37,29 +37,25 @@ REFRESH = (r"(?is)^<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)"
            r"[^>]*\bcontent\s*=\s*[^>]*?\burl\s*=\s*[\"']?([^\"'\s>;]+)")
 
 
-def _rest(url: Column) -> Column:
-    """What follows the first ``://``; empty where there is none."""
-    at = F.instr(url, "://")
-    return F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise("")
-
-
-def url_host(url: Column) -> Column:
-    host = F.regexp_extract(F.coalesce(_rest(url), F.lit("")), "^[^/?#]*", 0)
-    return F.translate(host, ascii_uppercase, ascii_lowercase)
-
+def url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
+    """``df`` with ``host``, ``path`` and ``node`` of a url column.
 
-def url_path(url: Column) -> Column:
-    return F.regexp_extract(F.coalesce(_rest(url), F.lit("")), "^[^/?#]*([^?#]*)", 1)
-
-
-def url_node(url: Column) -> Column:
-    """Identity of a page: host, path and query; scheme and fragment do not matter.
-
-    NULL where the url has no host, so that such pages are nobody's alias.
+    ``node`` is the identity of a page: host, path and query; scheme and fragment do not
+    matter. It is NULL where the url has no host, so that such pages are nobody's alias. Each
+    step is a projection of its own, so nothing is computed twice.
     """
-    path = F.when(url_path(url) == "", "/").otherwise(url_path(url))
-    query = F.regexp_extract(_rest(url), r"^[^?#]*(\?[^#]*)", 1)
-    return F.when(url_host(url) != "", F.concat(url_host(url), path, query))
+    rest, host, path = f"{prefix}__rest", f"{prefix}host", f"{prefix}path"
+    at = F.instr(url, "://")
+    cut = df.withColumn(rest, F.when(at > 0, F.substring(F.col(url), at + 3, F.length(url)))
+                        .otherwise(""))
+    cut = cut.withColumn(rest, F.coalesce(rest, F.lit("")))
+    parts = cut.withColumns({
+        host: F.translate(F.regexp_extract(rest, "^[^/?#]*", 0),
+                          ascii_uppercase, ascii_lowercase),
+        path: F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1)})
+    query = F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1)
+    return parts.withColumn(f"{prefix}node", F.when(F.col(host) != "", F.concat(
+        host, F.when(F.col(path) == "", "/").otherwise(F.col(path)), query))).drop(rest)
 
 
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -90,18 +86,17 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     return F.try_element_at(F.sort_array(fitting, asc=False), F.lit(1))
 
 
-def resolved(link: Column, base: Column) -> Column:
-    """Node of a link as written on a page of url ``base``; NULL where it leads to no page."""
-    scheme = F.coalesce(F.nullif(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1),
+def resolved(link: Column, url: Column, host: Column, path: Column) -> Column:
+    """A link as written on a page as a whole url; NULL where it leads to no page."""
+    scheme = F.coalesce(F.nullif(F.regexp_extract(url, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1),
                                  F.lit("")), F.lit("http"))
-    folder = F.regexp_replace(url_path(base), "[^/]*$", "")
-    absolute = (F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
-                .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-                .when(link.startswith("/"), F.concat(scheme, F.lit("://"), url_host(base), link))
-                .when(link.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None).cast("string"))
-                .otherwise(F.concat(scheme, F.lit("://"), url_host(base),
-                                    F.when(folder == "", "/").otherwise(folder), link)))
-    return url_node(absolute)
+    folder = F.regexp_replace(path, "[^/]*$", "")
+    return (F.when(link.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), link)
+            .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
+            .when(link.startswith("/"), F.concat(scheme, F.lit("://"), host, link))
+            .when(link.rlike("^([A-Za-z][A-Za-z0-9+.-]*:|#)"), F.lit(None).cast("string"))
+            .otherwise(F.concat(scheme, F.lit("://"), host,
+                                F.when(folder == "", "/").otherwise(folder), link)))
 
 
 def page_links(pages: DataFrame) -> DataFrame:
@@ -111,9 +106,10 @@ def page_links(pages: DataFrame) -> DataFrame:
                     .alias("tag")))
     target = F.coalesce(F.nullif(F.regexp_extract("tag", CANONICAL, 1), F.lit("")),
                         F.nullif(F.regexp_extract("tag", REFRESH, 1), F.lit("")))
-    return (tags.select("url", target.alias("link")).where("link is not null")
-            .select(url_node(F.col("url")).alias("a"),
-                    resolved(F.col("link"), F.col("url")).alias("b")))
+    links = url_parts(tags.select("url", target.alias("link")).where("link is not null"), "url")
+    whole = links.select(F.col("node").alias("a"), resolved(
+        F.col("link"), F.col("url"), F.col("host"), F.col("path")).alias("to"))
+    return url_parts(whole, "to").select("a", F.col("node").alias("b"))
 
 
 def redirect_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES,
@@ -135,21 +131,21 @@ def redirect_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES,
     """
     edges = page_links(pages)
     if redirects is not None:
-        edges = edges.union(redirects.select(url_node(F.col("src")), url_node(F.col("dst"))))
+        given = url_parts(url_parts(redirects.select("src", "dst"), "src", "a_"), "dst", "b_")
+        edges = edges.union(given.select("a_node", "b_node"))
     roots = components(stored(edges.where("a is not null and b is not null").distinct()))
 
-    def ruled(url: Column) -> Column:
-        return matching_rule(url_host(url), url_path(url), rules)
+    def ruled(df: DataFrame) -> DataFrame:
+        return df.withColumn("own", matching_rule(F.col("host"), F.col("path"), rules))
 
-    known = stored(roots.withColumn(
-        "verdict", ruled(F.concat(F.lit("http://"), F.col("node")))["verdict"]))
+    nodes = roots.select("root", F.concat(F.lit("http://"), F.col("node")).alias("url"))
+    known = stored(ruled(url_parts(nodes, "url")).select(
+        "node", "root", F.col("own")["verdict"].alias("verdict")))
     decisions = known.where("verdict is not null").groupBy("root").agg(
         F.min("verdict").alias("alias_verdict"))  # allow sorts before block
     by_node = known.select("node", "root").join(decisions, "root").select("node", "alias_verdict")
 
-    url = F.col("url")
-    judged = pages.select("page_id", url_host(url).alias("host"), url_path(url).alias("path"),
-                          url_node(url).alias("node"), ruled(url).alias("own"))
+    judged = ruled(url_parts(pages.select("page_id", "url"), "url"))
     own, alias = F.col("own")["verdict"], F.col("alias_verdict")
     return judged.join(by_node, "node", "left").select(
         "page_id", "host", "path", F.col("own")["rule"].alias("rule"),
