@@ -20,7 +20,7 @@ THRESHOLD = 0.8
 BANDS, ROWS = 32, 4      # a pair at the threshold shares no band once in 20 million times
 HASHES = BANDS * ROWS
 STEP = 16                # MinHash values compared before the posterior is looked at again
-TOLERANCE = 1e-7         # chance of reaching the threshold below which a pair is dropped
+TOLERANCE = 1e-10        # chance of reaching the threshold below which a pair is dropped
 BLOCK = 256              # classes of a block; pairs are made between blocks that share a bucket
 HASH_CHUNK = 60_000      # shingles hashed at once
 COLUMNS = 8192           # shingles of a block pair compared at once
