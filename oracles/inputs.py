@@ -47,6 +47,7 @@ def distance(a: str, b: str) -> str:
 
 
 SID = "CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y%m%d')"
+SID_OF_EVENT = "CAST(e.user_id AS VARCHAR) || '-' || strftime(e.ts, '%Y%m%d')"
 SECONDS = "CAST(floor(epoch(ts)) AS BIGINT)"
 STAMP = (f"CASE WHEN event_id % 301 = 0 THEN 0 WHEN event_id % 13 = 0 THEN {SECONDS} * 1000 "
          f"ELSE {SECONDS} END")
@@ -72,25 +73,44 @@ QUERY_COLUMNS = ["JOB_ID", "MESSAGE_ID", "QUERY_COUNTER", "TIMESTAMP", "TIMESTAM
 RESPONSE_COLUMNS = ["JOB_ID", "CV_ID", "TIMESTAMP", "RESPONSE_TYPE", "TIMESTAMP_FORMATTED"]
 
 TABLES: dict[str, str] = {
-    "query_log": f"""
-        SELECT event_id AS row_id,
-               CASE WHEN event_id % 211 <> 0 THEN sid END AS JOB_ID,
-               MESSAGE_ID,
+    "query_events": f"""
+        SELECT event_id, doc_id, k, visits, n_queries, j, sid, event_ts, MESSAGE_ID,
+               event_ts + to_seconds(j) AS ts,
+               row_number() OVER (PARTITION BY sid, MESSAGE_ID
+                                  ORDER BY event_ts, event_id, j) AS position
+        FROM (SELECT *, unnest(range(n_queries + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END)) AS j
+              FROM (SELECT e.event_id, e.ts AS event_ts, {SID_OF_EVENT} AS sid,
+                           CAST(e.event_id % 2 AS VARCHAR) AS MESSAGE_ID,
+                           d.doc_id, e.event_id // n_docs AS k, v.visits,
+                           1 + (d.n_chars // v.visits) // 30 AS n_queries
+                    FROM events e
+                    CROSS JOIN (SELECT count(*) AS n_docs FROM documents) c
+                    JOIN documents d ON d.doc_id = e.event_id % c.n_docs
+                    JOIN (SELECT event_id % (SELECT count(*) FROM documents) AS doc_id,
+                                 count(*) AS visits FROM events GROUP BY 1) v
+                      ON v.doc_id = d.doc_id))""",
+    "event_log": f"""
+        SELECT event_id * 1000000 + j AS row_id,
+               CASE WHEN event_id % 211 <> 0 THEN sid END AS JOB_ID, MESSAGE_ID,
                position + CASE WHEN event_id % 50 = 0 THEN 1 ELSE 0 END AS QUERY_COUNTER,
-               {STAMP} AS "TIMESTAMP",
-               {STAMP_TEXT} AS TIMESTAMP_FORMATTED,
-               CASE WHEN event_id % 17 = 0 THEN NULL
-                    WHEN event_id % 5 = 0 THEN array_to_string(w[s:s + 1], ' and ')
-                    WHEN event_id % 7 = 0 THEN '+' || array_to_string(w[s:s + 1], ' ') || '*'
-                    ELSE array_to_string(w[s:s + event_id % 6], ' ') END AS QUERY
-        FROM (SELECT e.*, d.w, (event_id // n_docs) * 6 % len(d.w) + 1 AS s
-              FROM (SELECT event_id, ts, {SID} AS sid, CAST(event_id % 2 AS VARCHAR) AS MESSAGE_ID,
-                           row_number() OVER (PARTITION BY {SID}, event_id % 2
-                                              ORDER BY ts, event_id) AS position
-                    FROM events) e
-              CROSS JOIN (SELECT count(*) AS n_docs FROM documents) n
-              JOIN (SELECT doc_id, string_split_regex(lower(text), '[ \\n]+') AS w
-                    FROM documents) d ON d.doc_id = e.event_id % n.n_docs)""",
+               {STAMP} AS "TIMESTAMP", {STAMP_TEXT} AS TIMESTAMP_FORMATTED,
+               event_id, doc_id, k, visits, n_queries, j
+        FROM query_events""",
+    "query_log": """
+        SELECT row_id, JOB_ID, MESSAGE_ID, QUERY_COUNTER, "TIMESTAMP", TIMESTAMP_FORMATTED,
+               CASE WHEN j = n_queries THEN NULL
+                    WHEN (event_id + j) % 5 = 0 THEN array_to_string(w[s + 1:e], ' and ')
+                    WHEN (event_id + j) % 7 = 0
+                        THEN '+' || array_to_string(w[s + 1:e], ' ') || '*'
+                    ELSE array_to_string(w[s + 1:e], ' ') END AS QUERY
+        FROM (SELECT *, greatest(a + (b - a) * (j + 1) // n_queries, s + 1) AS e
+              FROM (SELECT *, a + (b - a) * j // n_queries AS s
+                    FROM (SELECT l.*, d.w, k * len(d.w) // visits AS a,
+                                 greatest((k + 1) * len(d.w) // visits,
+                                          k * len(d.w) // visits + 1) AS b
+                          FROM event_log l
+                          JOIN (SELECT doc_id, string_split_regex(lower(text), '[ \\n]+') AS w
+                                FROM documents) d USING (doc_id))))""",
     "response_log": f"""
         SELECT event_id AS row_id, {SID} AS JOB_ID,
                CASE WHEN event_id % 89 <> 0 THEN event_id END AS CV_ID,
@@ -316,7 +336,7 @@ TABLES: dict[str, str] = {
     "company": """
         SELECT DISTINCT job_id, company_id, company_name, industry_sector_name FROM industry""",
     "master": """
-        SELECT a.job_id, a.job_title, a.n_words, a.n_chars, c.company_id, c.company_name,
+        SELECT a.job_id, a.text, a.job_title_raw, a.job_title, a.n_words, a.n_chars, c.company_id, c.company_name,
                c.industry_sector_name, s.skill
         FROM ads a LEFT JOIN company c ON c.job_id = a.job_id
         LEFT JOIN skills s ON s.job_id = a.job_id""",

@@ -1,33 +1,34 @@
-"""Equi-joins in which a NULL key matches a NULL key."""
+"""Equi-joins in which a NULL key matches a NULL key.
+
+No side is marked for broadcast: frames read several times are written first, so the planner
+knows their bytes and broadcasts below ``spark.sql.autoBroadcastJoinThreshold``.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
-
+from ..session import stored
 
-# A side of at most this many narrow rows is sent to every executor.
-BROADCAST_ROWS = 1_000_000
+# Tuning parameter: a key with more rows than this on the right is joined by itself.
+HOT_ROWS = 5_000_000
+KEY = "_key"
 
 
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Write a join side once, count it, and mark it for broadcast if it is small.
-
-    Beyond ``max_rows`` the written copy is returned unmarked, with False: it joins
-    by shuffle. For narrow rows only.
-    """
-    written = checkpointed(df)
-    small = written.count() <= max_rows
-    return (F.broadcast(written) if small else written), small
+def key_of(*names: str) -> Column:
+    """One text that is never NULL and differs wherever the values (or their being NULL) do."""
+    return F.concat(*[F.when(F.col(n).isNull(), "-").otherwise(F.concat(
+        F.length(F.col(n).cast("string")).cast("string"), F.lit(":"), F.col(n).cast("string")))
+        for n in names])
 
 
-def materialised_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    return small_side(df, max_rows)[0]
+def keyed(df: DataFrame, *names: str, key: str = KEY) -> DataFrame:
+    """``df`` with one key column, on which grouping, windows and joins share an exchange."""
+    return df.withColumn(key, key_of(*names))
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
@@ -47,17 +48,21 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
-def fan_out_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def fan_out_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                      hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join to a side that may hold very many rows for one key.
 
-    A left outer join cannot be split on its right side. Keys without a partner
-    are therefore added to the right side first (reading only the key columns of
-    the left one), after which an inner join gives the same rows and adaptive
-    execution may split either side of a hot key.
+    A left outer join cannot be split on its right side. One count of the right keys finds
+    those with more than ``hot_rows`` rows; usually there are none and this is a plain left
+    join. Rows with a hot key have a partner, so for them an inner join gives the same rows,
+    and adaptive execution may split either side of it.
     """
-    others = [f for f in right.schema.fields if f.name not in keys]
-    lonely = null_safe_join(left.select(*keys).distinct(), right.select(*keys).distinct(),
-                            keys, "left_anti")
-    padded = right.unionByName(
-        lonely.select(*keys, *[F.lit(None).cast(f.dataType).alias(f.name) for f in others]))
-    return null_safe_join(left, padded, keys, "inner")
+    hot = stored(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+                 .where(F.col("_rows") > hot_rows).select(*keys))
+    if hot.isEmpty():
+        return null_safe_join(left, right, keys)
+    ordinary = null_safe_join(null_safe_join(left, hot, keys, "left_anti"),
+                              null_safe_join(right, hot, keys, "left_anti"), keys)
+    spread = null_safe_join(null_safe_join(left, hot, keys, "left_semi"),
+                            null_safe_join(right, hot, keys, "left_semi"), keys, "inner")
+    return ordinary.unionByName(spread)

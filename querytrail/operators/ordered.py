@@ -18,9 +18,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed
+from ..session import stored
 from .joins import null_safe_join
 
+# Tuning parameter: both ways give the same rows.
 MAX_GROUP_ROWS = 5_000_000
 
 _PART = "_part"
@@ -40,7 +41,7 @@ def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gro
         return df, None
     if sizes is None:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-        hot = checkpointed(counts.where(F.col("rows") > max_group_rows))
+        hot = stored(counts.where(F.col("rows") > max_group_rows))
     else:
         hot = sizes.where(F.col("rows") > max_group_rows)
     hot_rows = hot.agg(F.sum("rows")).first()[0]
@@ -50,9 +51,9 @@ def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gro
     hot_keys = F.broadcast(hot.select(*keys))
     ordinary = null_safe_join(df, hot_keys, keys, "left_anti")
     parts = math.ceil(hot_rows / max_group_rows) + 1
-    # Part numbers depend on sampled range bounds, so they are fixed by a checkpoint
-    # before two branches use them.
-    cut = checkpointed(
+    # Part numbers depend on sampled range bounds, so they are written before
+    # two branches use them.
+    cut = stored(
         null_safe_join(df, hot_keys, keys, "left_semi")
         .repartitionByRange(parts, *keys, *_sort_key(order))
         .withColumn(_PART, F.spark_partition_id()))

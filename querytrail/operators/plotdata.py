@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .joins import null_safe_join
 
 
@@ -51,6 +52,45 @@ def histogram(df: DataFrame, value: Column, bins: int, by: Sequence[str] = (),
                     "n", *extra))
 
 
+def quantiles(df: DataFrame, value: Column, probabilities: Sequence[float],
+              by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles ``q`` and ``n_values`` per group, for values of which there may be many.
+
+    Values are counted, range-partitioned by group and value, and numbered by running sums
+    that start from the totals of earlier partitions, so no task holds more than its part.
+    Between two ranks the quantile is interpolated. Groups without a value are left out.
+    """
+    counts = value_counts(df, value, by)
+    cut = stored(counts.repartitionByRange(*[F.col(c) for c in by], F.col("value"))
+                 .withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = cut.groupBy(*by, "_part").agg(F.sum("n").alias("_rows")).select(
+        *by, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(Window.partitionBy(*by)).alias("n_values"))
+    inside = Window.partitionBy(*by, "_part").orderBy("value")
+    ranked = null_safe_join(cut, parts, [*by, "_part"]).withColumn(
+        "_end", F.col("_before") + F.sum("n").over(inside))
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("n") <= rank),
+                            F.col("value")))
+
+    ends = []
+    for i, p in enumerate(probabilities):
+        place = (F.col("n_values") - 1) * p
+        ends += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}")]
+    found = ranked.groupBy(*by, "n_values").agg(*ends)
+
+    def between(i: int, p: float) -> Column:
+        place, low, high = (F.col("n_values") - 1) * p, F.col(f"_low{i}"), F.col(f"_high{i}")
+        share = place - F.floor(place)
+        return F.when(share == 0, low.cast("double")).otherwise(
+            low * (F.ceil(place) - place) + high * share)
+
+    return found.select(*by, "n_values", F.array(
+        *[between(i, p) for i, p in enumerate(probabilities)]).alias("q"))
+
+
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
     """Least-squares line of ``y`` on ``x`` over complete pairs.
 
@@ -75,15 +115,10 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
 def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 box lengths, and outliers per group.
 
-    The groups are a handful of labels; the values are counted per group before
-    the quartiles are taken, and those counts serve both passes.
+    The groups are a handful of labels; the values are counted per group and read twice.
     """
     counts = value_counts(df, F.col(value), [group])
-    quartiles = counts.groupBy(group).agg(
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                     F.col("n")).alias("q"),
-        F.sum("n").alias("n_values"))
-    box = quartiles.select(
+    box = quantiles(df, F.col(value), [0.25, 0.5, 0.75], [group]).select(
         group, "n_values", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"),
         F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))

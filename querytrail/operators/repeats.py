@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import materialised_side, null_safe_join
+from ..session import stored
+from .joins import null_safe_join
 
 
 def keep_repeating_rows(df: DataFrame, row_id: str = "row_id",
@@ -26,16 +27,16 @@ def keep_repeating_rows(df: DataFrame, row_id: str = "row_id",
     anchor = anchor or columns[0]
     others = [c for c in columns if c != anchor]
 
-    all_new = materialised_side(
+    all_new = stored(
         df.groupBy(anchor).agg(F.min(row_id).alias(row_id)).select(row_id))
     if others:
-        candidates = materialised_side(
+        candidates = stored(
             _cells(df.join(all_new, row_id, "left_semi"), others, row_id))
         held = candidates.select("column", "value")
         first_seen = (null_safe_join(_cells(df, others, row_id), held, ["column", "value"],
                                      "left_semi")
                       .groupBy("column", "value").agg(F.min(row_id).alias("first_id")))
-        all_new = materialised_side(
+        all_new = stored(
             null_safe_join(candidates, first_seen, ["column", "value"], "inner")
             .groupBy(row_id)
             .agg(F.bool_and(F.col(row_id) == F.col("first_id")).alias("all_new"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,10 +58,12 @@ def single_content_sessions(log: DataFrame) -> DataFrame:
     session = present(log, SESSION_COLUMNS)
     content = [c for c in log.columns
                if c not in (*SESSION_COLUMNS, *TIMING_COLUMNS, ROW_ID)]
-    # A struct keeps rows with a NULL in the count of distinct contents.
-    contents = F.count_distinct(F.struct(*content)) if content else F.lit(1)
-    return (log.groupBy(*session).agg(contents.alias("n_contents"))
-            .where("n_contents = 1").select(*session))
+    if not content:
+        return log.select(*session).distinct()
+    # All rows agree if the least and the greatest do; in a struct NULL is a value.
+    row = F.struct(*content)
+    return (log.groupBy(*session).agg(F.min(row).alias("least"), F.max(row).alias("most"))
+            .where(F.col("least") == F.col("most")).select(*session))
 
 
 def clean_response_log(log: DataFrame, mode: str = "any_column",
@@ -112,8 +112,3 @@ def split_locations(areas: DataFrame) -> DataFrame:
         "location_id",
         as_integer(X.match_or_null(name, X.LEADING_DIGITS)).alias("postal_code"),
         X.squish(F.regexp_replace(name, X.LEADING_POSTAL_CODE, "")).alias("city_full"))
-
-
-def columns_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Those of the named columns that the frame has."""
-    return df.select(*present(df, names))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import pick_column
 from ..functions.timecols import as_integer, fix_timestamp_units
-from ..operators.joins import materialised_side, null_safe_join
+from ..operators.joins import KEY, keyed
 from ..operators.ordered import MAX_GROUP_ROWS, with_previous
 from ..operators.plotdata import box_statistics, linear_trend
 from ..operators.ranking import top
+from ..session import stored
 from .sessions import query_features
 
 # Session limits in seconds, response limits in minutes, the
@@ -25,69 +26,101 @@ ANSWERED, UNANSWERED = "At least one response", "No response"
 NAME_GLUE = ";"
 
 
-def industry_one(industry: DataFrame) -> DataFrame:
-    """One row per session: its distinct sector names, joined, first seen first.
-
-    Each name is reduced to its first row before names are gathered, so a session
-    gathers no more than the number of sectors. Without any name the text is empty.
-    """
-    job = F.col("JOB_ID").cast("string").alias("JOB_ID")
+def _industry_names(industry: DataFrame, *by: str) -> DataFrame:
     name = pick_column(industry, ["INDUSTRY_SECTOR_NAME"])
     if name is None:
-        return industry.select(job).distinct().withColumn(
+        return industry.select(*by).distinct().withColumn(
             "INDUSTRY_SECTOR_NAME", F.lit(None).cast("string"))
-    firsts = (industry.select(job, F.col(name).alias("name"), "row_id")
-              .groupBy("JOB_ID", "name").agg(F.min("row_id").alias("first_row")))
+    firsts = (industry.select(*by, F.col(name).alias("name"), "row_id")
+              .groupBy(*by, "name").agg(F.min("row_id").alias("first_row")))
     named = F.when(F.col("name").isNotNull(), F.struct("first_row", "name"))
     in_order = F.transform(F.array_sort(F.collect_list(named)), lambda pair: pair["name"])
-    return firsts.groupBy("JOB_ID").agg(
+    return firsts.groupBy(*by).agg(
         F.array_join(in_order, NAME_GLUE).alias("INDUSTRY_SECTOR_NAME"))
 
 
-def response_summary(responses: DataFrame) -> DataFrame:
-    """Positive responses and first response times per session."""
+def _with_job_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("JOB_ID", F.col("JOB_ID").cast("string"))
+
+
+def industry_one(industry: DataFrame) -> DataFrame:
+    """One row per session: its distinct sector names, joined, first seen first.
+
+    Each name is reduced to its first row before names are gathered, so a session
+    gathers no more than the number of sectors. Without any name the text is empty.
+    """
+    return _industry_names(_with_job_text(industry), "JOB_ID")
+
+
+def _response_measures(responses: DataFrame, *by: str) -> DataFrame:
     kind_name = pick_column(responses, ["RESPONSE_TYPE"])
     time_name = pick_column(responses, ["TIMESTAMP"])
     kind = as_integer(F.col(kind_name)) if kind_name else F.lit(None).cast("int")
     time = fix_timestamp_units(F.col(time_name)) if time_name else F.lit(None).cast("double")
     positive = F.col("kind") == POSITIVE
-    return (responses.select(F.col("JOB_ID").cast("string").alias("JOB_ID"),
-                             kind.alias("kind"), time.alias("time"))
-            .groupBy("JOB_ID").agg(
+    return (responses.select(*by, kind.alias("kind"), time.alias("time"))
+            .groupBy(*by).agg(
                 F.coalesce(F.bool_or(positive), F.lit(False)).alias("any_positive_response"),
                 F.count_if(positive).alias("total_positive_responses"),
                 F.min(F.when(positive, F.col("time"))).alias("first_positive_resp_ts"),
                 F.min("time").alias("first_any_response_ts")))
 
 
+def response_summary(responses: DataFrame) -> DataFrame:
+    """Positive responses and first response times per session."""
+    return _response_measures(_with_job_text(responses), "JOB_ID")
+
+
 def effort_features(log: DataFrame) -> DataFrame:
     """Query features with repaired times; a missing query counts as empty text."""
     return query_features(log, null_text="empty", fix_units=True).withColumn(
         "QUERY_COUNTER", as_integer(F.col("QUERY_COUNTER")))
 
 
-def session_bounds(features: DataFrame) -> DataFrame:
-    """Start, end, length in seconds and number of rows of every session."""
-    return features.groupBy("JOB_ID").agg(
+def session_times(log: DataFrame) -> DataFrame:
+    """Session and repaired time of every row; the queries are not read."""
+    time = (fix_timestamp_units(F.col("TIMESTAMP")) if "TIMESTAMP" in log.columns
+            else F.lit(None).cast("double"))
+    return _with_job_text(log).select("JOB_ID", time.alias("TIMESTAMP"))
+
+
+def _bounds(times: DataFrame, *by: str) -> DataFrame:
+    return times.groupBy(*by).agg(
         F.min("TIMESTAMP").alias("start_ts"), F.max("TIMESTAMP").alias("end_ts"),
         (F.max("TIMESTAMP") - F.min("TIMESTAMP")).alias("duration_s"),
         F.count(F.lit(1)).alias("rows"))
 
 
-def valid_sessions(features: DataFrame, shortest_s: float = SHORTEST_S,
+def session_bounds(times: DataFrame) -> DataFrame:
+    """Start, end, length in seconds and number of rows of every session."""
+    return _bounds(times, "JOB_ID")
+
+
+def valid_sessions(times: DataFrame, shortest_s: float = SHORTEST_S,
                    longest_s: float = LONGEST_S) -> DataFrame:
-    return session_bounds(features).where(F.col("duration_s").between(shortest_s, longest_s))
+    """Bounds of the sessions of usual length, with the key on which all else joins.
+
+    The key is never NULL, so grouping, windows and joins on it share one exchange of the
+    log, which a null-safe join would not.
+    """
+    return _bounds(keyed(times, "JOB_ID"), KEY, "JOB_ID").where(
+        F.col("duration_s").between(shortest_s, longest_s))
+
+
+def _of_valid(df: DataFrame, valid: DataFrame) -> DataFrame:
+    """The rows of valid sessions, with the key."""
+    return keyed(_with_job_text(df), "JOB_ID").join(valid.select(KEY), KEY, "left_semi")
 
 
 def only_valid(df: DataFrame, valid: DataFrame) -> DataFrame:
     """The rows of ``df`` that belong to valid sessions."""
-    return null_safe_join(df, valid.select("JOB_ID"), ["JOB_ID"], "left_semi")
+    return _of_valid(df, valid).select(*df.columns)
 
 
 def _distances(features: DataFrame, valid: DataFrame, max_group_rows: int) -> DataFrame:
     """Valid queries with the time since, and edit distance to, the previous one."""
     stepped = with_previous(
-        only_valid(features, valid), ["JOB_ID"], ["QUERY_COUNTER", "row_id"],
+        _of_valid(features, valid), [KEY], ["QUERY_COUNTER", "row_id"],
         {"previous_time": "TIMESTAMP", "previous_query": "QUERY"}, max_group_rows, valid)
     return stepped.withColumns({
         "time_gap_s": F.col("TIMESTAMP") - F.col("previous_time"),
@@ -102,19 +135,18 @@ def query_reformulation(log: DataFrame, responses: DataFrame, industry: DataFram
     Response and industry meet first, session to session, so that the queries,
     of which one session may hold very many, are joined once.
     """
-    features = effort_features(log)
-    valid = materialised_side(valid_sessions(features))
-    queries = _distances(features, valid, max_group_rows)
-    answered = response_summary(only_valid(responses, valid))
-    known = null_safe_join(valid.select("JOB_ID"), answered, ["JOB_ID"])
-    described = null_safe_join(known, industry_one(only_valid(industry, valid)), ["JOB_ID"])
-    return null_safe_join(queries, described, ["JOB_ID"])
+    valid = stored(valid_sessions(session_times(log)))
+    queries = _distances(effort_features(log), valid, max_group_rows)
+    answered = _response_measures(_of_valid(responses, valid), KEY)
+    named = _industry_names(_of_valid(industry, valid), KEY)
+    described = valid.select(KEY).join(answered, KEY, "left").join(named, KEY, "left")
+    return queries.join(described, KEY, "left").drop(KEY)
 
 
 def _timed_responses(responses: DataFrame, valid: DataFrame) -> DataFrame:
     """Response summary of valid sessions with minutes from start to first positive."""
-    summary = response_summary(only_valid(responses, valid))
-    started = null_safe_join(summary, valid.select("JOB_ID", "start_ts"), ["JOB_ID"], "inner")
+    summary = _response_measures(_of_valid(responses, valid), KEY)
+    started = summary.join(valid.select(KEY, "JOB_ID", "start_ts"), KEY)
     minutes = (F.col("first_positive_resp_ts") - F.col("start_ts")) / 60
     return started.withColumn("time_to_first_pos_response_min",
                               F.when(minutes.between(RESPONSE_MIN, RESPONSE_MAX), minutes))
@@ -122,7 +154,7 @@ def _timed_responses(responses: DataFrame, valid: DataFrame) -> DataFrame:
 
 def time_to_response(log: DataFrame, responses: DataFrame) -> DataFrame:
     """Minutes to the first positive response, where that is 0 to 240."""
-    valid = materialised_side(valid_sessions(effort_features(log)))
+    valid = stored(valid_sessions(session_times(log)))
     minutes = F.col("time_to_first_pos_response_min")
     return _timed_responses(responses, valid).select("JOB_ID", minutes).where(minutes.isNotNull())
 
@@ -134,9 +166,8 @@ def session_effectiveness(log: DataFrame, responses: DataFrame, industry: DataFr
     Response and industry are constant within a session, so they are joined after
     the queries have been aggregated, session to session.
     """
-    features = effort_features(log)
-    valid = materialised_side(valid_sessions(features))
-    sessions = _distances(features, valid, max_group_rows).groupBy("JOB_ID").agg(
+    valid = stored(valid_sessions(session_times(log)))
+    sessions = _distances(effort_features(log), valid, max_group_rows).groupBy(KEY, "JOB_ID").agg(
         F.count(F.lit(1)).alias("n_queries"),
         F.avg("time_gap_s").alias("avg_time_gap_s"),
         F.median("time_gap_s").alias("median_time_gap_s"),
@@ -144,21 +175,22 @@ def session_effectiveness(log: DataFrame, responses: DataFrame, industry: DataFr
         F.median("reformulation_dist").alias("median_reformulation"),
         F.avg(F.col("contains_boolean").cast("int")).alias("boolean_usage_rate"))
     answered = _timed_responses(responses, valid).select(
-        "JOB_ID", "any_positive_response", "total_positive_responses",
+        KEY, "any_positive_response", "total_positive_responses",
         "time_to_first_pos_response_min")
-    sectors = industry_one(only_valid(industry, valid)).withColumnRenamed(
+    sectors = _industry_names(_of_valid(industry, valid), KEY).withColumnRenamed(
         "INDUSTRY_SECTOR_NAME", "industry_sector")
-    return null_safe_join(null_safe_join(sessions, answered, ["JOB_ID"]), sectors, ["JOB_ID"])
+    return sessions.join(answered, KEY, "left").join(sectors, KEY, "left").drop(KEY)
 
 
 def industry_efficiency(sessions: DataFrame) -> DataFrame:
-    """Sessions and mean time to response per industry, single-industry sessions only."""
+    """Sessions and mean time to response per single industry, most sessions first."""
     minutes = F.col("time_to_first_pos_response_min")
     single = sessions.where(F.col("industry_sector").isNotNull()
                             & ~F.col("industry_sector").contains(NAME_GLUE) & (minutes > 0))
     return single.groupBy("industry_sector").agg(
         F.count(F.lit(1)).alias("sessions"),
-        F.avg(minutes).alias("mean_time_to_first_pos_response_min"))
+        F.avg(minutes).alias("mean_time_to_first_pos_response_min")).orderBy(
+            F.desc("sessions"), "industry_sector")
 
 
 def industry_efficiency_top(sessions: DataFrame, n: int = 8) -> DataFrame:

@@ -95,7 +95,7 @@ def sector_counts_top(weighted: DataFrame, n: int = 20) -> DataFrame:
 
 
 def sector_skill_counts(ads: DataFrame, details: DataFrame, skills: DataFrame) -> DataFrame:
-    """Master rows per sector and skill.
+    """Master rows per sector and skill, most frequent first.
 
     Ads and details shrink to counted (job, sector) pairs before the join.
     """
@@ -105,7 +105,8 @@ def sector_skill_counts(ads: DataFrame, details: DataFrame, skills: DataFrame) -
         F.count(F.lit(1)).alias("rows"))
     known = skills.where(F.col("skill").isNotNull()).select("job_id", "skill")
     return (null_safe_join(known, pairs, ["job_id"], "inner")
-            .groupBy("industry_sector_name", "skill").agg(F.sum("rows").alias("n")))
+            .groupBy("industry_sector_name", "skill").agg(F.sum("rows").alias("n"))
+            .orderBy(F.desc("n"), F.asc_nulls_last("industry_sector_name"), "skill"))
 
 
 def master_skill_counts(ads: DataFrame, details: DataFrame, skills: DataFrame) -> DataFrame:
@@ -127,16 +128,26 @@ def master_skill_counts_top(ads: DataFrame, details: DataFrame, skills: DataFram
 
 
 def rare_by_sector(counts: DataFrame, rare: DataFrame) -> DataFrame:
-    """Sector counts of the rare skills only."""
-    return null_safe_join(counts, rare.select("skill"), ["skill"], "left_semi")
+    """Sector counts of the rare skills only, most frequent first."""
+    return null_safe_join(counts, rare.select("skill"), ["skill"], "left_semi").orderBy(
+        F.desc("n"), F.asc_nulls_last("industry_sector_name"), "skill")
 
 
 def industry_complexity(weighted: DataFrame) -> DataFrame:
-    """Ad length per sector, each ad weighing as many rows as it has skills."""
-    return weighted.groupBy("industry_sector_name").agg(
+    """Ad length per sector, longest first, each ad weighing as many rows as it has skills.
+
+    The median comes from counted (sector, length) pairs, whole numbers of words of which
+    there are few; ads are counted apart from it.
+    """
+    narrow = stored(weighted.select("industry_sector_name", "job_id", "n_words", "weight"))
+    lengths = narrow.groupBy("industry_sector_name", "n_words").agg(F.sum("weight").alias("weight"))
+    words = lengths.groupBy("industry_sector_name").agg(
         _weighted_mean("n_words").alias("avg_words"),
-        F.percentile("n_words", F.lit(0.5), F.col("weight")).alias("median_words"),
-        _distinct_with_null("job_id").alias("n_ads"))
+        F.percentile("n_words", F.lit(0.5), F.col("weight")).alias("median_words"))
+    ads = (narrow.select("industry_sector_name", "job_id").distinct()
+           .groupBy("industry_sector_name").agg(F.count(F.lit(1)).alias("n_ads")))
+    return null_safe_join(words, ads, ["industry_sector_name"]).orderBy(
+        F.desc_nulls_last("avg_words"), F.asc_nulls_last("industry_sector_name"))
 
 
 def complexity_by(weighted: DataFrame, dimension: str) -> DataFrame:
@@ -206,7 +217,8 @@ def efficiency_score(level: DataFrame, names: Sequence[str] = ("n_words", "n_ski
 
 
 def efficiency_by_industry(scored: DataFrame) -> DataFrame:
-    """Mean score per sector; one missing score makes the mean missing."""
+    """Mean score per sector, highest first; one missing score makes the mean missing."""
     score = F.col("efficiency_score")
     return scored.groupBy("industry_sector_name").agg(
-        F.when(F.count_if(score.isNull()) == 0, F.avg(score)).alias("avg_efficiency_score"))
+        F.when(F.count_if(score.isNull()) == 0, F.avg(score)).alias("avg_efficiency_score")).orderBy(
+            F.desc_nulls_last("avg_efficiency_score"), F.asc_nulls_last("industry_sector_name"))

@@ -79,7 +79,7 @@ def _effectiveness(t: A.Tables) -> DataFrame:
 
 
 def _valid(t: A.Tables) -> DataFrame:
-    return effect.valid_sessions(effect.effort_features(A.query_log(t)))
+    return effect.valid_sessions(effect.session_times(A.event_log(t)))
 
 
 def _overlap(t: A.Tables) -> DataFrame:
@@ -167,32 +167,32 @@ def _(t):
 
 @query("audit_counter")
 def _(t):
-    return audit.audit_counter(A.query_log(t))
+    return audit.audit_counter(A.event_log(t))
 
 
 @query("audit_counter_counts")
 def _(t):
-    return audit.flag_counts(audit.audit_counter(A.query_log(t)), "counter_ok")
+    return audit.flag_counts(audit.audit_counter(A.event_log(t)), "counter_ok")
 
 
 @query("audit_time_sorted")
 def _(t):
-    return audit.audit_time_sorted(A.query_log(t))
+    return audit.audit_time_sorted(A.event_log(t))
 
 
 @query("audit_time_sorted_counts")
 def _(t):
-    return audit.flag_counts(audit.audit_time_sorted(A.query_log(t)), "backwards")
+    return audit.flag_counts(audit.audit_time_sorted(A.event_log(t)), "backwards")
 
 
 @query("audit_time_by_counter")
 def _(t):
-    return audit.audit_time_by_counter(_log(t))
+    return audit.audit_time_by_counter(stored(A.event_log(t)))
 
 
 @query("audit_time_by_counter_counts")
 def _(t):
-    return audit.flag_counts(audit.audit_time_by_counter(_log(t)), "backwards")
+    return audit.flag_counts(audit.audit_time_by_counter(stored(A.event_log(t))), "backwards")
 
 
 @query("clean_response_log")
@@ -281,13 +281,14 @@ def _(t):
 
 @query("session_bounds")
 def _(t):
-    return effect.session_bounds(effect.effort_features(A.query_log(t))).drop("rows")
+    return effect.session_bounds(effect.session_times(A.event_log(t))).drop("rows")
 
 
 @query("valid_queries")
 def _(t):
-    features = effect.effort_features(_log(t))
-    return effect.only_valid(features, effect.valid_sessions(features))
+    log = _log(t)
+    return effect.only_valid(effect.effort_features(log),
+                             effect.valid_sessions(effect.session_times(log)))
 
 
 @query("valid_responses")
@@ -307,7 +308,7 @@ def _(t):
 
 @query("time_to_response")
 def _(t):
-    return effect.time_to_response(A.query_log(t), A.response_log(t))
+    return effect.time_to_response(A.event_log(t), A.response_log(t))
 
 
 @query("session_effectiveness")
@@ -431,7 +432,7 @@ def _(t):
 
 @query("job_master")
 def _(t):
-    return jobs.job_master(_ad_sizes(t).drop("row_id"), _industry(t), _skills(t))
+    return jobs.job_master(_ads(t).drop("row_id"), _industry(t), _skills(t))
 
 
 @query("job_level")

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.timecols import as_number, fix_timestamp_units
 from ..operators.joins import null_safe_join
-from ..operators.plotdata import linear_trend
+from ..operators.plotdata import linear_trend, quantiles
+from ..session import stored
 
 # Session limits in minutes, and the names of the session types.
 SHORTEST_MIN, LONGEST_MIN = 1, 240
@@ -52,6 +53,10 @@ def unique_tokens_per_session(log: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("unique_token_count")))
 
 
+def _with_job_text(df: DataFrame) -> DataFrame:
+    return df.withColumn("JOB_ID", F.col("JOB_ID").cast("string"))
+
+
 def _share(flag: Column) -> Column:
     return F.avg(F.coalesce(flag, F.lit(False)).cast("int"))
 
@@ -81,11 +86,14 @@ def session_summary(log: DataFrame, shortest_min: float = SHORTEST_MIN,
                     longest_min: float = LONGEST_MIN, fix_units: bool = False) -> DataFrame:
     """Sessions of usual length with their measures, type and flags."""
     minutes = F.col("session_duration_min")
-    kept = session_measures(query_features(log, fix_units=fix_units)).where(
-        minutes.between(shortest_min, longest_min))
+    kept = stored(session_measures(query_features(log, fix_units=fix_units)).where(
+        minutes.between(shortest_min, longest_min)))
     session_type = (F.when(minutes <= MATCHING_UP_TO_MIN, MATCHING)
                     .when(minutes <= longest_min, RECRUITING).otherwise(OTHER))
-    return null_safe_join(kept, unique_tokens_per_session(log), ["JOB_ID"]).withColumns({
+    # Only words of the sessions kept are taken apart and shuffled.
+    own = null_safe_join(_with_job_text(log).select("JOB_ID", "QUERY"), kept.select("JOB_ID"),
+                         ["JOB_ID"], "left_semi")
+    return null_safe_join(kept, unique_tokens_per_session(own), ["JOB_ID"]).withColumns({
         "session_type": session_type,
         "used_boolean": F.col("boolean_usage_rate") > 0,
         "used_wildcard": F.col("wildcard_usage_rate") > 0,
@@ -93,7 +101,13 @@ def session_summary(log: DataFrame, shortest_min: float = SHORTEST_MIN,
 
 
 def summary_stats(sessions: DataFrame) -> DataFrame:
-    """Study-wide means, medians and spread over sessions."""
+    """Study-wide means, medians and spread over sessions.
+
+    Lengths are whole or half numbers of words, so their medians are of few values; minutes
+    are not, so theirs is found by rank.
+    """
+    minutes = quantiles(sessions, F.col("session_duration_min"), [0.5]).select(
+        F.col("q")[0].alias("median_session_duration"))
     return sessions.agg(
         F.avg("n_queries").alias("avg_queries_per_session"),
         F.median("n_queries").alias("median_queries_per_session"),
@@ -102,8 +116,8 @@ def summary_stats(sessions: DataFrame) -> DataFrame:
         F.avg("wildcard_usage_rate").alias("avg_wildcard_usage"),
         F.avg("avg_query_length").alias("avg_query_length"),
         F.median("median_query_length").alias("median_query_length"),
-        F.avg("session_duration_min").alias("avg_session_duration"),
-        F.median("session_duration_min").alias("median_session_duration"))
+        F.avg("session_duration_min").alias("avg_session_duration")).withColumn(
+            "median_session_duration", minutes.scalar())
 
 
 def boolean_query_stats(filtered: DataFrame) -> DataFrame:
@@ -118,11 +132,14 @@ def boolean_query_stats(filtered: DataFrame) -> DataFrame:
 
 def session_type_stats(sessions: DataFrame) -> DataFrame:
     """Duration statistics per session type."""
-    return sessions.groupBy("session_type").agg(
+    middle = quantiles(sessions, F.col("session_duration_min"), [0.5], ["session_type"]).select(
+        "session_type", F.col("q")[0].alias("median_duration"))
+    stats = sessions.groupBy("session_type").agg(
         F.count(F.lit(1)).alias("n_sessions"),
         F.avg("session_duration_min").alias("mean_duration"),
-        F.median("session_duration_min").alias("median_duration"),
         F.stddev_samp("session_duration_min").alias("sd_duration"))
+    return null_safe_join(stats, middle, ["session_type"]).select(
+        "session_type", "n_sessions", "mean_duration", "median_duration", "sd_duration")
 
 
 def duration_query_correlation(sessions: DataFrame) -> DataFrame:

@@ -11,8 +11,9 @@ part files works as well):
     mismatch    queries_clean, skills_clean, industry_clean, job_ads_clean
     explore     skills_clean, industry_clean, job_ads_clean
 
-Each study writes its tables as CSV into the output folder; ``clean`` writes the
-``*_clean`` tables the others read, so its output folder is their input folder.
+Each study writes its tables as CSV into the output folder; ``clean`` also writes the
+``*_clean`` tables as Parquet, which the others read where they find them, so its output
+folder is their input folder.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ def _numeric(df: DataFrame, columns: Sequence[str], cast=as_long) -> DataFrame:
 
 
 def _query_tables(raw: DataFrame) -> dict[str, DataFrame]:
-    log = stored(raw)
+    log = raw  # written when its rows were numbered
     return {
         "queries_clean": clean.clean_query_log(log),
         "audit_counter_counts": audit.flag_counts(audit.audit_counter(log), "counter_ok"),
@@ -65,7 +66,7 @@ LOG_OPTIONS = {"snake": False, "blank_as_null": NUMBERS, "row_id": True}
 RAW_FILES = (
     ("queries", LOG_OPTIONS, _query_tables),
     ("responses", LOG_OPTIONS, lambda raw: {"responses_clean": clean.clean_response_log(raw)}),
-    ("job_ads", {"multi_line": True}, lambda raw: {"job_ads_clean": clean.clean_job_ads(raw)}),
+    ("job_ads", {}, lambda raw: {"job_ads_clean": clean.clean_job_ads(raw)}),
     ("skills", {}, _skill_tables),
     ("industry", {}, lambda raw: {"industry_clean": clean.clean_industry(raw)}),
     ("areas", {}, lambda raw: {"areas_clean": clean.split_locations(raw)}),
@@ -190,10 +191,17 @@ STUDIES = {"clean": clean_study, "behaviour": behaviour_study, "effect": effect_
 def run(spark: SparkSession, study: str, source: str, target: str) -> list[str]:
     """Run one study and return the paths written."""
     def load(name: str, **options) -> DataFrame:
-        return logs.load_log(spark, f"{source.rstrip('/')}/{name}.csv", **options)
+        path = f"{source.rstrip('/')}/{name}"
+        try:
+            return logs.load_parquet(spark, f"{path}.parquet")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        return logs.load_log(spark, f"{path}.csv", **options)
 
-    typed = ["job_ads_clean", "areas_clean"] if study == "clean" else ()
-    return logs.export(STUDIES[study](load), target, typed)
+    tables = STUDIES[study](load)
+    typed = [name for name in tables if name.endswith("_clean")] if study == "clean" else ()
+    return logs.export(tables, target, typed)
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -16,6 +18,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+_LOCAL: list[tempfile.TemporaryDirectory] = []
+_DUE: set[str] = set()
 
 TASK_BYTES = 128 * 1024 * 1024
 
@@ -54,41 +58,50 @@ def build_session(app_name: str = "querytrail", master: str | None = None,
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (single-machine runs such as tests) is a
-    temporary folder made.
+    Where that setting is absent, a local master gets a temporary folder that goes with the
+    process; on a cluster it is an error, as executors would write to their own disks.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        current = tempfile.mkdtemp(prefix="querytrail-")
-        spark.sparkContext.setCheckpointDir(current)
-    return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} "
+                         "share; intermediate tables are written there")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.TemporaryDirectory(prefix="querytrail-"))
+    return _LOCAL[0].name
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the application's own part of the shared folder.
+def own_folder(spark: SparkSession) -> str:
+    """The application's own part of the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/querytrail-{spark.sparkContext.applicationId}"
 
-    That part, ``querytrail-<application id>``, can be deleted once the results
-    have been written.
-    """
-    own = f"querytrail-{spark.sparkContext.applicationId}"
-    return f"{shared_folder(spark).rstrip('/')}/{own}/{name}-{uuid.uuid4().hex}"
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the application's own folder, which goes when the process ends."""
+    folder = own_folder(spark)
+    if folder not in _DUE:
+        _DUE.add(folder)
+        atexit.register(drop_folder, spark, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the written copy."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint(eager=True)
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables, in whatever store it is."""
+    context = spark.sparkContext
+    if context._jvm is None:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    _DUE.discard(folder)
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read that.
 
-    For frames that several passes read, each a part of the columns.
+    For frames that several passes read, each a part of the columns. Lost executors read it
+    again, and its size in bytes is known to the planner.
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)

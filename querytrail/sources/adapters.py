@@ -16,8 +16,9 @@ from ..operators.ordered import with_position
 WORD_BREAK = "[ \n]+"
 
 
-# Up to this many documents a scan may give fewer tasks than there are cores.
-FEW_DOCUMENTS = 1_000_000
+# Fixed values of the fixture: characters per query, and room for an event's rows in row ids.
+QUERY_CHARS = 30
+ROWS_OF_EVENT = 1_000_000
 
 
 class Tables:
@@ -41,60 +42,93 @@ class Tables:
             self._sizes[name] = getattr(self, name).count()
         return self._sizes[name]
 
-    def texts(self, *columns: str) -> DataFrame:
-        """The documents, whose text is what costs time.
-
-        A small file is a single task however many cores there are, so few documents
-        are first spread; many are left as read.
-        """
-        documents = self.documents.select("doc_id", *columns)
-        if self.rows("documents") > FEW_DOCUMENTS:
-            return documents
-        return documents.repartition(self.spark.sparkContext.defaultParallelism, "doc_id")
-
 
 def _session(user: Column, ts: Column) -> Column:
     return F.concat(user.cast("string"), F.lit("-"), F.date_format(ts, "yyyyMMdd"))
 
 
+def _visits(t: Tables, doc: Column) -> Column:
+    """Events that visit a document: event e visits document e % D, ids running from 0."""
+    n_docs, n_events = t.rows("documents"), t.rows("events")
+    return F.greatest(F.floor((F.lit(n_events - 1) - doc) / n_docs).cast("long") + 1, F.lit(0))
+
+
+def _queries(visits: Column) -> Column:
+    """Queries of one visit, by the document's length alone, so that no text is read for it."""
+    share = F.floor(F.coalesce("n_chars", F.lit(0)) / visits)
+    return (F.floor(share / QUERY_CHARS) + 1).cast("int")
+
+
 def _stamp(event: Column, ts: Column) -> Column:
     seconds = F.unix_seconds(ts)
     return (F.when(event % 301 == 0, F.lit(0).cast("long"))
             .when(event % 13 == 0, seconds * 1000).otherwise(seconds))
 
 
-def query_log(t: Tables) -> DataFrame:
+def event_log(t: Tables) -> DataFrame:
+    """The query log without its queries; no text is read for it."""
     event, ts = F.col("event_id"), F.col("ts").cast("timestamp")
-    events = t.events.select(
-        "event_id", (event % 2).cast("string").alias("MESSAGE_ID"),
-        _session(F.col("user_id"), ts).alias("sid"), ts.alias("ts"))
-    counted = with_position(events, ["sid", "MESSAGE_ID"], ["ts", "event_id"], "position",
-                            rows_at_most=t.rows("events"))
     n_docs = t.rows("documents")
-    placed = counted.withColumns({
-        "doc_id": event % n_docs, "visit": F.expr(f"event_id div {n_docs}")})
-    # explode() of the single array makes a document be split once, not for every visit.
-    texts = t.texts("text").select(
-        "doc_id", F.explode(F.array(F.split(F.lower("text"), WORD_BREAK))).alias("w"))
-    # The visits of a document walk through its words, six at a time, round and round.
-    start = (F.col("visit") * 6 % F.size("w") + 1).cast("int")
-
-    def phrase(length: Column, glue: str) -> Column:
-        return F.array_join(F.slice("w", start, length), glue)
-
-    two = F.lit(2)
-    query = (F.when(event % 17 == 0, F.lit(None).cast("string"))
-             .when(event % 5 == 0, phrase(two, " and "))
-             .when(event % 7 == 0, F.concat(F.lit("+"), phrase(two, " "), F.lit("*")))
-             .otherwise(phrase((event % 6 + 1).cast("int"), " ")))
-    return placed.join(texts, "doc_id").select(
-        event.alias("row_id"),
+    lengths = t.documents.select("doc_id", _queries(_visits(t, F.col("doc_id"))).alias("n_queries"))
+    # Every seventeenth event has one query more, which is missing.
+    rows = F.col("n_queries") + (event % 17 == 0).cast("int")
+    expanded = (t.events.select("event_id", ts.alias("event_ts"), _session(F.col("user_id"), ts)
+                                .alias("sid"), (event % n_docs).alias("doc_id"))
+                .join(lengths, "doc_id")
+                .withColumn("j", F.explode(F.sequence(F.lit(0), rows - 1))))
+    keyed = expanded.withColumns({
+        "MESSAGE_ID": (event % 2).cast("string"),
+        "ts": F.timestamp_add("SECOND", F.col("j"), F.col("event_ts"))})
+    counted = with_position(keyed, ["sid", "MESSAGE_ID"], ["event_ts", "event_id", "j"],
+                            "position")
+    return counted.select(
+        (event * ROWS_OF_EVENT + F.col("j")).alias("row_id"),
         F.when(event % 211 != 0, F.col("sid")).alias("JOB_ID"),
         "MESSAGE_ID",
         (F.col("position") + F.when(event % 50 == 0, 1).otherwise(0)).alias("QUERY_COUNTER"),
         _stamp(event, F.col("ts")).alias("TIMESTAMP"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP_FORMATTED"),
-        query.alias("QUERY"))
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP_FORMATTED"))
+
+
+def query_texts(t: Tables) -> DataFrame:
+    """``row_id, QUERY``: every word of every visited document, cut into queries.
+
+    The visits of a document take contiguous slices of its words in turn, the queries of a
+    visit contiguous parts of its slice. Where there are fewer words than parts, neighbours
+    share a word.
+    """
+    n_docs = t.rows("documents")
+    doc, n, w = F.col("doc_id"), F.size("w"), F.col("w")
+    # explode() of the single array makes a document be split once, not for every query.
+    split = t.documents.select(
+        "doc_id", _visits(t, doc).alias("visits"), _queries(_visits(t, doc)).alias("n_queries"),
+        F.explode(F.array(F.split(F.lower("text"), WORD_BREAK))).alias("w")).where("visits > 0")
+
+    def cut(low: Column, high: Column, part: Column, parts: Column) -> tuple[Column, Column]:
+        begin = low + F.floor((high - low) * part / parts)
+        end = low + F.floor((high - low) * (part + 1) / parts)
+        return begin, F.greatest(end, begin + 1)
+
+    visit = F.explode(F.sequence(F.lit(0).cast("long"), F.col("visits") - 1)).alias("k")
+    low, high = cut(F.lit(0), n, F.col("k"), F.col("visits"))
+    slices = split.select("doc_id", "n_queries", "w", "visits", visit).select(
+        (F.col("k") * n_docs + doc).alias("event_id"), "n_queries",
+        F.slice(w, (low + 1).cast("int"), (high - low).cast("int")).alias("w"))
+    queries = slices.select("event_id", "n_queries", "w",
+                            F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("j"))
+    first, last = cut(F.lit(0), F.size("w"), F.col("j"), F.col("n_queries"))
+    words = F.slice("w", (first + 1).cast("int"), (last - first).cast("int"))
+    kind = F.col("event_id") + F.col("j")
+    query = (F.when(kind % 5 == 0, F.array_join(words, " and "))
+             .when(kind % 7 == 0, F.concat(F.lit("+"), F.array_join(words, " "), F.lit("*")))
+             .otherwise(F.array_join(words, " ")))
+    return queries.select((F.col("event_id") * ROWS_OF_EVENT + F.col("j")).alias("row_id"),
+                          query.alias("QUERY"))
+
+
+def query_log(t: Tables) -> DataFrame:
+    """The whole log: the texts are cut where they are read, and join by row id."""
+    return event_log(t).join(query_texts(t), "row_id", "left")
 
 
 def response_log(t: Tables) -> DataFrame:
@@ -126,12 +160,12 @@ def job_ads(t: Tables) -> DataFrame:
     ending = (F.when(kind == 0, F.lit(" mailto:hr@example.com end"))
               .when(kind == 1, F.lit(" see http://jobs.example/1 now"))
               .when(kind == 2, F.lit(" a\u0096b\u0092s")).otherwise(F.lit("")))
-    return t.texts("text").select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("job_id"),
+    return t.documents.select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("job_id"),
                                   F.concat(F.lit("  "), F.col("text"), ending).alias("text"))
 
 
 def skills_raw(t: Tables) -> DataFrame:
-    docs = t.texts().select("doc_id", (F.col("doc_id") % t.rows("benchmark")).alias("item_id"))
+    docs = t.documents.select("doc_id", (F.col("doc_id") % t.rows("benchmark")).alias("item_id"))
     tags = t.benchmark.select(F.col("item_id"), F.split("text", WORD_BREAK).alias("w"))
     words = docs.join(tags, "item_id").select("doc_id", F.posexplode("w").alias("i", "k"))
     n, k = F.col("doc_id") + F.col("i"), F.col("k")
@@ -148,7 +182,7 @@ def skills_raw(t: Tables) -> DataFrame:
 
 def job_queries(t: Tables) -> DataFrame:
     """What was searched for per job: the whole document text."""
-    return t.texts("text").select(F.col("doc_id").alias("job_id"), F.col("text").alias("query"))
+    return t.documents.select(F.col("doc_id").alias("job_id"), F.col("text").alias("query"))
 
 
 def industry_raw(t: Tables) -> DataFrame:

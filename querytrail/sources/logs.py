@@ -5,38 +5,55 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import clean_names, without_index_columns
 from ..functions.text import MISSING_MARK
+from ..session import stored
 
 ROW_ID = "row_id"
 
 
+_FILE, _BLOCK, _AT = "_file", "_block", "_at"
+
+
 def load_log(spark: SparkSession, path: str, snake: bool = True, trim: bool = True,
              blank_as_null: bool | Sequence[str] = True, row_id: bool = False,
-             multi_line: bool = False) -> DataFrame:
+             multi_line: bool = True, malformed: str = "refuse") -> DataFrame:
     """A CSV with a header row as a frame of text columns.
 
     ``NA`` is NULL. Blank cells are NULL too, in all columns, in none, or in those
     listed in ``blank_as_null`` (such as the columns of numbers); elsewhere they
-    are empty text. Unnamed index columns go. ``row_id`` adds the order of the rows
-    within each file, taken right at the scan, so it is the same however the plan
-    continues.
+    are empty text. Unnamed index columns go.
 
-    ``multi_line`` admits line breaks in quoted cells. Such files cannot be split,
-    each is read by one task: give many files of moderate size, or store the table
-    as Parquet once.
+    Line breaks in quoted cells are part of the cell. A file that may have some cannot be
+    split and is read by one task, so give many files of moderate size and hand the table on
+    as Parquet; ``multi_line=False`` is for files known to have none. A row with too few or
+    too many cells is an error (``malformed="refuse"``); ``"keep"`` fills up or cuts off.
+
+    ``row_id`` numbers the rows by file name and place in the file, from 0 without gaps. The
+    table is then written once, so the numbers hold however often and wherever it is read.
     """
+    if malformed not in ("refuse", "keep"):
+        raise ValueError(f"malformed={malformed!r}: refuse or keep")
     reader = spark.read.options(
-        header=True, multiLine=multi_line, escape='"', emptyValue="",
+        header=True, multiLine=multi_line, escape='"', emptyValue="", columnPruning=False,
+        mode="FAILFAST" if malformed == "refuse" else "PERMISSIVE",
         ignoreLeadingWhiteSpace=trim, ignoreTrailingWhiteSpace=trim)
     schema = T.StructType([T.StructField(c, T.StringType()) for c in reader.csv(path).columns])
-    named = without_index_columns(reader.schema(schema).csv(path))
+    scanned = reader.schema(schema).csv(path)
+    if row_id:
+        scanned = scanned.select(
+            "*", F.col("_metadata.file_path").alias(_FILE),
+            F.col("_metadata.file_block_start").alias(_BLOCK),
+            F.monotonically_increasing_id().alias(_AT))
+    places = [_FILE, _BLOCK, _AT] if row_id else []
+    named = without_index_columns(scanned)
+    columns = [c for c in named.columns if c not in places]
     if isinstance(blank_as_null, bool):
-        blank_as_null = named.columns if blank_as_null else ()
+        blank_as_null = columns if blank_as_null else ()
 
     def cell(name: str) -> Column:
         # The reader gives NULL for an unquoted blank, so NULL means blank here.
@@ -44,10 +61,26 @@ def load_log(spark: SparkSession, path: str, snake: bool = True, trim: bool = Tr
         missing = [MISSING_MARK, ""] if name in blank_as_null else [MISSING_MARK]
         return F.when(~text.isin(missing), text).alias(name)
 
-    cells = [cell(name) for name in named.columns]
+    cells = named.select(*[cell(name) for name in columns], *places)
     if row_id:
-        cells.append(F.monotonically_increasing_id().alias(ROW_ID))
-    return clean_names(named.select(*cells)) if snake else named.select(*cells)
+        cells = _numbered(cells)
+    return clean_names(cells) if snake else cells
+
+
+def _numbered(scanned: DataFrame) -> DataFrame:
+    """Row numbers from the place of each row in its block and the rows of earlier blocks.
+
+    However a file was split, its rows stand in one run per block. One row per block is summed
+    up in a window, so nothing is sorted.
+    """
+    written = stored(scanned)
+    blocks = written.groupBy(_FILE, _BLOCK).agg(
+        F.min(_AT).alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.orderBy(_FILE, _BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = stored(blocks.select(_FILE, _BLOCK, (F.coalesce(
+        F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift")))
+    return written.join(offsets, [_FILE, _BLOCK]).withColumn(
+        ROW_ID, F.col(_AT) + F.col("_shift")).drop(_FILE, _BLOCK, _AT, "_shift")
 
 
 def load_parquet(spark: SparkSession, path: str) -> DataFrame:

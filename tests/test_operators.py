@@ -43,7 +43,7 @@ def test_fan_out_left_join_of_a_hot_key(spark):
     try:
         for key, value in settings.items():
             spark.conf.set(key, value)
-        joined = joins.fan_out_left_join(left, right, ["k"])
+        joined = joins.fan_out_left_join(left, right, ["k"], hot_rows=100)
         counts = joined.agg(F.count(F.lit(1)), F.count("y"), F.count_distinct("x")).first()
     finally:
         for key, value in before.items():
@@ -52,6 +52,31 @@ def test_fan_out_left_join_of_a_hot_key(spark):
     assert counts[2] == 900
 
 
+def test_keys_are_never_null_and_tell_values_apart(frame):
+    rows = [(None, None), ("", None), (None, ""), ("a", "b"), ("a:1", "b"), ("a", "1:b"),
+            ("-", None), ("1:a", None)]
+    keys = [r[0] for r in frame(rows, "x string, y string").select(
+        joins.key_of("x", "y")).collect()]
+    assert None not in keys and len(set(keys)) == len(rows)
+
+
+def test_quantiles_by_rank(frame, spark):
+    rows = [("a", float(i)) for i in (5, 1, 3, 3, 2)] + [("b", 1.5), ("c", None), (None, 2.0)]
+    df = frame(rows, "g string, v double")
+    got = {r["g"]: (r["n_values"], list(r["q"])) for r in
+           plotdata.quantiles(df, F.col("v"), [0.25, 0.5, 1.0], ["g"]).collect()}
+    assert got == {"a": (5, [2.0, 3.0, 5.0]), "b": (1, [1.5] * 3), None: (1, [2.0] * 3)}
+    assert plotdata.quantiles(df.where("false"), F.col("v"), [0.5]).count() == 0
+
+
+def test_quantiles_of_a_million_distinct_values(spark):
+    n = 1_000_000
+    df = spark.range(n).select(((F.col("id") * 7919) % n / 3.0).alias("v"))
+    exact = plotdata.quantiles(df, F.col("v"), [0.1, 0.5, 0.75]).first()
+    assert exact["n_values"] == n
+    assert list(exact["q"]) == pytest.approx([(n - 1) * p / 3.0 for p in (0.1, 0.5, 0.75)])
+
+
 @pytest.fixture(scope="module")
 def steps(frame):
     """One group with most of the rows, a NULL group, ties and missing counters."""
@@ -131,7 +156,7 @@ def test_keep_repeating_rows_without_broadcast(frame, monkeypatch):
     rows = [(i, i % 7, str(i % 50)) for i in range(100)]
     df = frame(rows, "row_id long, a int, b string")
     expected = rows_of(repeats.keep_repeating_rows(df, anchor="a"))
-    monkeypatch.setattr(repeats, "materialised_side", lambda side: side)
+    monkeypatch.setattr(repeats, "stored", lambda side: side)
     assert rows_of(repeats.keep_repeating_rows(df, anchor="b")) == expected
 
 

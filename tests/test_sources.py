@@ -4,7 +4,11 @@ import os
 
 from conftest import rows_of
 
-from querytrail.session import checkpointed, shared_folder, sized_for
+import pytest
+
+from querytrail import session as S
+from querytrail.plans import clean
+from querytrail.session import sized_for, stored
 from querytrail.sources import logs
 
 
@@ -28,9 +32,59 @@ def test_load_log(spark, tmp_path):
     assert rows_of(some) == [("a", 'x "y", z'), ("b", None), (None, None)]
 
 
-def test_load_multi_line(spark, tmp_path):
-    path = write(tmp_path / "ads.csv", 'JOB_ID,TEXT\n1,"first\nsecond"\n')
-    assert rows_of(logs.load_log(spark, path, multi_line=True)) == [("1", "first\nsecond")]
+def test_line_breaks_in_quoted_cells(spark, tmp_path):
+    path = write(tmp_path / "log.csv", 'JOB_ID,M,C,T,QUERY\nj1,m,1,100,"java\nsenior"\nj2,m,1,5,x\n')
+    assert rows_of(logs.load_log(spark, path, snake=False, row_id=True)) == [
+        ("j1", "m", "1", "100", "java\nsenior", 0), ("j2", "m", "1", "5", "x", 1)]
+
+
+def test_malformed_rows_are_refused_or_kept(spark, tmp_path):
+    path = write(tmp_path / "bad.csv", "a,b\n1,2\n3\n4,5,6\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        logs.load_log(spark, path).collect()
+    assert rows_of(logs.load_log(spark, path, malformed="keep")) == [
+        ("1", "2"), ("3", None), ("4", "5")]
+    with pytest.raises(ValueError, match="refuse or keep"):
+        logs.load_log(spark, path, malformed="other")
+
+
+def test_row_id_follows_file_names_and_places(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    write(folder / "a.csv", "v\n" + "".join(f"a{i:05d}\n" for i in range(20)))
+    write(folder / "b.csv", "v\n" + "".join(f"b{i:05d}\n" for i in range(9000)))
+    write(folder / "c.csv", "v\n" + "".join(f"c{i:05d}\n" for i in range(300)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        for multi_line in (True, False):
+            log = logs.load_log(spark, str(folder), row_id=True, multi_line=multi_line)
+            rows = log.orderBy("row_id").collect()
+            assert [r["row_id"] for r in rows] == list(range(9320))
+            assert [r["v"] for r in rows] == sorted(r["v"] for r in rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_row_id_does_not_depend_on_the_number_of_tasks(spark, tmp_path):
+    rows = "".join(f"{i % 7},{i},{i},{i % 3}\n" for i in range(1, 4000))
+    path = write(tmp_path / "responses.csv", "JOB_ID,CV_ID,TIMESTAMP,RESPONSE_TYPE\n" + rows)
+
+    def cleaned(before, after):
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", before)
+        spark.conf.set("spark.sql.files.minPartitionNum", before)
+        built = clean.clean_response_log(logs.load_log(spark, path, snake=False, row_id=True,
+                                                       multi_line=False))
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", after)
+        spark.conf.set("spark.sql.files.minPartitionNum", after)
+        return rows_of(built)
+
+    try:
+        first = cleaned("2", "5")
+        assert first == cleaned("7", "1")
+        assert len(first) == 3999 - 3  # the rows in which every value is new
+    finally:
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+        spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
 def test_row_id_survives_a_filter(spark, tmp_path):
@@ -62,10 +116,33 @@ def test_manifest(frame):
     assert rows_of(logs.manifest({"one": one, "none": none})) == [("none", 0), ("one", 1)]
 
 
-def test_checkpoint_goes_to_the_shared_folder(spark, frame):
-    assert checkpointed(frame([(1,)], "a int")).count() == 1
-    assert spark.sparkContext.getCheckpointDir().replace("file:", "").startswith(
-        shared_folder(spark).replace("file:", "").rsplit("/", 1)[0])
+def test_stored_tables_go_to_the_shared_folder_and_are_dropped(spark, frame):
+    table = stored(frame([(1,)], "a int"))
+    folder = S.own_folder(spark)
+    assert table.count() == 1
+    assert all(folder.replace("file:", "") in f for f in table.inputFiles())
+    other = folder + "-other"
+    table.write.parquet(f"{other}/t")
+    S.drop_folder(spark, other)
+    assert not os.path.exists(other.replace("file:", ""))
+
+
+class Cluster:
+    """What shared_folder asks of a session whose master is a cluster."""
+
+    def __init__(self, folder):
+        self.conf = {} if folder is None else {"spark.checkpoint.dir": folder}
+        self.sparkContext = self
+        self.master = "spark://host:7077"
+
+    def getCheckpointDir(self):
+        return None
+
+
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        S.shared_folder(Cluster(None))
+    assert S.shared_folder(Cluster("hdfs://x/y")) == "hdfs://x/y"
 
 
 def test_sized_for():
