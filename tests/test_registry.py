@@ -10,6 +10,8 @@ sys.path.insert(0, os.path.join(ROOT, "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 from check_queries import comparable, connect  # noqa: E402
+from oracles.statements import ORACLES  # noqa: E402
+from querytrail.plans.registry import QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="needs the given tables")
@@ -21,14 +23,15 @@ def duck():
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 43
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_against_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     cursor = duck.execute(entry.oracle_sql()[name])
