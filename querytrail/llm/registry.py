@@ -11,6 +11,7 @@ from .quality import op7_line_first_quality
 from .redirects import op8_redirect_equivalence
 from .secrets import op2_randomness_secrets
 from .sharding import op5_prefix_sum_shards
+from .statements import STATEMENTS
 from .warc import op10_seekable_warc
 
 QUERIES = {
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_seekable_warc": op10_seekable_warc,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = dict(STATEMENTS)
