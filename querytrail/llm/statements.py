@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality import BOILERPLATE, LEAST_WORDS, LOST_SHARE, NAV_SEPARATOR, SENTENCE_END
+from .redirects import RULES
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = "[#*$%&|<>]"
@@ -86,6 +87,79 @@ JOIN = r"""
            (SELECT count(*) FROM near n WHERE n.a = r.node) AS n_links
     FROM reached r GROUP BY r.node"""
 
+_RULES = ", ".join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)
+
+
+def _url_parts(source: str, url: str) -> str:
+    """The rows of ``source`` with host, path and node of a url."""
+    return rf"""
+        SELECT *, CASE WHEN host <> '' THEN host || CASE WHEN path = '' THEN '/' ELSE path END
+                       || regexp_extract(rest, '^[^?#]*(\?[^#]*)', 1) END AS node
+        FROM (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                                  'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+              FROM (SELECT *, CASE WHEN contains({url}, '://')
+                                   THEN substr({url}, instr({url}, '://') + 3) ELSE '' END AS rest
+                    FROM {source}))"""
+
+
+def _ruled(source: str, key: str) -> str:
+    """Per key the longest rule that fits host and path."""
+    return f"""
+        SELECT {key}, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+        FROM (SELECT s.{key}, r.verdict, r.host || r.path AS rule
+              FROM {source} s JOIN rules r
+                ON (s.host = r.host OR ends_with(s.host, '.' || r.host))
+               AND starts_with(s.path, r.path))
+        GROUP BY {key}"""
+
+
+URLS = rf"""
+    WITH RECURSIVE rules(verdict, host, path) AS (VALUES {_RULES}),
+    parts AS ({_url_parts('pages', 'url')}),
+    tags AS (
+        SELECT url, host, path, node,
+               unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag
+        FROM parts),
+    links AS (
+        SELECT url, host, path, node,
+               CASE WHEN regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b')
+                    THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                    WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b')
+                    THEN regexp_extract(tag,
+                        '(?is)\bcontent\s*=\s*[^>]*?\burl\s*=\s*["'']?([^"''\s>;]+)', 1) END AS link
+        FROM tags),
+    targets AS (
+        SELECT node AS a, CASE
+            WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+            WHEN starts_with(link, '//') THEN 'http:' || link
+            WHEN starts_with(link, '/') THEN 'http://' || host || link
+            WHEN regexp_matches(link, '^([A-Za-z][A-Za-z0-9+.-]*:|#)') THEN NULL
+            ELSE 'http://' || host || CASE WHEN regexp_replace(path, '[^/]*$', '') = '' THEN '/'
+                 ELSE regexp_replace(path, '[^/]*$', '') END || link END AS goal
+        FROM links WHERE link <> ''),
+    edges AS (
+        SELECT a, node AS b FROM ({_url_parts('targets', 'goal')})
+        WHERE a IS NOT NULL AND node IS NOT NULL),
+    ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+    reached AS (
+        SELECT a AS node, a AS other FROM ways
+        UNION
+        SELECT r.node, w.b FROM reached r JOIN ways w ON w.a = r.other),
+    urls AS (SELECT DISTINCT other AS node, 'http://' || other AS whole FROM reached),
+    known AS ({_url_parts('(SELECT whole FROM urls)', 'whole')}),
+    verdicts AS ({_ruled('known', 'node')}),
+    aliases AS (
+        SELECT r.node, min(v.verdict) AS verdict
+        FROM reached r JOIN verdicts v ON v.node = r.other GROUP BY r.node),
+    own AS ({_ruled('parts', 'page_id')})
+    SELECT p.page_id, p.host, p.path, o.rule,
+           coalesce(o.verdict, a.verdict, 'allow') AS verdict,
+           CASE WHEN o.verdict IS NOT NULL THEN 'rule' WHEN a.verdict IS NOT NULL THEN 'alias'
+                ELSE 'default' END AS by
+    FROM parts p LEFT JOIN own o ON o.page_id = p.page_id LEFT JOIN aliases a ON a.node = p.node"""
+
+
 _CHARS = ", ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((v >> {s}) & 31), 1)"
                    for s in (15, 10, 5, 0))
 WARC = f"""
@@ -107,5 +181,6 @@ WARC = f"""
 STATEMENTS = {
     "op6_bayes_jaccard_join": JOIN,
     "op7_line_first_quality": QUALITY,
+    "op8_redirect_equivalence": URLS,
     "op10_seekable_warc": WARC,
 }

@@ -6,10 +6,12 @@ import base64
 import hashlib
 import random
 
+import duckdb
 import pytest
 
 from querytrail.llm import redirects, warc
 from querytrail.llm.components import components
+from querytrail.llm.statements import STATEMENTS
 from querytrail.llm.tables import read
 from querytrail.session import scratch_path
 
@@ -136,6 +138,12 @@ def test_decisions_spread_over_links_with_allow_first(spark, pages):
     without = [r for r in rows if r[0] != 6]
     got = {r.page_id: r.verdict for r in redirects.redirect_verdicts(pages(without)).collect()}
     assert [got[i] for i in (1, 2, 3, 9)] == ["block"] * 4
+    duck = duckdb.connect()
+    duck.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
+    duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    by_sql = duck.execute(f"SELECT page_id, verdict, by FROM ({STATEMENTS['op8_redirect_equivalence']})")
+    assert sorted(by_sql.fetchall()) == [g for g in sorted(
+        (r.page_id, r.verdict, r.by) for r in redirects.redirect_verdicts(pages(rows)).collect())]
     moved = spark.createDataFrame([("http://lone.net/1", "http://example.org/es/")],
                                   "src string, dst string")
     got = {r.page_id: (r.verdict, r.by)
