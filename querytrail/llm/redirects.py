@@ -114,12 +114,12 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 def redirect_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES,
                       redirects: DataFrame | None = None) -> DataFrame:
-    """``page_id, host, path, rule, verdict, by`` for every page.
+    """``page_id, host, path, rule, verdict, decided_by`` for every page.
 
     A page's own rule decides. A page without one takes the decision of its aliases: all urls
     that redirects, canonical links and refreshes connect with its url, in either direction
     and over any number of steps. An alias allowed by a rule allows it; otherwise a blocked
-    alias blocks it; otherwise it is allowed. ``by`` says which: rule, alias or default.
+    alias blocks it; otherwise it is allowed. ``decided_by`` says which: rule, alias or default.
 
     ``redirects`` holds further edges as urls ``src, dst``. Only urls with an edge enter the
     component search; the pages themselves are joined to the decided urls alone, of which
@@ -151,7 +151,7 @@ def redirect_verdicts(pages: DataFrame, rules: Sequence[Rule] = RULES,
         "page_id", "host", "path", F.col("own")["rule"].alias("rule"),
         F.coalesce(own, alias, F.lit("allow")).alias("verdict"),
         F.when(own.isNotNull(), "rule").when(alias.isNotNull(), "alias")
-        .otherwise("default").alias("by"))
+        .otherwise("default").alias("decided_by"))
 
 
 def op8_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:

@@ -156,7 +156,7 @@ URLS = rf"""
     SELECT p.page_id, p.host, p.path, o.rule,
            coalesce(o.verdict, a.verdict, 'allow') AS verdict,
            CASE WHEN o.verdict IS NOT NULL THEN 'rule' WHEN a.verdict IS NOT NULL THEN 'alias'
-                ELSE 'default' END AS by
+                ELSE 'default' END AS decided_by
     FROM parts p LEFT JOIN own o ON o.page_id = p.page_id LEFT JOIN aliases a ON a.node = p.node"""
 
 

@@ -128,7 +128,7 @@ def test_decisions_spread_over_links_with_allow_first(spark, pages):
         (10, "http://d.net/a/b", canonical.format("c") + canonical.format("mailto:x@y")),
         (11, "http://d.net/a/c", ""),
     ]
-    got = sorted((r.page_id, r.verdict, r.by)
+    got = sorted((r.page_id, r.verdict, r.decided_by)
                  for r in redirects.redirect_verdicts(pages(rows)).collect())
     # Page 6 carries an allow rule, so the whole group of aliases 1, 2, 3 and 9 is allowed.
     assert got == [(1, "allow", "alias"), (2, "allow", "alias"), (3, "allow", "alias"),
@@ -141,12 +141,12 @@ def test_decisions_spread_over_links_with_allow_first(spark, pages):
     duck = duckdb.connect()
     duck.execute("CREATE TABLE pages(page_id BIGINT, url VARCHAR, html VARCHAR)")
     duck.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
-    by_sql = duck.execute(f"SELECT page_id, verdict, by FROM ({STATEMENTS['op8_redirect_equivalence']})")
+    by_sql = duck.execute(f"SELECT page_id, verdict, decided_by FROM ({STATEMENTS['op8_redirect_equivalence']})")
     assert sorted(by_sql.fetchall()) == [g for g in sorted(
-        (r.page_id, r.verdict, r.by) for r in redirects.redirect_verdicts(pages(rows)).collect())]
+        (r.page_id, r.verdict, r.decided_by) for r in redirects.redirect_verdicts(pages(rows)).collect())]
     moved = spark.createDataFrame([("http://lone.net/1", "http://example.org/es/")],
                                   "src string, dst string")
-    got = {r.page_id: (r.verdict, r.by)
+    got = {r.page_id: (r.verdict, r.decided_by)
            for r in redirects.redirect_verdicts(pages(rows), redirects=moved).collect()}
     assert got[7] == ("block", "alias")
 
