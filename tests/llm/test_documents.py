@@ -350,6 +350,33 @@ def test_leaks_are_found_and_clean_documents_left(spark, documents):
     assert decontamination.find_leaks(documents(rows), bench.where("false")).count() == 0
 
 
+def test_items_without_weighted_terms_are_found(spark, documents):
+    rng = random.Random(21)
+    pool = ["".join(rng.choices("bcdfgklmnprst", k=5)) for _ in range(30)]
+    rare = ["".join(rng.choices("bcdfgklmnprst", k=7)) for _ in range(4000)]
+    leaked = " ".join(rng.sample(rare, 30))        # held by a third of all rows
+    plain = " ".join(rng.choices(pool, k=24))      # frequent words only, held by one row
+    changed = plain.split()
+    for k in (2, 9, 15):
+        changed[k] = "zzz"
+    long = " ".join(rng.choices(pool, k=150))      # more than a passage, held by one row
+    rows, truth = [], set()
+    for i in range(240):
+        body = rng.choices(pool, k=90) + rng.choices(rare, k=60)
+        for item, text, held in ((1, leaked, i % 3 == 0), (2, plain, i == 100),
+                                 (2, " ".join(changed), i == 101), (3, long, i == 7)):
+            if held:
+                at = rng.randrange(len(body))
+                body[at:at] = text.split()
+                truth.add((i, item))
+        rows.append((i, " ".join(body)))
+    bench = spark.createDataFrame([(1, leaked), (2, plain), (3, long)],
+                                  "item_id long, text string")
+    found = decontamination.find_leaks(documents(rows), bench).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == truth
+    assert len(found) == len(truth)
+
+
 def test_subsequence_matches_dynamic_programming():
     rng = random.Random(9)
     for _ in range(200):
