@@ -22,7 +22,8 @@ LEAST_CHARS = 20        # below this the tests have no power against words
 FALSE_DISCOVERIES = 0.05
 P_BINS = 50
 LENGTH_BANDS = 8        # half octaves: 20-28, 29-39, 40-56, ...; the last is open
-CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{LEAST_CHARS},}}={{0,2}}(?![A-Za-z0-9+/_=-])"
+# A token may follow an equals sign, as in NAME=token; only after it they are padding.
+CANDIDATE = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_CHARS},}}={{0,2}}(?![A-Za-z0-9+/_=-])"
 
 # Encoding: alphabet, pattern of its members. The first that fits is inferred; tokens of
 # letters of one case or of digits alone are words and numbers, not codes.

@@ -110,6 +110,24 @@ def test_random_tokens_found_and_words_left(spark, documents):
     assert all((s.start, s.end) == (4, 44) for i in range(200) for s in rows[i])
 
 
+def test_tokens_after_an_equals_sign(spark, documents):
+    rng = random.Random(8)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    rows, spans = [], {}
+    for i in range(150):
+        token = "".join(rng.choices(alphabet, k=40))
+        before, padding = [("AWS_SECRET_ACCESS_KEY=", ""), ("http://a.b/?sig=", ""),
+                           ("LONG_NAME_OF_A_VALUE==", "==")][i % 3]
+        rows.append((i, f"set {before}{token}{padding} here"))
+        spans[i] = 4 + len(before), 44 + len(before) + len(padding)
+    found = {r.doc_id: r for r in secrets.find_secrets(documents(rows)).collect()}
+    assert not any(r.spans for r in found.values())
+    got = {i: [(s.start, s.end) for s in r.random] for i, r in found.items()}
+    for kind in range(3):
+        assert sum(bool(got[i]) for i in range(kind, 150, 3)) >= 40
+    assert all(g in ([], [spans[i]]) for i, g in got.items())
+
+
 def test_chances_of_random_tokens_are_even(spark):
     rng = random.Random(11)
     tokens = [("".join(rng.choices("0123456789abcdef", k=40)),) for _ in range(400)]
