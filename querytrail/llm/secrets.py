@@ -136,7 +136,9 @@ def length_band(n: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """``array<struct<start, end, stratum, chance>>`` of tokens with an inferred encoding.
+    """``array<struct<start, end, stratum, token, chance>>`` of tokens with an inferred encoding.
+
+    ``token`` is the hash of the token without its padding.
 
     Each step names what the next one uses, so nothing is computed twice.
     """
@@ -162,11 +164,13 @@ def candidates(text: Column) -> Column:
     def tested(t: Column) -> Column:
         return F.struct(t["start"].alias("start"), t["end"].alias("end"),
                         t["stratum"].alias("stratum"),
+                        F.xxhash64(t["token"]).alias("token"),
                         *unevenness(t["token"], t["alphabet"], t["size"], t["change"]))
 
     def judged(t: Column) -> Column:
         return F.struct(t["start"].alias("start"), t["end"].alias("end"),
-                        t["stratum"].alias("stratum"), battery(t).alias("chance"))
+                        t["stratum"].alias("stratum"), t["token"].alias("token"),
+                        battery(t).alias("chance"))
 
     known = F.filter(F.transform(F.transform(match_spans(text, CANDIDATE), named), coded),
                      lambda t: t["code"].isNotNull())
@@ -181,11 +185,14 @@ def thresholds(found: DataFrame, rate: float = FALSE_DISCOVERIES) -> DataFrame:
     that from a bin upwards are ordinary tokens taken for random. The threshold is the lowest
     bin from which their share stays within ``rate``. A stratum is an encoding and a band of
     lengths, so short tokens, which words match more easily, are judged among themselves.
-    Strata and bins are few, whatever the corpus.
+    Strata and bins are few, whatever the corpus. Copies of a token are no further tests, so
+    each distinct token counts once; copies are merged before the shuffle.
     """
-    hist = found.select(
-        F.col("c.stratum").alias("stratum"),
-        F.least(F.floor(F.col("c.chance") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin")
+    distinct = found.groupBy(F.col("c.stratum").alias("stratum"), F.col("c.token").alias("token")
+                             ).agg(F.min("c.chance").alias("chance"))
+    hist = distinct.select(
+        "stratum",
+        F.least(F.floor(F.col("chance") * P_BINS), F.lit(P_BINS - 1)).cast("int").alias("bin")
     ).groupBy("stratum", "bin").agg(F.count(F.lit(1)).alias("n"))
     strata = hist.groupBy("stratum").agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin"))

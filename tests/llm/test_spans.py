@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from querytrail.llm import pii, secrets
 from querytrail.llm.tables import read
@@ -128,6 +129,26 @@ def test_tokens_after_an_equals_sign(spark, documents):
     assert all(g in ([], [spans[i]]) for i, g in got.items())
 
 
+def test_copies_change_no_other_document(spark, documents):
+    rng = random.Random(14)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["the", "Of", "and", "Thing", "house", "Water", "line", "under"]
+    tokens = ["".join(rng.choices(alphabet, k=40)) for _ in range(100)]
+    tokens += ["".join(rng.choices(words, k=9)) + "2024" for _ in range(60)]
+    rows = [(i, f"see {t} here") for i, t in enumerate(tokens)]
+
+    def spans(rows):
+        return {(r.doc_id, *((s.start, s.end) for s in r.random))
+                for r in secrets.find_secrets(documents(rows)).collect()}
+
+    alone = spans(rows)
+    chances = spark.createDataFrame(rows, "id long, text string").select(
+        "id", secrets.candidates(F.col("text"))[0]["chance"].alias("p")).collect()
+    for goal in (0.3, 0.7):
+        one = min(chances, key=lambda r: abs(r.p - goal)).id
+        assert spans(rows + [rows[one]] * 80) == alone
+
+
 def test_chances_of_random_tokens_are_even(spark):
     rng = random.Random(11)
     tokens = [("".join(rng.choices("0123456789abcdef", k=40)),) for _ in range(400)]
