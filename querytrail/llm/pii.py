@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -41,7 +41,7 @@ MARGIN = 1.0             # log-odds against no entity that an added span must re
 # Islands are stretches of tokens with a digit or an at sign; nothing else can be an entity.
 CHUNK = re.compile(r"\S+")
 SIGN = re.compile("[0-9@]")
-MOST_ISLAND = 64         # tokens decoded at once; a longer island is decoded in windows
+MOST_ISLAND = 64         # tokens whose segments are held at once
 TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|[^\W\d_]+|\S")
 WORD_BEFORE = re.compile(r"([^\W\d_]+)\W*$")
 
@@ -160,11 +160,21 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         yield begin, end
 
 
-def islands(text: str, settled: Sequence[Span] = ()) -> Iterator[Island]:
+def islands(text: str, settled: Sequence[Span] = (), most: int | None = None) -> Iterator[Island]:
     """Islands with their candidate segments: up to MOST_TOKENS parts, edges no blank.
 
-    ``settled`` spans are entities already; what is left around them makes islands.
+    A long island comes whole, or in runs of ``most`` tokens. ``settled`` spans are entities already; what is left around
+    them makes islands.
     """
+    for start, stop in free_stretches(text, settled):
+        tokens = [m.span() for m in TOKEN.finditer(text, start, stop)]
+        for low in range(0, len(tokens), most or max(1, len(tokens))):
+            part = tokens[low:low + most] if most else tokens
+            yield _island(text, part, 0, len(part))
+
+
+def free_stretches(text: str, settled: Sequence[Span]) -> Iterator[tuple[int, int]]:
+    """Bounds of the islands: what ``settled`` spans leave of the stretches."""
     taken = sorted(settled)
     for start, stop in stretches(text):
         free, at = [], start
@@ -174,29 +184,27 @@ def islands(text: str, settled: Sequence[Span] = ()) -> Iterator[Island]:
                 at = max(at, span.end)
         for a, b in [*free, (at, stop)]:
             if SIGN.search(text, a, b):
-                yield from _windows(text, a, b)
-
-
-def _windows(text: str, start: int, stop: int) -> Iterator[Island]:
-    tokens = [m.span() for m in TOKEN.finditer(text, start, stop)]
-    for low in range(0, len(tokens), MOST_ISLAND):
-        part = tokens[low:low + MOST_ISLAND]
-        segments, spans, features = [], [], []
-        for i in range(len(part)):
-            for j in range(i + 1, len(part) + 1):
-                begin, end = part[i][0], part[j - 1][1]
-                if end - begin > MOST_CHARS:
-                    break
-                segment = text[begin:end]
-                if len(JOINTS.split(segment)) > MOST_TOKENS:
-                    break
-                if not SIGN.search(segment):
-                    continue
-                segments.append((i, j))
-                spans.append((begin, end))
-                features.append(span_features(segment, text[max(0, begin - 24):begin],
-                                              text[end:end + 2]))
-        yield Island(segments, spans, features, len(part))
+                yield a, b
+
+
+def _island(text: str, tokens: Sequence[tuple[int, int]], low: int, high: int) -> Island:
+    """The candidate segments that begin in tokens ``low`` to ``high``, wherever they end."""
+    segments, spans, features = [], [], []
+    for i in range(low, high):
+        for j in range(i + 1, len(tokens) + 1):
+            begin, end = tokens[i][0], tokens[j - 1][1]
+            if end - begin > MOST_CHARS:
+                break
+            segment = text[begin:end]
+            if len(JOINTS.split(segment)) > MOST_TOKENS:
+                break
+            if not SIGN.search(segment):
+                continue
+            segments.append((i, j))
+            spans.append((begin, end))
+            features.append(span_features(segment, text[max(0, begin - 24):begin],
+                                          text[end:end + 2]))
+    return Island(segments, spans, features, len(tokens))
 
 
 class Model(NamedTuple):
@@ -234,37 +242,52 @@ def forward_backward(island: Island, scores: np.ndarray) -> tuple[np.ndarray, fl
     return chance, float(alpha[n])
 
 
-def decode(island: Island, scores: np.ndarray) -> list[tuple[int, int]]:
-    """Segments and kinds of the best segmentation, as (segment, kind index).
+def best_path(n: int, pieces: Iterable[tuple[Island, np.ndarray]]
+              ) -> list[tuple[int, int, int]]:
+    """Piece, segment and kind index of the best segmentation of ``n`` tokens.
 
+    Pieces hold the segments in the order of their first tokens and are read one at a time.
     An entity has at most MOST_TOKENS parts, so the search is linear in the island. Each
     entity must beat leaving its tokens out by MARGIN.
     """
-    n = island.n_tokens
-    best, back = [0.0] * (n + 1), [None] * (n + 1)
-    ending = [[] for _ in range(n + 1)]
-    for s, (_, j) in enumerate(island.segments):
-        ending[j].append(s)
-    top = scores.argmax(axis=1) if len(scores) else []
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for s in ending[j]:
-            i = island.segments[s][0]
+    best, back = [0.0] + [-np.inf] * n, [None] * (n + 1)
+    at = 0
+
+    def settle(upto: int) -> None:
+        nonlocal at
+        while at < upto:
+            at += 1
+            if best[at] <= best[at - 1]:
+                best[at], back[at] = best[at - 1], None
+
+    for p, (island, scores) in enumerate(pieces):
+        top = scores.argmax(axis=1) if len(scores) else []
+        for s, (i, j) in enumerate(island.segments):
+            settle(i)
             value = best[i] + scores[s][top[s]] - MARGIN
             if value > best[j]:
-                best[j], back[j] = value, s
+                best[j], back[j] = value, (i, p, s, int(top[s]))
+    settle(n)
     out, j = [], n
     while j:
         if back[j] is None:
             j -= 1
         else:
-            out.append((back[j], int(top[back[j]])))
-            j = island.segments[back[j]][0]
+            j, *chosen = back[j]
+            out.append(tuple(chosen))
     return out[::-1]
 
 
+def decode(island: Island, scores: np.ndarray) -> list[tuple[int, int]]:
+    """Segments and kinds of the best segmentation, as (segment, kind index)."""
+    return [(s, kind) for _, s, kind in best_path(island.n_tokens, [(island, scores)])]
+
+
 def labelled(text: str) -> Iterator[tuple[Island, list[tuple[int, int]]]]:
-    """Islands with their true segments as base patterns find them; longer spans win."""
+    """Islands with their true segments as base patterns find them; longer spans win.
+
+    They are a sample to fit on, so long ones come in runs that a task can hold.
+    """
     known: dict[tuple[int, int], int] = {}
     for span in base_spans(text):
         known.setdefault((span.start, span.end), KINDS.index(span.kind))
@@ -272,7 +295,7 @@ def labelled(text: str) -> Iterator[tuple[Island, list[tuple[int, int]]]]:
     for bounds in sorted(known, key=lambda b: b[0] - b[1]):
         if all(bounds[1] <= a or b <= bounds[0] for a, b in chosen):
             chosen.append(bounds)
-    for island in islands(text):
+    for island in islands(text, most=MOST_ISLAND):
         yield island, [(s, known[b]) for s, b in enumerate(island.spans) if b in chosen]
 
 
@@ -318,11 +341,24 @@ def fit(texts: Sequence[str]) -> Model:
 
 
 def added_spans(text: str, base: list[Span], model: Model) -> list[Span]:
-    """Entities of the best segmentation of what the base spans leave."""
+    """Entities of the best segmentation of what the base spans leave.
+
+    The segments of MOST_ISLAND first tokens are scored at a time and only their bounds kept,
+    so a line of any length is searched whole.
+    """
     found = []
-    for island in islands(text, base):
-        scores = segment_scores(model, island)
-        found += [Span(*island.spans[s], KINDS[kind]) for s, kind in decode(island, scores)]
+    for start, stop in free_stretches(text, base):
+        tokens = [m.span() for m in TOKEN.finditer(text, start, stop)]
+        bounds: list[list[tuple[int, int]]] = []
+
+        def pieces(tokens=tokens, bounds=bounds) -> Iterator[tuple[Island, np.ndarray]]:
+            for low in range(0, len(tokens), MOST_ISLAND):
+                island = _island(text, tokens, low, min(len(tokens), low + MOST_ISLAND))
+                bounds.append(island.spans)
+                yield island, segment_scores(model, island)
+
+        found += [Span(*bounds[p][s], KINDS[kind])
+                  for p, s, kind in best_path(len(tokens), pieces())]
     return found
 
 

@@ -202,6 +202,23 @@ def test_field_finds_what_a_pattern_misses_and_leaves_numbers():
     assert pii.added_spans("in 2024 we had 12,000 cases, 3.14 each", [], model) == []
 
 
+def test_long_lines_are_searched_whole():
+    def line(n):
+        return " ".join(f"+1 ({200 + i}) 555-{1000 + i}" for i in range(n))
+
+    model = pii.fit([f"call {line(1)} in 2{i:03} or {i % 255}.{i % 99}.7.9 now" for i in range(120)])
+    for lead in ("", "7 ", "7 8 ", "7 8 9 "):  # entities at other offsets
+        text = lead + line(60)
+        whole, = pii.islands(text)
+        assert whole.n_tokens > 400
+        scores = pii.segment_scores(model, whole)
+        expected = [(*whole.spans[s], pii.KINDS[k]) for s, k in pii.decode(whole, scores)]
+        got = [tuple(s) for s in pii.added_spans(text, [], model)]
+        assert got == expected
+        phones = {(m.start(), m.end()) for m in re.finditer(r"\+1 \(\d+\) 555-\d+", text)}
+        assert {s[:2] for s in got if s[2] == "phone"} >= phones
+
+
 def test_decoding_matches_enumeration():
     model = pii.fit(["a1@b.com 10.0.0.1 x"] * 3)
     text = "q 1.2 7@8.9 3"
