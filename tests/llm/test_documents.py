@@ -377,6 +377,18 @@ def test_items_without_weighted_terms_are_found(spark, documents):
     assert len(found) == len(truth)
 
 
+def test_blocks_hold_no_more_passages_than_the_rank_serves(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, 40)) for i in range(700)]  # two passages each
+    frame = spark.createDataFrame([*rows, (900, None)], "item_id long, text string")
+    blocks = decontamination.item_blocks(frame, "text", "item_id", None)
+    assert len(blocks) >= 1400 // decontamination.BLOCK_PASSAGES
+    assert sorted(i.item_id for b in blocks for i in b) == list(range(700))
+    for block in blocks:
+        rank = decontamination.rank_for(2 * len(block))
+        assert rank / (2 * len(block)) >= decontamination.RANK / decontamination.BLOCK_PASSAGES
+
+
 def test_subsequence_matches_dynamic_programming():
     rng = random.Random(9)
     for _ in range(200):
