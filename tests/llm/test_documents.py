@@ -389,6 +389,18 @@ def test_blocks_hold_no_more_passages_than_the_rank_serves(spark):
         assert rank / (2 * len(block)) >= decontamination.RANK / decontamination.BLOCK_PASSAGES
 
 
+def test_passages_of_long_items_are_found(spark, documents):
+    rng = random.Random(17)
+    rare = ["".join(rng.choices("bcdfgklmnprst", k=7)) for _ in range(4000)]
+    item = rng.sample(rare, 400)
+    held = [item[:300], item[83:147], item[336:], item[:40]]  # the last is less than a piece
+    rows = [(i, " ".join(rng.choices(rare, k=50) + part + rng.choices(rare, k=50)))
+            for i, part in enumerate(held)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontamination.find_leaks(documents(rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_subsequence_matches_dynamic_programming():
     rng = random.Random(9)
     for _ in range(200):
