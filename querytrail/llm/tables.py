@@ -64,3 +64,17 @@ def map_texts(docs: DataFrame, work: Callable[[list[str]], dict[str, Sequence]],
                 yield pa.RecordBatch.from_arrays([*old, *new], names=kinds.names)
 
     return rows.mapInArrow(run, schema)
+
+
+def least_hashed(rows: DataFrame, hash: str, most: int) -> tuple[int, DataFrame]:
+    """The number of rows, and the ``most`` rows of the least hash (all, if fewer).
+
+    For narrow rows with distinct hashes. A threshold on the hash, set from the number of
+    rows, leaves about twice as many as are wanted before the exact cut, however many tasks
+    there are, so nothing that grows with the input reaches one task.
+    """
+    n = rows.count()
+    place = F.pmod(F.xxhash64(F.col(hash)), F.lit(1 << 53)) / float(1 << 53)
+    # Twice the expectation and more: fewer than wanted are left with a chance below 1e-20.
+    near = rows.where(place < 2.0 * (most + 100) / n) if n > 2 * (most + 100) else rows
+    return n, near.orderBy(place, hash).limit(most)
