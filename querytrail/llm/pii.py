@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .tables import map_texts, read
+from .tables import col, least_hashed, map_texts, read
 
 # The base kinds in the order in which they are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -381,22 +381,35 @@ def marked(texts: list[str], model: Model) -> dict[str, list]:
     return out
 
 
-def fitted(docs: DataFrame, text: str = "text") -> Model:
+def fitted(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Model:
     """The model, fitted by one task on a bounded sample of documents with islands.
 
-    Every document with a digit or an at sign may be drawn: those of the least text hashes,
-    TRAIN_DOCUMENTS of them, and of these the first TRAIN_ISLANDS islands.
+    Every distinct text with a digit or an at sign may be drawn: those of the TRAIN_DOCUMENTS
+    least hashes, and of these the first TRAIN_ISLANDS islands. Copies count once, and only
+    keys and hashes are shuffled to draw them; only the drawn texts reach the task.
     """
-    body = F.col(text)
-    able = docs.where(body.rlike("[0-9@]")).select(body.alias("text"))
+    able = docs.where(F.col(text).rlike("[0-9@]")).select(
+        F.xxhash64(text).alias("hash"), col(key).alias("key"), F.col(text).alias("text"))
+    names = stored(able.groupBy("hash").agg(F.min("key").alias("first")))
+    _, drawn = least_hashed(names, "hash", TRAIN_DOCUMENTS)
+    drawn = F.broadcast(stored(drawn))  # TRAIN_DOCUMENTS rows of two numbers
+    sample = stored(able.join(drawn, "hash").where(F.col("key").eqNullSafe(F.col("first")))
+                    .select("hash", "text"))
+
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = fit([t for batch in batches for t in batch["text"]])
+        # Rows that repeat a key and text whole are one.
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pd.concat(parts).drop_duplicates("hash").sort_values("hash")
+        model = fit(list(rows["text"]))
         names = ["", *model.index]
         yield pd.DataFrame({"feature": names, "weights": list(model.weights)})
 
-    sample = able.orderBy(F.xxhash64("text"), "text").limit(TRAIN_DOCUMENTS)
     rows = stored(sample.coalesce(1).mapInPandas(
         train, "feature string, weights array<double>")).collect()
+    if not rows:
+        return fit([])
     rows = sorted(rows, key=lambda r: r.feature)  # the shared place comes first
     index = {r.feature: i for i, r in enumerate(rows)}
     weights = np.array([r.weights for r in rows]).reshape(-1, len(KINDS))
@@ -415,7 +428,7 @@ def find_personal_data(docs: DataFrame, text: str = "text", key: str = "doc_id")
     NULL and empty texts have no spans; repeated rows get the same answer each; an empty table
     gives no rows (the field is then empty and adds nothing); extra columns are left out.
     """
-    model = fitted(docs, text)
+    model = fitted(docs, text, key)
     added = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
              "spans string, n_added long")
     return map_texts(docs, lambda texts: marked(texts, model), added, (key,), text)

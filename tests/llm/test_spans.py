@@ -236,3 +236,21 @@ def test_decoding_matches_enumeration():
                           for s, (i, j) in enumerate(island.segments) if i == at]
         got = sum(scores[s][k] - pii.MARGIN for s, k in pii.decode(island, scores))
         assert abs(got - best) < 1e-9, chosen
+
+
+def test_copies_do_not_change_what_is_found_elsewhere(spark):
+    """500 copies of the text that is drawn first leave the spans of all others as they were."""
+    docs = read(spark, SMALL.replace("0.001", "0.01"), "documents")
+    able = docs.where(F.col("text").rlike("[0-9@]"))
+    first = pii.least_hashed(able.select(F.xxhash64("text").alias("hash"), "doc_id").dropDuplicates(
+        ["hash"]), "hash", 1)[1].first().doc_id
+    copies = docs.where(F.col("doc_id") == first).crossJoin(spark.range(500)).select(
+        (F.col("id") + 10 ** 9).alias("doc_id"), *[c for c in docs.columns if c != "doc_id"])
+
+    def found(frame):
+        rows = pii.find_personal_data(frame).where("doc_id < 1000000000").collect()
+        return sorted((r.doc_id, r.spans, r.n_added) for r in rows)
+
+    alone = found(docs)
+    assert alone == found(docs.unionByName(copies))
+    assert sum(n for _, _, n in alone) > 0
