@@ -178,9 +178,106 @@ WARC = f"""
            CASE WHEN page_id < best THEN best END AS refers_to
     FROM digests"""
 
+
+def _field(value: str) -> str:
+    return (f"CASE WHEN {value} IS NULL THEN '-' ELSE strlen(CAST({value} AS VARCHAR)) || ':' || "
+            f"{value} END")
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_FOLDED = f"translate(text, '{_UPPER}', '{_LOWER}')"
+_LEAF = " || ".join(_field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# One step per bit: a byte enters with the first of its eight.
+_CRC32 = """xor(4294967295, list_reduce(
+    list_concat([4294967295::BIGINT], flatten(list_transform(
+        string_split(CAST(doc_id AS VARCHAR), ''),
+        lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(xor(a, x) >> 1, 3988292384)
+                      ELSE xor(a, x) >> 1 END))"""
+MERKLE = f"""
+    WITH RECURSIVE leaves AS (
+        SELECT doc_id, source, sha256({_LEAF} || {_field('text')}) AS leaf,
+               CASE WHEN doc_id IS NOT NULL AND {_CRC32} % 5 = 0
+                    THEN sha256({_LEAF} || {_field(_FOLDED)}) END AS tampered
+        FROM documents),
+    placed AS (
+        SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+               row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+               count(*) OVER (PARTITION BY source) AS n
+        FROM leaves),
+    levels AS (
+        SELECT tree, 0 AS level, pos, leaf AS digest, n FROM placed
+        UNION ALL
+        SELECT tree, level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)),
+               (any_value(n) + 15) // 16
+        FROM levels WHERE n > 1 GROUP BY tree, level, pos // 16),
+    tops AS (
+        SELECT 0 AS level, tree AS pos, digest, count(*) OVER () AS n FROM levels WHERE n = 1
+        UNION ALL
+        SELECT level + 1, pos // 16, sha256(string_agg(digest, '' ORDER BY pos)),
+               (any_value(n) + 15) // 16
+        FROM tops WHERE n > 1 GROUP BY level, pos // 16),
+    nodes AS (
+        SELECT tree, level, pos, digest FROM levels WHERE n > 1
+        UNION ALL
+        SELECT -1, level, pos, digest FROM tops WHERE n > 1),
+    siblings AS (
+        SELECT a.tree, a.level, a.pos,
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos < a.pos), '') AS prior,
+               coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (WHERE b.pos > a.pos), '') AS later
+        FROM nodes a JOIN nodes b
+          ON b.tree = a.tree AND b.level = a.level AND b.pos // 16 = a.pos // 16
+        GROUP BY a.tree, a.level, a.pos),
+    climb AS (
+        SELECT tree AS home, pos AS leaf_at, tree, 0 AS level, pos,
+               coalesce(tampered, leaf) AS folded, '' AS proof
+        FROM placed
+        UNION ALL
+        SELECT c.home, c.leaf_at, CASE WHEN s.tree IS NULL THEN -1 ELSE c.tree END,
+               CASE WHEN s.tree IS NULL THEN 0 ELSE c.level + 1 END,
+               CASE WHEN s.tree IS NULL THEN c.home ELSE c.pos // 16 END,
+               CASE WHEN s.tree IS NULL THEN c.folded
+                    ELSE sha256(s.prior || c.folded || s.later) END,
+               c.proof || coalesce(s.prior || s.later, '')
+        FROM climb c LEFT JOIN siblings s
+          ON s.tree = c.tree AND s.level = c.level AND s.pos = c.pos
+        WHERE s.tree IS NOT NULL OR c.tree <> -1)
+    SELECT p.doc_id, p.leaf, l.digest AS subroot, r.digest AS root,
+           sha256(c.proof) AS proof_sha256, c.folded AS folded_root, c.folded = r.digest AS verified
+    FROM placed p JOIN levels l ON l.tree = p.tree AND l.n = 1
+    JOIN tops r ON r.n = 1
+    JOIN climb c ON c.home = p.tree AND c.leaf_at = p.pos AND c.tree = -1 AND c.level = r.level"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+SEARCH = f"""
+    WITH words AS (
+        SELECT doc_id, unnest(regexp_extract_all({_FOLDED}, '{TERM}')) AS term FROM documents),
+    lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+    totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+    counts AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+    weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+        FROM counts, totals GROUP BY term),
+    wants AS (
+        SELECT item_id, term, count(*) AS times
+        FROM (SELECT item_id, unnest(regexp_extract_all({_FOLDED}, '{TERM}')) AS term FROM benchmark)
+        GROUP BY item_id, term),
+    scores AS (
+        SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf)
+                   // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+        FROM wants JOIN counts USING (term) JOIN weights USING (term)
+        JOIN lengths USING (doc_id), totals
+        GROUP BY item_id, doc_id)
+    SELECT item_id, CAST(row_number() OVER (
+               PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0
+    QUALIFY rank <= 10"""
+
 STATEMENTS = {
     "op6_bayes_jaccard_join": JOIN,
     "op7_line_first_quality": QUALITY,
     "op8_redirect_equivalence": URLS,
     "op10_seekable_warc": WARC,
+    "op11_merkle_climb": MERKLE,
+    "op12_nra_search": SEARCH,
 }
