@@ -192,17 +192,19 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, text: str, key: str)
     body = F.coalesce(col(text), F.lit(""))
     chosen = docs.select(col(key).alias("__key"), F.xxhash64(body).alias("hash"),
                          body.alias("text")).join(F.broadcast(drawn), ["__key", "hash"])
-    coded = map_texts(chosen, lambda texts: {"bag": [
+    coded = stored(map_texts(chosen, lambda texts: {"bag": [
         spread(passages(t)).ravel() for t in texts]}, "bag array<float>",
-        ("hash", "target", "cost"))
+        ("hash", "target", "cost")))
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # Rows that repeat a key and text whole are one.
-        sample = pd.concat(list(batches)).drop_duplicates("hash").sort_values("hash")
+        parts = list(batches)
+        if not parts:
+            return
+        sample = pd.concat(parts).drop_duplicates("hash").sort_values("hash")
         bags = [np.asarray(b, np.float32).reshape(-1, WIDTH) for b in sample["bag"]]
         cost = sample["cost"].to_numpy(float)
-        model = fit(bags, sample["target"].to_numpy(float), cost / max(cost.mean(), 1e-9)
-                    if len(cost) else cost)
+        model = fit(bags, sample["target"].to_numpy(float), cost / cost.mean())
         yield pd.DataFrame({"name": list(model._fields),
                             "shape": [list(v.shape) for v in model],
                             "weights": [v.astype(float).ravel() for v in model]})
