@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import stored
+from ..session import drop_folder, scratch_path, stored
 from .tables import col, map_texts, read
 
 # What separates terms, and the constants of the score.
@@ -19,8 +20,10 @@ UNIT, SATURATION, NORM = 1_000_000_000, 1000, 8
 TOP = 10
 
 BLOCK_TERMS = 100_000    # query terms looked up in one pass over the texts
-BROADCAST_WANTS = 200_000  # rows (query, term) up to which they are sent to every task
-STEPS_PER_OCTAVE = 2     # postings are read in steps of impacts this close
+BROADCAST_ROWS = 200_000   # rows (query, term) or blocks up to which they go to every task
+STEPS_PER_OCTAVE = 2     # postings of a list whose impacts are this close make a block
+BITS = 62                # lists whose bits share a number
+FEW_PAIRS = 100          # documents a query that are few enough to read all the rest at once
 FIRST_READ = 500         # postings a query of the first read
 GROWTH = 3               # each next read ends where so many times the postings are read
 
@@ -54,13 +57,25 @@ def weight(n_documents: Column, df: Column) -> Column:
     return F.floor(1000 * F.log(ratio)).cast("long")
 
 
-def postings_of(docs: DataFrame, vocabulary: DataFrame, text: str, key: str) -> DataFrame:
-    """``t, row, doc, impact, step`` of every query term in every text, by falling step.
+class Index(NamedTuple):
+    postings: DataFrame      # t, row, impact, turn: by falling turn within each file
+    lists: DataFrame         # t, turn, rows, most: blocks of each list and their best impact
+    documents: DataFrame     # row, doc, n, hits: documents with terms
+
+
+def indexed(docs: DataFrame, vocabulary: DataFrame, text: str, key: str) -> Index:
+    """Impact-sorted postings of every query term in every text, in the order of reading.
 
     The vocabulary is looked up in blocks of about BLOCK_TERMS terms, one pass over the texts
     each; a single block, the usual case, reads them once. Impacts need the number and length
-    of all documents, so the counts are written first. The postings are sorted by step inside
-    their files, whose page statistics let a read skip the other steps; nothing is shuffled.
+    of all documents, so the counts are written first.
+
+    A list is cut into blocks of similar impact. What a block is worth is how far reading it
+    lowers the greatest impact left in its list, a posting; its turn is the logarithm of
+    that, or of the least of the blocks before it, so every list is read from its greatest
+    impact down. Short lists of rare terms thus come first, and the long lists of common words
+    last. The postings are sorted by turn inside their files, whose page statistics let a read
+    skip the others; nothing is shuffled but one row per block.
     """
     spark = docs.sparkSession
     blocks = -(-vocabulary.count() // BLOCK_TERMS) or 1
@@ -68,109 +83,138 @@ def postings_of(docs: DataFrame, vocabulary: DataFrame, text: str, key: str) ->
                        col(text).alias("text"))
     if blocks > 1:
         rows = stored(rows)  # row numbers must be the same in every pass
-    parts, totals = [], None
+    parts, documents, totals = [], None, None
     for block in range(blocks):
         mine = vocabulary.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == block)
         known = {r.term.encode(): r.t for r in mine.toLocalIterator()}
         counts = stored(map_texts(
             rows, lambda texts, known=known: counted(texts, known),
             "n long, hits array<struct<t long, tf long>>", ("row", "doc")).where("n > 0"))
-        if totals is None:
+        if documents is None:
+            documents = counts
             totals = counts.agg(F.count(F.lit(1)).alias("N"), F.sum("n").alias("L")).first()
-        hits = counts.select("row", "doc", "n", F.inline("hits"))
-        n_documents = F.lit(totals["N"])
+        hits = counts.select("row", "n", F.inline("hits"))
         # At most a block's terms, so it may go to every task.
         weights = stored(hits.groupBy("t").agg(F.count(F.lit(1)).alias("df")).select(
-            "t", weight(n_documents, F.col("df")).alias("w")))
+            "t", weight(F.lit(totals["N"]), F.col("df")).alias("w")))
         norm = (f"({100 - LENGTH_SHARE} + ({LENGTH_SHARE} * n * {totals['N']}L) "
                 f"div {totals['L'] or 1}L)")
         impact = f"w * (({UNIT}L * tf) div ({SATURATION} * tf + {NORM} * {norm}))"
         parts.append(hits.join(F.broadcast(weights), "t").select(
-            "t", "row", "doc", F.expr(impact).cast("long").alias("impact")))
+            "t", "row", F.expr(impact).cast("long").alias("impact")))
     step = F.floor(F.log2("impact") * STEPS_PER_OCTAVE).cast("int")
     found = reduce(DataFrame.unionByName, parts).where("impact > 0").withColumn("step", step)
-    return stored(found.sortWithinPartitions(F.desc("step")))
+    down = Window.partitionBy("t").orderBy(F.desc("step"))  # at most 128 steps a list
+    worth = (F.col("most") - F.lead("most", 1, 0).over(down)) / F.col("rows")
+    lists = stored(found.groupBy("t", "step").agg(
+        F.count(F.lit(1)).alias("rows"), F.max("impact").alias("most")).withColumn(
+            "worth", worth).select("t", "step", "rows", "most", F.floor(F.log2(F.min("worth").over(
+                down.rowsBetween(Window.unboundedPreceding, 0)))).cast("int").alias("turn")))
+    turns = lists.select("t", "step", "turn")
+    if lists.count() <= BROADCAST_ROWS:
+        turns = F.broadcast(turns)
+    postings = stored(found.join(turns, ["t", "step"]).select(
+        "t", "row", "impact", "turn").sortWithinPartitions(F.desc("turn")))
+    return Index(postings, lists, documents)
 
 
 def reads(sizes: Sequence[tuple[int, int]], first: int) -> list[int]:
-    """The lowest step of each read; ``sizes`` gives each step's postings over all queries."""
+    """The lowest turn of each read; ``sizes`` gives each turn's postings over all queries."""
     lows, total, wanted = [], 0, first
-    for step, size in sorted(sizes, reverse=True):
+    for turn, size in sorted(sizes, reverse=True):
         total += size
         if total >= wanted:
-            lows.append(step)
+            lows.append(turn)
             wanted = total * GROWTH
     if sizes and (not lows or lows[-1] != min(sizes)[0]):
         lows.append(min(sizes)[0])
     return lows
 
 
-def best_lists(postings: DataFrame, wants: DataFrame, top: int) -> DataFrame:
+def best_lists(index: Index, wants: DataFrame, top: int) -> DataFrame:
     """``q, row, doc, score``: the documents that may be among the ``top`` of each query, each
     with its final score.
 
-    Every round reads the next lower steps of all lists. A document's lower bound is what was
+    Every read takes the next blocks of all lists. A document's lower bound is what was
     read of it; its upper bound adds, for each list in which it was not met, the greatest
     impact left there. A query is open while a document never met could still reach its
     ``top``-th lower bound; postings of open queries are read for all documents. A closed
     query needs only the documents whose upper bound reaches that bound (equal scores
-    included); what is left of its lists is read for these alone, until no list has anything
-    left, so that lower and upper bounds meet and all scores are final.
+    included); its lists are read on for these alone, until no list has anything left, so that
+    lower and upper bounds meet and all scores are final. A document that fell behind may be
+    met again while its query is open; its true score lies below the bound, so it stays out.
+
+    A pair's state is one row: its lower bound and one bit for each list in which it was met.
     """
-    lists = stored(postings.groupBy("t", "step").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("impact").alias("most")))
-    few = wants.count() <= BROADCAST_WANTS
+    spark = wants.sparkSession
+    place = Window.partitionBy("q").orderBy("t")
+    wants = stored(wants.withColumn("place", F.row_number().over(place) - 1))
+    few = wants.count() <= BROADCAST_ROWS
 
     def small(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if few else df
 
     users = wants.groupBy("t").agg(F.count(F.lit(1)).alias("users"))
-    sizes = lists.join(users, "t").groupBy("step").agg(F.sum(F.col("rows") * F.col("users")))
-    found, live = None, None
-    queries = stored(wants.select("q").distinct().select("q", F.lit(True).alias("open")))
-    # One row per step, at most 128.
-    lows = reads([tuple(r) for r in sizes.collect()], FIRST_READ * queries.count())
-    columns = ["q", "t", "row", "doc", "gain"]
-    high = None
-    gain = (F.col("times") * F.col("impact")).alias("gain")
+    sizes = index.lists.join(users, "t").groupBy("turn").agg(
+        F.sum(F.col("rows") * F.col("users")))
+    n_queries, longest = wants.agg(F.countDistinct("q"), F.max("place")).first()
+    # One row per turn, at most 128.
+    lows = reads([tuple(r) for r in sizes.collect()], FIRST_READ * n_queries)
+    if not lows:
+        return spark.createDataFrame([], "q long, row long, doc long, score long")
+    masks = [f"met_{i}" for i in range(longest // BITS + 1)]
+    added = [F.expr("times * impact").alias("lower"), *[
+        F.expr(f"CASE WHEN place div {BITS} = {i} THEN shiftleft(1L, place % {BITS}) ELSE 0L END")
+        .alias(m) for i, m in enumerate(masks)]]
+    state, queries, old, high = None, None, [], max(t for t, in index.lists.select("turn").distinct()
+                                                     .collect()) + 1
     while lows:
-        closed = high is not None and queries.where("open").isEmpty()
-        low = lows[-1] if closed else lows[0]  # all closed: the rest in one read
-        lows = [] if closed else lows[1:]
-        step = postings.where((F.col("step") >= low) & (
-            F.lit(True) if high is None else F.col("step") < high)).drop("step")
+        low, *lows = lows
+        step = index.postings.where((F.col("turn") >= low) & (F.col("turn") < high))
         high = low
-        pieces = [] if found is None else [found]
-        if not closed:
-            pieces.append(step.join(small(wants.join(queries.where("open"), "q")), "t").select(
-                "q", "t", "row", "doc", gain))
-        if live is not None:
-            pairs = live.join(queries.where("NOT open"), "q").select("q", "row")
-            pieces.append(step.join(pairs, "row").join(small(wants), ["q", "t"]).select(
-                "q", "t", "row", "doc", gain))
-        met = stored(reduce(DataFrame.unionByName, pieces).select(*columns))
-
-        # What each list may still give a query, and each query in all.
-        left = lists.where(F.col("step") < low).groupBy("t").agg(F.max("most").alias("most"))
-        fronts = stored(wants.join(left, "t", "left").select(
-            "q", "t", (F.col("times") * F.coalesce("most", F.lit(0))).alias("front")))
-        unread = fronts.groupBy("q").agg(F.sum("front").alias("unread"))
-        scores = stored(met.join(small(fronts), ["q", "t"]).groupBy("q", "row", "doc").agg(
-            F.sum("gain").alias("lower"), F.sum("front").alias("known")))
+        if queries is None:
+            pieces = [step.join(small(wants), "t").select("q", "row", *added)]
+        else:
+            live = state.join(small(queries), "q").where("upper >= bound")
+            opened = wants.join(queries.where("open").select("q"), "q")
+            pairs = live.where("NOT open").select("q", "row")
+            pieces = [live.select("q", "row", "lower", *masks),
+                      step.join(small(opened), "t").select("q", "row", *added),
+                      step.join(pairs, "row").join(small(wants), ["q", "t"]).select(
+                          "q", "row", *added)]
+        left = index.lists.where(F.col("turn") < low).groupBy("t").agg(F.max("most").alias("most"))
+        fronts = wants.join(left, "t", "left").groupBy("q").agg(F.sort_array(F.collect_list(F.struct(
+            "place", (F.col("times") * F.coalesce("most", F.lit(0))).alias("front")))).alias("l"))
+        fronts = stored(fronts.select("q", F.expr("transform(l, x -> x.front)").alias("fronts")))
+        # What the lists in which a pair was not met may still add.
+        rest = [f"aggregate(transform(slice(fronts, {i * BITS + 1}, {BITS}), (f, j) -> IF("
+                f"shiftright({m}, j) & 1L = 1L, 0L, f)), 0L, (x, y) -> x + y)"
+                for i, m in enumerate(masks)]
+        sums = reduce(DataFrame.unionByName, pieces).groupBy("q", "row").agg(
+            *[F.sum(c).alias(c) for c in ("lower", *masks)])
+        scored = sums.join(small(fronts), "q").select(
+            "q", "row", "lower", *masks, F.expr(f"lower + {' + '.join(rest)}").alias("upper"))
+        path = scratch_path(spark, "bounds")
+        scored.write.parquet(path)
+        state = spark.read.schema(scored.schema).parquet(path)
         order = Window.partitionBy("q").orderBy(F.desc("lower"))
-        bounds = scores.withColumn("i", F.row_number().over(order)).where(f"i <= {top}").groupBy(
-            "q").agg(F.when(F.count(F.lit(1)) == top, F.min("lower")).otherwise(0).alias("bound"))
-        state = unread.join(bounds, "q", "left").select(
-            "q", "unread", F.coalesce("bound", F.lit(0)).alias("bound"))
-        queries = stored(state.select("q", "unread", "bound", (
-            (F.col("unread") > 0) & (F.col("unread") >= F.col("bound"))).alias("open")))
-        live = stored(scores.join(queries, "q").where(
-            "lower + unread - known >= bound").select("q", "row", "doc", "lower"))
-        queries = queries.select("q", "open")
-        found = met.join(live.select("q", "row"), ["q", "row"], "left_semi")
-    if live is None:
-        return wants.sparkSession.createDataFrame([], "q long, row long, doc long, score long")
-    return live.select("q", "row", "doc", F.col("lower").alias("score"))
+        bounds = state.select("q", "lower").withColumn("i", F.row_number().over(order)).where(
+            f"i <= {top}").groupBy("q").agg(F.when(
+                F.count(F.lit(1)) == top, F.min("lower")).otherwise(0).alias("bound"))
+        unread = F.expr("aggregate(fronts, 0L, (x, y) -> x + y)")
+        bound = F.coalesce("bound", F.lit(0))
+        queries = stored(fronts.join(bounds, "q", "left").select(
+            "q", bound.alias("bound"), ((unread > 0) & (unread >= bound)).alias("open")))
+        # The bounds of the read before are no longer needed by any frame.
+        for stale in old:
+            drop_folder(spark, stale)
+        old = [path]
+        if lows and queries.where("open").isEmpty() and state.join(small(queries), "q").where(
+                "upper >= bound").count() <= FEW_PAIRS * n_queries:
+            lows = lows[-1:]
+    final = state.join(small(queries), "q").where("upper >= bound").select(
+        "q", "row", F.col("lower").alias("score"))
+    return final.join(index.documents.select("row", "doc"), "row")
 
 
 def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP, text: str = "text",
@@ -199,7 +243,7 @@ def ranked_search(docs: DataFrame, items: DataFrame, top: int = TOP, text: str =
     vocabulary = stored(spelled.select("term").distinct().withColumn(
         "t", F.monotonically_increasing_id()))
     wants = stored(spelled.join(vocabulary, "term").select("q", "t", "times"))
-    best = best_lists(postings_of(docs, vocabulary, text, key), wants, top)
+    best = best_lists(indexed(docs, vocabulary, text, key), wants, top)
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_first("doc"), "row")
     ranks = best.withColumn("rank", F.row_number().over(order)).where(f"rank <= {top}")
     named = given.join(texts, "body").select("item", "q")

@@ -153,7 +153,7 @@ def test_terms_split_at_ascii_marks_only():
 
 
 @pytest.mark.parametrize("settings", [
-    {}, {"FIRST_READ": 1, "GROWTH": 2}, {"BLOCK_TERMS": 9, "BROADCAST_WANTS": 0}])
+    {}, {"FIRST_READ": 1, "GROWTH": 2}, {"BLOCK_TERMS": 9, "BROADCAST_ROWS": 0, "BITS": 3, "FIRST_READ": 5}])
 def test_search_matches_plain_scores(spark, documents, frame, monkeypatch, settings):
     for name, value in settings.items():
         monkeypatch.setattr(ranking, name, value)
