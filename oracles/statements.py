@@ -336,6 +336,42 @@ STATEMENTS: dict[str, str] = {
         UNION ALL SELECT 'industry', count(*), CAST(sum(employee_count) AS BIGINT) FROM industry
         UNION ALL SELECT 'locations', count(*), CAST(sum(postal_code) AS BIGINT)
                   FROM locations""",
+    "export_replaced": """
+        SELECT *, n_rows AS manifest_rows FROM (
+            SELECT 'skills_per_job.csv' AS table_name, count(*) AS n_rows,
+                   CAST(sum(n_skills) AS BIGINT) AS total FROM per_job
+            UNION ALL SELECT 'industry.csv', count(*), CAST(sum(employee_count) AS BIGINT)
+                      FROM industry
+            UNION ALL SELECT 'job_ads.csv', count(*), CAST(sum(n_words) AS BIGINT) FROM ads
+            UNION ALL SELECT 'job_ads.parquet', count(*), CAST(sum(n_words) AS BIGINT) FROM ads)""",
+    "log_column_types": """
+        SELECT column_name, CASE
+                   WHEN bool_and(v IN ('T', 'TRUE', 'true', 'F', 'FALSE', 'false')) THEN 'logical'
+                   WHEN bool_and(NOT regexp_matches(v, '^[+-]?0[0-9]')
+                                 AND regexp_matches(v, '^[+-]?[0-9]+$')
+                                 AND TRY_CAST(v AS BIGINT) IS NOT NULL) THEN 'integer'
+                   WHEN bool_and(NOT regexp_matches(v, '^[+-]?0[0-9]')
+                                 AND TRY_CAST(v AS DOUBLE) IS NOT NULL) THEN 'double'
+                   WHEN bool_and(length(v) <= 10 AND TRY_CAST(v AS DATE) IS NOT NULL) THEN 'date'
+                   WHEN bool_and(TRY_CAST(v AS TIMESTAMP) IS NOT NULL) THEN 'datetime'
+                   ELSE 'text' END AS column_type, count(*) AS n_values
+        FROM (
+            UNPIVOT (SELECT CAST(row_id AS VARCHAR) AS row_id, JOB_ID, MESSAGE_ID,
+                            CAST(QUERY_COUNTER AS VARCHAR) AS QUERY_COUNTER,
+                            CAST("TIMESTAMP" AS VARCHAR) AS "TIMESTAMP", TIMESTAMP_FORMATTED,
+                            nullif(trim(QUERY), '') AS QUERY,
+                            CAST(QUERY_COUNTER % 24 AS VARCHAR) || '.5' AS HOUR,
+                            substr(TIMESTAMP_FORMATTED, 1, 10) AS DAY,
+                            CASE WHEN QUERY_COUNTER % 2 = 0 THEN 'TRUE' ELSE 'FALSE' END AS EVEN,
+                            lpad(CAST(QUERY_COUNTER % 100 AS VARCHAR), 4, '0') AS CODE
+                     FROM query_log) ON COLUMNS(*) INTO NAME column_name VALUE v)
+        GROUP BY column_name""",
+    "parsed_datetimes": "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS parsed FROM events",
+    "clean_headers": """
+        SELECT c_nationkey AS omrade_nr, CAST(sum(c_custkey) AS BIGINT) AS kunde_number,
+               max(c_name) AS navn_pa_kunden, round(sum(c_acctbal), 6) AS storrelse_percent,
+               count(c_custkey) AS kunde_number_2
+        FROM customer GROUP BY 1""",
 }
 for _kind, _flag, _source in (("audit_counter_counts", "counter_ok", "audit_counter"),
                               ("audit_time_sorted_counts", "backwards", "audit_time_sorted"),

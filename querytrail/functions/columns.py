@@ -3,14 +3,55 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# Signs that become words, quotes that go, and Latin letters whose Unicode name
+# does not say which plain letters stand for them.
+SIGNS = {"%": "_percent_", "#": "_number_", "'": "", '"': "", "\u2019": "", "\u2018": ""}
+SPELLED = {"SHARP S": "ss", "ETH": "d", "THORN": "th", "ENG": "ng", "DOTLESS I": "i"}
+LATIN = re.compile(r"LATIN (SMALL|CAPITAL) (?:LETTER|LIGATURE) (.+?)(?: WITH .*)?")
+
+
+def plain_letters(text: str) -> str:
+    """Letters as ASCII: accents go, ligatures and crossed letters become plain ones.
+
+    A Latin letter is spelled as its Unicode name says, such as ``O WITH STROKE`` or ``AE``;
+    letters of other scripts by the last word of theirs, so that names stay apart.
+    """
+    out = []
+    marks = [c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)]
+    for c, after in zip(marks, [*marks[1:], ""], strict=False):
+        name = unicodedata.name(c, "")
+        latin = LATIN.fullmatch(name)
+        if c.isascii():
+            out.append(c)
+        elif latin:
+            letters = SPELLED.get(latin[2], latin[2].split()[-1].lower())
+            if latin[1] == "CAPITAL":
+                letters = letters.capitalize() if after.islower() else letters.upper()
+            out.append(letters)
+        elif c.isalpha() and name:
+            out.append(name.split()[-1].lower() if " LETTER " in name else f"u{ord(c):x}")
+        else:
+            out.append("_")
+    return "".join(out)
+
+
 def snake_case(name: str) -> str:
-    spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", name.strip())
+    """Lower-case ASCII words joined by ``_``.
+
+    Words end at signs and blanks, before a capital that follows a small letter or digit, and
+    before the last of several capitals that a small letter follows.
+    """
+    for sign, word in SIGNS.items():
+        name = name.replace(sign, word)
+    plain = plain_letters(name.strip())
+    spaced = re.sub(r"([A-Z])([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", plain))
     snake = re.sub(r"[^0-9a-zA-Z]+", "_", spaced).strip("_").lower()
     if not snake:
         return "x"
@@ -18,13 +59,17 @@ def snake_case(name: str) -> str:
 
 
 def clean_names(df: DataFrame) -> DataFrame:
-    """Unique snake_case names; a repeated name gets a number."""
-    seen: dict[str, int] = {}
+    """Unique snake_case names; a repeated name gets the next free number."""
+    taken: set[str] = set()
     names = []
     for column in df.columns:
-        name = snake_case(column)
-        seen[name] = seen.get(name, 0) + 1
-        names.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        first = name = snake_case(column)
+        number = 1
+        while name in taken:
+            number += 1
+            name = f"{first}_{number}"
+        taken.add(name)
+        names.append(name)
     return df.toDF(*names)
 
 

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.timecols import as_number
+from ..functions import columns
+from ..functions.timecols import as_number, datetime_text, parse_datetime
 from ..operators.plotdata import histogram
 from ..session import scratch_path, stored
 from ..sources import adapters as A
-from ..sources import logs
+from ..sources import logs, results
 from . import audit, clean, effect, jobs, sessions, skills
 
 PLACES = 6
@@ -155,6 +156,75 @@ def _(t):
     return reduce(DataFrame.unionByName, back)
 
 
+@query("export_replaced")
+def _(t):
+    """A result folder after a first run over half of the jobs and a second over all."""
+    folder = results.ResultFolder(t.spark, scratch_path(t.spark, "study"))
+    tables = {"skills_per_job": skills.skills_per_job(_skills(t)), "industry": _industry(t),
+              "job_ads": _ad_sizes(t)}
+    logs.export({name: df.where("job_id % 2 = 0") for name, df in tables.items()}, folder.folder,
+                ["job_ads"])
+    logs.export(tables, folder.folder, ["job_ads"])
+    counted = folder.rows("tables")
+    measured = {"skills_per_job.csv": "n_skills", "industry.csv": "employee_count",
+                "job_ads.csv": "n_words", "job_ads.parquet": "n_words"}
+
+    def totals(file: str, number: str) -> DataFrame:
+        load = logs.load_parquet if file.endswith(".parquet") else logs.load_log
+        return load(t.spark, folder.path(file)).agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(as_number(F.col(number)).cast("long")).alias("total")).select(
+                F.lit(file).alias("table_name"), "n_rows", "total",
+                F.lit(counted[file]).cast("long").alias("manifest_rows"))
+
+    return reduce(DataFrame.unionByName, [totals(*item) for item in measured.items()])
+
+
+@query("log_column_types")
+def _(t):
+    """The types that the cells of the written query log fit, and the values that have them."""
+    path = scratch_path(t.spark, "query-log")
+    logs.write_csv(A.query_log(t).withColumns({
+        "HOUR": F.concat_ws(".", F.expr("QUERY_COUNTER % 24").cast("string"), F.lit("5")),
+        "DAY": F.substring("TIMESTAMP_FORMATTED", 1, 10),
+        "EVEN": F.when(F.expr("QUERY_COUNTER % 2 = 0"), "TRUE").otherwise("FALSE"),
+        "CODE": F.lpad(F.expr("QUERY_COUNTER % 100").cast("string"), 4, "0")}), path)
+    log = logs.load_log(t.spark, path, snake=False, infer=True)
+    kinds = {"boolean": "logical", "bigint": "integer", "double": "double", "date": "date",
+             "timestamp": "datetime", "string": "text"}
+    counts = log.agg(*[F.count(c).alias(c) for c in log.columns])
+    return counts.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.lit(kinds[kind]).alias("column_type"),
+        F.col(c).alias("n_values")) for c, kind in log.dtypes])))
+
+
+@query("parsed_datetimes")
+def _(t):
+    """The time of every event, written in one of twelve ways and read back."""
+    ts = F.col("ts").cast("timestamp")
+    layouts = ("yyyy-MM-dd HH:mm:ss", "yyyyMMddHHmmss", "yyMMddHHmmss", "yy-M-d H:m:s",
+               "yyyyMMdd HHmmss", "yyyy.MM.dd HH.mm.ss", "yyyy, MMM d, HH:mm:ss",
+               "yyyy MMMM d HH'h'mm'm'ss's'", "yyyy/MM/dd hh:mm:ss a", "yyyy-MM-dd'T'HH:mm:ss'Z'",
+               "yyyy-MM-dd'T'HH:mm:ss'+00:00'", "'on' yyyy_MM_dd 'at' HH_mm_ss")
+    kind = F.col("event_id") % len(layouts)
+    written = F.coalesce(*[F.when(kind == i, F.date_format(ts, layout))
+                           for i, layout in enumerate(layouts)])
+    return t.events.select("event_id", datetime_text(parse_datetime(written)).alias("parsed"))
+
+
+@query("clean_headers")
+def _(t):
+    """Customers under headers as a Danish sheet would have them, with the names made clean."""
+    headers = {"c_custkey": "Kunde #", "c_name": "Navn på kunden", "c_nationkey": "Område-nr.",
+               "c_acctbal": "Størrelse %"}
+    named = columns.clean_names(t.customer.select(
+        *[F.col(c).alias(h) for c, h in headers.items()], F.col("c_custkey").alias("Kunde (#)")))
+    return named.groupBy("omrade_nr").agg(
+        F.sum("kunde_number").alias("kunde_number"), F.max("navn_pa_kunden").alias("navn_pa_kunden"),
+        F.sum("storrelse_percent").alias("storrelse_percent"),
+        F.count("kunde_number_2").alias("kunde_number_2"))
+
+
 @query("clean_query_log")
 def _(t):
     return clean.clean_query_log(_log_with_empty_column(t))

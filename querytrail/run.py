@@ -11,7 +11,8 @@ part files works as well):
     mismatch    queries_clean, skills_clean, industry_clean, job_ads_clean
     explore     skills_clean, industry_clean, job_ads_clean
 
-Each study writes its tables as CSV into the output folder; ``clean`` also writes the
+Each study writes its tables as CSV into the output folder, in place of those of an earlier
+run; ``clean`` also writes the
 ``*_clean`` tables as Parquet, which the others read where they find them, so its output
 folder is their input folder.
 """
@@ -35,6 +36,7 @@ from querytrail.operators.plotdata import histogram  # noqa: E402
 from querytrail.plans import audit, clean, effect, jobs, sessions, skills  # noqa: E402
 from querytrail.session import build_session, sized_for, stored  # noqa: E402
 from querytrail.sources import logs  # noqa: E402
+from querytrail.sources.results import ResultFolder  # noqa: E402
 
 Load = Callable[..., DataFrame]
 NUMBERS = ("JOB_ID", "MESSAGE_ID", "CV_ID", "QUERY_COUNTER", "TIMESTAMP", "RESPONSE_TYPE")
@@ -189,19 +191,25 @@ STUDIES = {"clean": clean_study, "behaviour": behaviour_study, "effect": effect_
 
 
 def run(spark: SparkSession, study: str, source: str, target: str) -> list[str]:
-    """Run one study and return the paths written."""
+    """Run one study and return the paths written.
+
+    The study's earlier tables are replaced when all new ones are written. A run that broke
+    off is taken up where it stopped if no file of the input has changed since.
+    """
+    given = ResultFolder(spark, source)
+    given.recover()
+
     def load(name: str, **options) -> DataFrame:
-        path = f"{source.rstrip('/')}/{name}"
         try:
-            return logs.load_parquet(spark, f"{path}.parquet")
+            return logs.load_parquet(spark, given.path(f"{name}.parquet"))
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-        return logs.load_log(spark, f"{path}.csv", **options)
+        return logs.load_log(spark, given.path(f"{name}.csv"), **options)
 
     tables = STUDIES[study](load)
     typed = [name for name in tables if name.endswith("_clean")] if study == "clean" else ()
-    return logs.export(tables, target, typed)
+    return logs.export(tables, target, typed, study, given.files.signature(source))
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

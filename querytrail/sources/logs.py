@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions.columns import clean_names, without_index_columns
 from ..functions.text import MISSING_MARK
 from ..session import stored
+from . import results, typing
 
 ROW_ID = "row_id"
 
@@ -21,7 +22,8 @@ _FILE, _BLOCK, _AT = "_file", "_block", "_at"
 
 def load_log(spark: SparkSession, path: str, snake: bool = True, trim: bool = True,
              blank_as_null: bool | Sequence[str] = True, row_id: bool = False,
-             multi_line: bool = True, malformed: str = "refuse") -> DataFrame:
+             multi_line: bool = True, malformed: str = "refuse",
+             infer: bool = False) -> DataFrame:
     """A CSV with a header row as a frame of text columns.
 
     ``NA`` is NULL. Blank cells are NULL too, in all columns, in none, or in those
@@ -35,6 +37,9 @@ def load_log(spark: SparkSession, path: str, snake: bool = True, trim: bool = Tr
 
     ``row_id`` numbers the rows by file name and place in the file, from 0 without gaps. The
     table is then written once, so the numbers hold however often and wherever it is read.
+
+    ``infer`` gives each column the narrowest type that all its values fit (see ``typing``).
+    The types are observed while the cells are written, so the file is read and parsed once.
     """
     if malformed not in ("refuse", "keep"):
         raise ValueError(f"malformed={malformed!r}: refuse or keep")
@@ -62,6 +67,8 @@ def load_log(spark: SparkSession, path: str, snake: bool = True, trim: bool = Tr
         return F.when(~text.isin(missing), text).alias(name)
 
     cells = named.select(*[cell(name) for name in columns], *places)
+    if infer:
+        cells = typing.typed(cells, columns)
     if row_id:
         cells = _numbered(cells)
     return clean_names(cells) if snake else cells
@@ -98,21 +105,18 @@ def write_parquet(df: DataFrame, path: str) -> None:
     df.write.parquet(path)
 
 
-def export(tables: Mapping[str, DataFrame], folder: str, typed: Sequence[str] = ()) -> list[str]:
+def export(tables: Mapping[str, DataFrame], folder: str, typed: Sequence[str] = (),
+           study: str = "tables", inputs: str = "") -> list[str]:
     """Write every table as ``<name>.csv``, those in ``typed`` as ``<name>.parquet`` too.
 
-    A typed table is computed once: its CSV is made from the Parquet copy.
+    Earlier versions are replaced, all at once and only when every table is written; see
+    ``results``. A typed table is computed once: its CSV is made from the Parquet copy.
     """
-    written = []
-    for name, table in tables.items():
-        path = f"{folder.rstrip('/')}/{name}"
-        if name in typed:
-            write_parquet(table, f"{path}.parquet")
-            table = load_parquet(table.sparkSession, f"{path}.parquet")
-            written.append(f"{path}.parquet")
-        write_csv(table, f"{path}.csv")
-        written.append(f"{path}.csv")
-    return written
+    if not tables:
+        return []
+    spark = next(iter(tables.values())).sparkSession
+    return results.ResultFolder(spark, folder).save(
+        study, results.plan(tables, typed, write_csv, write_parquet), inputs)
 
 
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:

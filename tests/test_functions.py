@@ -85,12 +85,73 @@ def test_as_integer(frame, text, expected):
     assert value(frame, text, M.as_integer) == expected
 
 
-@pytest.mark.parametrize("text", [
-    "2021-03-04 05:06:07", "2021-3-4 5:6:7", "2021/03/04 05:06:07", "2021-03-04T05:06:07Z",
-    "20210304050607"])
-def test_parse_datetime(frame, text):
-    shown = value(frame, text, lambda c: M.datetime_text(M.parse_datetime(c)))
-    assert shown == "2021-03-04 05:06:07"
+DATETIMES = [
+    ('20100101120101', '2010-01-01 12:01:01'),
+    ('2009-01-02 12-01-02', '2009-01-02 12:01:02'),
+    ('2009.01.03 12:01:03', '2009-01-03 12:01:03'),
+    ('2009-1-4 12-1-4', '2009-01-04 12:01:04'),
+    ('2009-1, 5 12:1, 5', '2009-01-05 12:01:05'),
+    ('200901-08 1201-08', '2009-01-08 12:01:08'),
+    ('2009 arbitrary 1 non-decimal 6 chars 12 in between 1 !!! 6', '2009-01-06 12:01:06'),
+    ('OR collapsed formats: 20090107 120107 (as long as prefixed with zeros)', '2009-01-07 12:01:07'),
+    ('Automatic wday, Thu, detection, 10-01-10 10:01:10 and p format: AM', '2010-01-10 10:01:10'),
+    ('Created on 10-01-11 at 10:01:10 PM', '2010-01-11 22:01:10'),
+    ('21-03-05 10:11:12', '2021-03-05 10:11:12'),
+    ('20210305 101112', '2021-03-05 10:11:12'),
+    ('2021.03.05 10.11.12', '2021-03-05 10:11:12'),
+    ('210305101112', '2021-03-05 10:11:12'),
+    ('210305 101112', '2021-03-05 10:11:12'),
+    ('2021-Mar-05 10:11:12', '2021-03-05 10:11:12'),
+    ('2021 March 5, 10:11:12', '2021-03-05 10:11:12'),
+    ('2021mar05 101112', '2021-03-05 10:11:12'),
+    ('2021-03-05T10:11:12Z', '2021-03-05 10:11:12'),
+    ('2021-03-05T10:11:12+02:00', '2021-03-05 08:11:12'),
+    ('2021-03-05 10:11:12 -0530', '2021-03-05 15:41:12'),
+    ('2021-03-05 10:11:12+01', '2021-03-05 09:11:12'),
+    ('2021-03-05 10:11:12.750', '2021-03-05 10:11:12.75'),
+    ('2021-03-05T10:11:12,5Z', '2021-03-05 10:11:12.5'),
+    ('2021/3/5 1:1:2', '2021-03-05 01:01:02'),
+    ('2021-03-05 12:00:00 AM', '2021-03-05 00:00:00'),
+    ('2021-03-05 12:00:00 pm', '2021-03-05 12:00:00'),
+    ('2021-03-05 1:02:03 p.m.', '2021-03-05 13:02:03'),
+    ('69-12-31 23:59:59', '1969-12-31 23:59:59'),
+    ('68-12-31 23:59:59', '2068-12-31 23:59:59'),
+    ('2021_03_05_10_11_12', '2021-03-05 10:11:12'),
+    ('2020-02-29 00:00:00', '2020-02-29 00:00:00'),
+    ('2021-03-05 10h11m12s', '2021-03-05 10:11:12'),
+    ('  2021-03-05 10:11:12  ', '2021-03-05 10:11:12'),
+    ('2021-03-05 10:11:12 UTC', '2021-03-05 10:11:12'),
+    ('[2021-03-05 10:11:12]', '2021-03-05 10:11:12'),
+    ('2021-03-05', None),
+    ('2021-03-05 10:11', None),
+    ('2021-13-05 10:11:12', None),
+    ('2021-02-29 10:11:12', None),
+    ('2021-03-05 25:11:12', None),
+    ('2021-03-05 10:61:12', None),
+    ('yesterday', None),
+    ('', None),
+    (None, None),
+    ('2021-03-05 13:02:03 PM', None),
+    ('1|2|3|4|5|6|7|8|9', None),
+    ('2021-03-05 10:11:12 99', None),
+    ('202103051011', None),
+    ('2021-03-05 0:00:00 AM', None),
+    ('x|y', None)]
+
+
+def test_datetimes_by_order(frame):
+    """Each of the forms, by the whole parser and without its short cut."""
+    df = frame(DATETIMES, "text string, expected string")
+    text = F.col("text")
+    got = df.select("text", "expected", M.parse_datetime(text).cast("string").alias("whole"),
+                    M._by_order(F.trim(text)).cast("string").alias("pattern")).collect()
+    assert [(r.text, r.whole, r.pattern) for r in got] == [
+        (text, expected, expected) for text, expected in DATETIMES]
+
+
+def test_long_cells_are_parsed_in_time(frame):
+    cells = ["2021-03-05 10:11:12 " + "am - " * 20_000 + "7", "a-" * 50_000, "1 " * 50_000]
+    assert [value(frame, cell, M.parse_datetime) for cell in cells] == [None] * 3
 
 
 def test_parse_datetime_bad(frame):
@@ -103,11 +164,65 @@ def test_parse_datetime_takes_timestamps(spark):
         == "2021-01-02 00:00:00"
 
 
-def test_snake_case():
-    assert C.snake_case("JOB_ID") == "job_id"
-    assert C.snake_case("Location Name") == "location_name"
-    assert C.snake_case("employeeCount") == "employee_count"
-    assert C.snake_case("2nd col") == "x2nd_col"
+NAMES = [
+    ('JOB_ID', 'job_id'),
+    ('Location Name', 'location_name'),
+    ('employeeCount', 'employee_count'),
+    ('2nd col', 'x2nd_col'),
+    ('Størrelse', 'storrelse'),
+    ('Æble %', 'aeble_percent'),
+    ('Årsløn (kr.)', 'arslon_kr'),
+    ('Jobområde', 'jobomrade'),
+    ('Stillingsbetegnelse', 'stillingsbetegnelse'),
+    ('Øre/time', 'ore_time'),
+    ('Antal søgninger pr. måned', 'antal_sogninger_pr_maned'),
+    ('Virksomhed #', 'virksomhed_number'),
+    ('% af alle', 'percent_af_alle'),
+    ('#', 'number'),
+    ('Straße', 'strasse'),
+    ('GROẞ', 'gross'),
+    ('Größe', 'grosse'),
+    ('São Paulo', 'sao_paulo'),
+    ('Łódź', 'lodz'),
+    ('Đorđe', 'dorde'),
+    ('þorn Þing', 'thorn_thing'),
+    ('garðr', 'gardr'),
+    ('Œuvre', 'oeuvre'),
+    ('ısı', 'isi'),
+    ('Ñandú', 'nandu'),
+    ('naïve café', 'naive_cafe'),
+    ("don't", 'dont'),
+    ('the "best"', 'the_best'),
+    ('it’s', 'its'),
+    ('ﬁnal', 'final'),
+    ('Ⅳ', 'iv'),
+    ('x²', 'x2'),
+    ('URLName', 'url_name'),
+    ('someURLName', 'some_url_name'),
+    ('HTTPServerID', 'http_server_id'),
+    ('ABC', 'abc'),
+    ('aB', 'a_b'),
+    ('__x__', 'x'),
+    (' padded ', 'padded'),
+    ('a--b..c', 'a_b_c'),
+    ('', 'x'),
+    ('...', 'x'),
+    ('Ελλάδα', 'epsilonlamdalamdaalphadeltaalpha'),
+    ('ÆØÅ', 'aeoa'),
+    ('kr€', 'kr'),
+    ('100%', 'x100_percent')]
+
+
+@pytest.mark.parametrize("name, expected", NAMES)
+def test_snake_case(name, expected):
+    assert C.snake_case(name) == expected
+    assert C.snake_case(expected) == expected
+
+
+def test_danish_headers_stay_apart(frame):
+    df = frame([(1, 2, 3, 4, 5)], "`Størrelse` int, `Storrelse` int, `Storrelse 2` int, `Æ` int, `Ø` int")
+    assert C.clean_names(df).columns == ["storrelse", "storrelse_2", "storrelse_2_2", "ae", "o"]
+    assert C.clean_names(C.clean_names(df)).columns == C.clean_names(df).columns
 
 
 @given(st.text(max_size=20))
