@@ -63,7 +63,12 @@ def parse_datetime(value: Column) -> Column:
 
 def _by_order(text: Column) -> Column:
     parts = F.split(F.regexp_replace(text, ORDERED, "$1|$2|$3|$4|$5|$6|$7|$8|$9"), r"\|", -1)
+    # In a lambda the parts are taken apart once, not for every use.
+    return F.when(text.rlike(ORDERED), F.transform(F.array(parts), _assembled)[0])
 
+
+def _assembled(parts: Column) -> Column:
+    """The date-time of the nine parts that ``ORDERED`` finds."""
     def number(i: int) -> Column:
         return parts[i].try_cast("int")
 
@@ -83,7 +88,7 @@ def _by_order(text: Column) -> Column:
            + F.coalesce(F.substring(offset, 4, 2).try_cast("int"), F.lit(0))))
     local = F.try_make_timestamp(year, month, number(2), hour, number(4),
                                  number(5).cast("decimal(8,6)") + fraction)
-    return F.when(text.rlike(ORDERED), F.timestamp_add("MINUTE", -minutes, local))
+    return F.timestamp_add("MINUTE", -minutes, local)
 
 
 def datetime_text(value: Column) -> Column:

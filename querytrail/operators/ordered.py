@@ -97,18 +97,34 @@ def with_position(df: DataFrame, keys: Sequence[str], order: Sequence[str], name
                   sizes: DataFrame | None = None,
                   rows_at_most: int | None = None) -> DataFrame:
     """Add the 1-based position of each row in its ordered group."""
+    placed = with_sum_before(df, keys, order, F.lit(1), name, max_group_rows, sizes, rows_at_most)
+    return placed.withColumn(name, F.col(name) + 1)
+
+
+def with_sum_before(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
+                    name: str, max_group_rows: int = MAX_GROUP_ROWS,
+                    sizes: DataFrame | None = None,
+                    rows_at_most: int | None = None) -> DataFrame:
+    """Add the sum of whole ``value`` over the earlier rows of each ordered group, 0 at first.
+
+    With the number of rows that each row stands for, this gives their positions before
+    they are exploded.
+    """
     ordinary, cut = _split_hot(df, keys, order, max_group_rows, sizes, rows_at_most)
-    window = Window.partitionBy(*keys).orderBy(*_sort_key(order))
-    result = ordinary.withColumn(name, F.row_number().over(window).cast("long"))
+
+    def before(*names: str) -> Column:
+        window = Window.partitionBy(*names).orderBy(*_sort_key(order)).rowsBetween(
+            Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum(value).over(window), F.lit(0)).cast("long")
+
+    result = ordinary.withColumn(name, before(*keys))
     if cut is None:
         return result
 
-    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(
-        Window.unboundedPreceding, -1)
-    offsets = (cut.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("rows"))
-               .withColumn(_CARRY, F.coalesce(F.sum("rows").over(before), F.lit(0)))
-               .drop("rows"))
-    inner = Window.partitionBy(*keys, _PART).orderBy(*_sort_key(order))
+    parts = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (cut.groupBy(*keys, _PART).agg(F.sum(value).alias("total"))
+               .withColumn(_CARRY, F.coalesce(F.sum("total").over(parts), F.lit(0)))
+               .drop("total"))
     hot = (null_safe_join(cut, F.broadcast(offsets), [*keys, _PART])
-           .withColumn(name, F.row_number().over(inner) + F.col(_CARRY)))
+           .withColumn(name, before(*keys, _PART) + F.col(_CARRY)))
     return result.unionByName(hot.drop(_PART, _CARRY))

@@ -71,6 +71,17 @@ def _summary(t: A.Tables) -> DataFrame:
     return sessions.session_summary(_log(t))
 
 
+def _profile(t: A.Tables) -> DataFrame:
+    return sessions.session_profile(A.query_log(t))
+
+
+def _lengths(t: A.Tables) -> DataFrame:
+    """Minutes and number of queries per session, for which no query need be read."""
+    log = A.event_log(t).withColumn("QUERY", F.lit(None).cast("string"))
+    return sessions.session_profile(log).select(
+        "JOB_ID", "n_queries", "session_duration_min", "session_type")
+
+
 def _features(t: A.Tables) -> DataFrame:
     return sessions.query_features(A.query_log(t))
 
@@ -314,7 +325,7 @@ def _(t):
 
 @query("summary_stats")
 def _(t):
-    return sessions.summary_stats(_summary(t))
+    return sessions.summary_stats(stored(_profile(t)))
 
 
 @query("boolean_query_stats")
@@ -324,17 +335,17 @@ def _(t):
 
 @query("session_type_stats")
 def _(t):
-    return sessions.session_type_stats(_summary(t))
+    return sessions.session_type_stats(_lengths(t))
 
 
 @query("duration_query_correlation")
 def _(t):
-    return sessions.duration_query_correlation(_summary(t))
+    return sessions.duration_query_correlation(_lengths(t))
 
 
 @query("duration_query_trend")
 def _(t):
-    return sessions.duration_query_trend(_summary(t))
+    return sessions.duration_query_trend(_lengths(t))
 
 
 # ---- effort and response
@@ -578,7 +589,7 @@ def _(t):
 
 @query("hist_queries_per_session")
 def _(t):
-    return histogram(_summary(t), F.col("n_queries"), 25, within=(1, 50), centre=True)
+    return histogram(_lengths(t), F.col("n_queries"), 25, within=(1, 50), centre=True)
 
 
 @query("hist_unique_tokens")
@@ -588,7 +599,7 @@ def _(t):
 
 @query("hist_duration_by_type")
 def _(t):
-    return histogram(_summary(t), F.col("session_duration_min"), 30, by=["session_type"])
+    return histogram(_lengths(t), F.col("session_duration_min"), 30, by=["session_type"])
 
 
 @query("hist_skill_freq_log10")

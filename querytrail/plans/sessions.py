@@ -82,24 +82,34 @@ def session_measures(features: DataFrame) -> DataFrame:
         F.max_by(tokens, place).alias("last_query_len"))
 
 
-def session_summary(log: DataFrame, shortest_min: float = SHORTEST_MIN,
+def session_profile(log: DataFrame, shortest_min: float = SHORTEST_MIN,
                     longest_min: float = LONGEST_MIN, fix_units: bool = False) -> DataFrame:
-    """Sessions of usual length with their measures, type and flags."""
+    """Sessions of usual length with their measures, type and flags, but no count of words.
+
+    Nothing is written, so a statistic of the minutes alone reads only the times.
+    """
     minutes = F.col("session_duration_min")
-    kept = stored(session_measures(query_features(log, fix_units=fix_units)).where(
-        minutes.between(shortest_min, longest_min)))
+    kept = session_measures(query_features(log, fix_units=fix_units)).where(
+        minutes.between(shortest_min, longest_min))
     session_type = (F.when(minutes <= MATCHING_UP_TO_MIN, MATCHING)
                     .when(minutes <= longest_min, RECRUITING).otherwise(OTHER))
-    # Only words of the sessions kept are taken apart and shuffled.
-    own = null_safe_join(_with_job_text(log).select("JOB_ID", "QUERY"), kept.select("JOB_ID"),
-                         ["JOB_ID"], "left_semi")
-    return null_safe_join(kept, unique_tokens_per_session(own), ["JOB_ID"]).withColumns({
+    return kept.withColumns({
         "session_type": session_type,
         "used_boolean": F.col("boolean_usage_rate") > 0,
         "used_wildcard": F.col("wildcard_usage_rate") > 0,
     })
 
 
+def session_summary(log: DataFrame, shortest_min: float = SHORTEST_MIN,
+                    longest_min: float = LONGEST_MIN, fix_units: bool = False) -> DataFrame:
+    """The profile with the distinct words of each session."""
+    kept = stored(session_profile(log, shortest_min, longest_min, fix_units))
+    # Only words of the sessions kept are taken apart and shuffled.
+    own = null_safe_join(_with_job_text(log).select("JOB_ID", "QUERY"), kept.select("JOB_ID"),
+                         ["JOB_ID"], "left_semi")
+    return null_safe_join(kept, unique_tokens_per_session(own), ["JOB_ID"])
+
+
 def summary_stats(sessions: DataFrame) -> DataFrame:
     """Study-wide means, medians and spread over sessions.
 
@@ -132,6 +142,7 @@ def boolean_query_stats(filtered: DataFrame) -> DataFrame:
 
 def session_type_stats(sessions: DataFrame) -> DataFrame:
     """Duration statistics per session type."""
+    sessions = stored(sessions.select("session_type", "session_duration_min"))
     middle = quantiles(sessions, F.col("session_duration_min"), [0.5], ["session_type"]).select(
         "session_type", F.col("q")[0].alias("median_duration"))
     stats = sessions.groupBy("session_type").agg(

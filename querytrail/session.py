@@ -97,6 +97,16 @@ def drop_folder(spark: SparkSession, folder: str) -> None:
     _DUE.discard(folder)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over as many partitions as there are cores, if it is planned with fewer.
+
+    For the raw columns of a scan that go through heavy expressions: a file of one row group
+    is read by one task. A scan that has enough partitions stays as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read that.
 

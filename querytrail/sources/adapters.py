@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.joins import null_safe_join
-from ..operators.ordered import with_position
+from ..operators.ordered import with_sum_before
+from ..session import spread
 
 WORD_BREAK = "[ \n]+"
 
@@ -65,70 +66,72 @@ def _stamp(event: Column, ts: Column) -> Column:
             .when(event % 13 == 0, seconds * 1000).otherwise(seconds))
 
 
-def event_log(t: Tables) -> DataFrame:
-    """The query log without its queries; no text is read for it."""
+def _event_rows(t: Tables) -> DataFrame:
+    """One row per event: its session, the rows it has in the log and those before it there."""
     event, ts = F.col("event_id"), F.col("ts").cast("timestamp")
-    n_docs = t.rows("documents")
-    lengths = t.documents.select("doc_id", _queries(_visits(t, F.col("doc_id"))).alias("n_queries"))
+    visits = _visits(t, F.col("doc_id"))
+    lengths = t.documents.select("doc_id", visits.alias("visits"),
+                                 _queries(visits).alias("n_queries"))
+    events = (t.events.select("event_id", ts.alias("event_ts"), _session(F.col("user_id"), ts)
+                              .alias("sid"), (event % t.rows("documents")).alias("doc_id"))
+              .join(lengths, "doc_id"))
     # Every seventeenth event has one query more, which is missing.
-    rows = F.col("n_queries") + (event % 17 == 0).cast("int")
-    expanded = (t.events.select("event_id", ts.alias("event_ts"), _session(F.col("user_id"), ts)
-                                .alias("sid"), (event % n_docs).alias("doc_id"))
-                .join(lengths, "doc_id")
-                .withColumn("j", F.explode(F.sequence(F.lit(0), rows - 1))))
-    keyed = expanded.withColumns({
+    sized = events.withColumns({
         "MESSAGE_ID": (event % 2).cast("string"),
-        "ts": F.timestamp_add("SECOND", F.col("j"), F.col("event_ts"))})
-    counted = with_position(keyed, ["sid", "MESSAGE_ID"], ["event_ts", "event_id", "j"],
-                            "position")
-    return counted.select(
+        "n_rows": F.col("n_queries") + (event % 17 == 0).cast("int")})
+    return with_sum_before(sized, ["sid", "MESSAGE_ID"], ["event_ts", "event_id"],
+                           F.col("n_rows"), "before", rows_at_most=t.rows("events"))
+
+
+def _log_rows(events: DataFrame, *extra: Column) -> DataFrame:
+    """The log's rows, exploded from the events, which are numbered already."""
+    event, position = F.col("event_id"), F.col("before") + F.col("j") + 1
+    rows = events.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1))).withColumn(
+        "ts", F.timestamp_add("SECOND", F.col("j"), F.col("event_ts")))
+    return rows.select(
         (event * ROWS_OF_EVENT + F.col("j")).alias("row_id"),
         F.when(event % 211 != 0, F.col("sid")).alias("JOB_ID"),
         "MESSAGE_ID",
-        (F.col("position") + F.when(event % 50 == 0, 1).otherwise(0)).alias("QUERY_COUNTER"),
+        (position + F.when(event % 50 == 0, 1).otherwise(0)).alias("QUERY_COUNTER"),
         _stamp(event, F.col("ts")).alias("TIMESTAMP"),
-        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP_FORMATTED"))
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("TIMESTAMP_FORMATTED"), *extra)
+
+
+def event_log(t: Tables) -> DataFrame:
+    """The query log without its queries; no text is read for it."""
+    return _log_rows(_event_rows(t))
 
 
-def query_texts(t: Tables) -> DataFrame:
-    """``row_id, QUERY``: every word of every visited document, cut into queries.
+def query_log(t: Tables) -> DataFrame:
+    """The whole log: every word of every visited document, cut into queries.
 
     The visits of a document take contiguous slices of its words in turn, the queries of a
     visit contiguous parts of its slice. Where there are fewer words than parts, neighbours
-    share a word.
+    share a word. Documents and events are joined before the queries are exploded, so the
+    rows of the log are not shuffled.
     """
-    n_docs = t.rows("documents")
-    doc, n, w = F.col("doc_id"), F.size("w"), F.col("w")
     # explode() of the single array makes a document be split once, not for every query.
-    split = t.documents.select(
-        "doc_id", _visits(t, doc).alias("visits"), _queries(_visits(t, doc)).alias("n_queries"),
-        F.explode(F.array(F.split(F.lower("text"), WORD_BREAK))).alias("w")).where("visits > 0")
+    words = spread(t.documents.select("doc_id", "text"), "doc_id").select(
+        "doc_id", F.explode(F.array(F.split(F.lower("text"), WORD_BREAK))).alias("words"))
 
     def cut(low: Column, high: Column, part: Column, parts: Column) -> tuple[Column, Column]:
         begin = low + F.floor((high - low) * part / parts)
         end = low + F.floor((high - low) * (part + 1) / parts)
         return begin, F.greatest(end, begin + 1)
 
-    visit = F.explode(F.sequence(F.lit(0).cast("long"), F.col("visits") - 1)).alias("k")
-    low, high = cut(F.lit(0), n, F.col("k"), F.col("visits"))
-    slices = split.select("doc_id", "n_queries", "w", "visits", visit).select(
-        (F.col("k") * n_docs + doc).alias("event_id"), "n_queries",
-        F.slice(w, (low + 1).cast("int"), (high - low).cast("int")).alias("w"))
-    queries = slices.select("event_id", "n_queries", "w",
-                            F.explode(F.sequence(F.lit(0), F.col("n_queries") - 1)).alias("j"))
+    visit = F.floor(F.col("event_id") / t.rows("documents"))
+    low, high = cut(F.lit(0), F.size("words"), visit, F.col("visits"))
+    # Texts are never broadcast, however small their file: each stays in its own task.
+    events = _event_rows(t).join(words.hint("merge"), "doc_id").withColumn("w", F.explode(F.array(
+        F.slice("words", (low + 1).cast("int"), (high - low).cast("int"))))).drop("words")
     first, last = cut(F.lit(0), F.size("w"), F.col("j"), F.col("n_queries"))
-    words = F.slice("w", (first + 1).cast("int"), (last - first).cast("int"))
+    part = F.slice("w", (first + 1).cast("int"), (last - first).cast("int"))
     kind = F.col("event_id") + F.col("j")
-    query = (F.when(kind % 5 == 0, F.array_join(words, " and "))
-             .when(kind % 7 == 0, F.concat(F.lit("+"), F.array_join(words, " "), F.lit("*")))
-             .otherwise(F.array_join(words, " ")))
-    return queries.select((F.col("event_id") * ROWS_OF_EVENT + F.col("j")).alias("row_id"),
-                          query.alias("QUERY"))
-
-
-def query_log(t: Tables) -> DataFrame:
-    """The whole log: the texts are cut where they are read, and join by row id."""
-    return event_log(t).join(query_texts(t), "row_id", "left")
+    query = (F.when(F.col("j") == F.col("n_queries"), F.lit(None).cast("string"))
+             .when(kind % 5 == 0, F.array_join(part, " and "))
+             .when(kind % 7 == 0, F.concat(F.lit("+"), F.array_join(part, " "), F.lit("*")))
+             .otherwise(F.array_join(part, " ")))
+    return _log_rows(events, query.alias("QUERY"))
 
 
 def response_log(t: Tables) -> DataFrame:
@@ -160,8 +163,9 @@ def job_ads(t: Tables) -> DataFrame:
     ending = (F.when(kind == 0, F.lit(" mailto:hr@example.com end"))
               .when(kind == 1, F.lit(" see http://jobs.example/1 now"))
               .when(kind == 2, F.lit(" a\u0096b\u0092s")).otherwise(F.lit("")))
-    return t.documents.select(F.col("doc_id").alias("row_id"), F.col("doc_id").alias("job_id"),
-                                  F.concat(F.lit("  "), F.col("text"), ending).alias("text"))
+    return spread(t.documents.select("doc_id", "text"), "doc_id").select(
+        F.col("doc_id").alias("row_id"), F.col("doc_id").alias("job_id"),
+        F.concat(F.lit("  "), F.col("text"), ending).alias("text"))
 
 
 def skills_raw(t: Tables) -> DataFrame:
@@ -182,7 +186,8 @@ def skills_raw(t: Tables) -> DataFrame:
 
 def job_queries(t: Tables) -> DataFrame:
     """What was searched for per job: the whole document text."""
-    return t.documents.select(F.col("doc_id").alias("job_id"), F.col("text").alias("query"))
+    return spread(t.documents.select("doc_id", "text"), "doc_id").select(
+        F.col("doc_id").alias("job_id"), F.col("text").alias("query"))
 
 
 def industry_raw(t: Tables) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from ..functions.timecols import as_number, parse_datetime
+from ..functions.timecols import as_number
 from ..session import scratch_path
 
 # From the narrowest; a column whose values share no type is text.
@@ -24,12 +24,16 @@ TRUE, FALSE = ("T", "TRUE", "true"), ("F", "FALSE", "false")
 WHOLE = r"^[+-]?(0|[1-9][0-9]*)$"
 NUMBER = r"^[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 DATE = r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$"
-DATETIME = (r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}[T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
-            r"([.,][0-9]+)?( ?(Z|[+-][0-9]{2}:?[0-9]{2}))?$")
+DATETIME = (r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}([T ][0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}"
+            r"(\.[0-9]+)?(Z|[+-][0-9]{2}:[0-9]{2})?)?$")
 
 
 def as_date(value: Column) -> Column:
-    return F.regexp_replace(value, "/", "-").try_cast("date")
+    return F.translate(value, "/", "-").try_cast("date")
+
+
+def as_datetime(value: Column) -> Column:
+    return F.translate(value, "/", "-").try_cast("timestamp")
 
 
 def bits(value: Column) -> Column:
@@ -40,8 +44,7 @@ def bits(value: Column) -> Column:
         "integer": whole,
         "double": value.rlike(NUMBER) & (F.abs(value.try_cast("double")) <= 1.7976931348623157e308),
         "date": value.rlike(DATE) & as_date(value).isNotNull(),
-        "datetime": (value.rlike(DATE) & as_date(value).isNotNull()) | (
-            value.rlike(DATETIME) & parse_datetime(value).isNotNull()),
+        "datetime": value.rlike(DATETIME) & as_datetime(value).isNotNull(),
     }
     return F.when(value.isNotNull(), sum(
         (F.when(fits[t], F.lit(1 << i)).otherwise(0) for i, t in enumerate(TYPES)), F.lit(0)))
@@ -64,7 +67,7 @@ def cast(value: Column, kind: str) -> Column:
     if kind == "date":
         return as_date(value)
     if kind == "datetime":
-        return F.coalesce(parse_datetime(value), as_date(value).cast("timestamp"))
+        return as_datetime(value)
     return value
 
 
@@ -74,9 +77,11 @@ def written_with_types(df: DataFrame, columns: Sequence[str]) -> tuple[DataFrame
     The bits are observed on the rows as they are written: one job, one reading of the source.
     """
     seen = Observation()
-    shared = [F.bit_and(bits(F.col(f"`{c}`"))).alias(f"c{i}") for i, c in enumerate(columns)]
+    marks = {f"__bits_{i}": bits(F.col(f"`{c}`")) for i, c in enumerate(columns)}
+    shared = [F.bit_and(m).alias(f"c{i}") for i, m in enumerate(marks)]
     path = scratch_path(df.sparkSession, "cells")
-    (df.observe(seen, *shared) if shared else df).write.parquet(path)
+    observed = df.withColumns(marks).observe(seen, *shared).drop(*marks) if shared else df
+    observed.write.parquet(path)
     found = seen.get if shared else {}
     table = df.sparkSession.read.schema(df.schema).parquet(path)
     return table, {c: type_of(found.get(f"c{i}")) for i, c in enumerate(columns)}
