@@ -4,12 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .joins import null_safe_join
 
+ALL = "_all"
+# A sketch knows the rank of a value to this part of the rows; a further one cuts an interval
+# in so many pieces; so many values between two bounds are listed in a row.
+ACCURACY = 10_000
+CUTS = 64
+MOST_INSIDE = 10_000
+
 
 def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
     """Rows per distinct value (and group); the compact input of the statistics below."""
@@ -53,42 +60,95 @@ def histogram(df: DataFrame, value: Column, bins: int, by: Sequence[str] = (),
 
 
 def quantiles(df: DataFrame, value: Column, probabilities: Sequence[float],
-              by: Sequence[str] = ()) -> DataFrame:
-    """Exact quantiles ``q`` and ``n_values`` per group, for values of which there may be many.
-
-    Values are counted, range-partitioned by group and value, and numbered by running sums
-    that start from the totals of earlier partitions, so no task holds more than its part.
-    Between two ranks the quantile is interpolated. Groups without a value are left out.
+              by: Sequence[str] = (), exact: bool = True) -> DataFrame:
+    """Quantiles ``q`` and ``n_values`` per group, for values of which there may be many.
+
+    A sketch per group, merged from those of the tasks, bounds each quantile by two values. A
+    second aggregate counts what lies below and between them: that shows whether the bounds
+    hold, whatever the sketch did, and what lies between is few enough to find the exact
+    ranks in it. Where more lies between, a further sketch narrows the interval first. No
+    values are sorted or shuffled but the few between bounds, once each, with their counts.
+
+    Between two ranks the quantile is interpolated. Groups without a value are left out, NULL
+    is a group. ``exact=False`` takes the sketch's own answer, a value whose rank is off by at
+    most 1 / ACCURACY of the group's rows, in one aggregate.
     """
-    counts = value_counts(df, value, by)
-    cut = stored(counts.repartitionByRange(*[F.col(c) for c in by], F.col("value"))
-                 .withColumn("_part", F.spark_partition_id()))
-    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = cut.groupBy(*by, "_part").agg(F.sum("n").alias("_rows")).select(
-        *by, "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
-        F.sum("_rows").over(Window.partitionBy(*by)).alias("n_values"))
-    inside = Window.partitionBy(*by, "_part").orderBy("value")
-    ranked = null_safe_join(cut, parts, [*by, "_part"]).withColumn(
-        "_end", F.col("_before") + F.sum("n").over(inside))
+    keys = list(by) or [ALL]
+    values = df.withColumn(ALL, F.lit(0)).select(*keys, value.alias("value")).where(
+        F.col("value").isNotNull())
+    if not exact:
+        return values.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n_values"), F.percentile_approx(
+                "value", list(probabilities), ACCURACY).cast("array<double>").alias("q")).drop(ALL)
+    values = stored(values)
+    margin = 2 / ACCURACY
+    ends = [end for p in probabilities for end in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = values.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_values"), F.min("value").alias("least"),
+        F.max("value").alias("most"), F.percentile_approx("value", ends, ACCURACY).alias("ends"))
+    intervals = stored(sketch.select(*keys, "n_values", "least", "most", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"), F.col("ends")[2 * i].alias("low"),
+                 F.col("ends")[2 * i + 1].alias("high")) for i, p in enumerate(probabilities)]))))
+    while True:
+        met = _in_intervals(values, intervals, keys)
+        measured = stored(null_safe_join(intervals, met.groupBy(*keys, "i").agg(
+            F.count_if(F.col("value") < F.col("low")).alias("below"),
+            F.count_if(F.col("value") >= F.col("low")).alias("inside")), [*keys, "i"]))
+        place = (F.col("n_values") - 1) * F.col("p")
+        first, last = F.floor(place), F.ceil(place)
+        missed = (first < F.col("below")) | (last >= F.col("below") + F.col("inside"))
+        wide = (F.col("inside") > MOST_INSIDE) & (F.col("low") < F.col("high"))
+        state = measured.agg(F.bool_or(missed).alias("missed"), F.bool_or(wide).alias("wide")).first()
+        if not state["missed"] and not state["wide"]:
+            break
+        # Bounds that do not hold are given up; wide ones are narrowed by a sketch of their own.
+        cuts = _in_intervals(values, measured.where(wide & ~missed), keys).where(
+            "value >= low").groupBy(*keys, "i").agg(F.percentile_approx(
+                "value", [c / CUTS for c in range(CUTS + 1)], ACCURACY).alias("cuts"))
+        known = null_safe_join(measured, cuts, [*keys, "i"])
+        down = F.floor((first - F.col("below")) / F.col("inside") * CUTS) - 1
+        up = F.ceil((last + 1 - F.col("below")) / F.col("inside") * CUTS) + 1
+        low = F.get("cuts", F.greatest(down, F.lit(0)).cast("int"))
+        high = F.get("cuts", F.least(up, F.lit(CUTS)).cast("int"))
+        moved = known.select(
+            *keys, "n_values", "least", "most", "i", "p", F.when(missed, F.col("least")).otherwise(
+                F.coalesce(low, "low")).alias("low"), F.when(missed, F.col("most")).otherwise(
+                F.coalesce(high, "high")).alias("high"))
+        same = (F.col("low") == F.col("_low")) & (F.col("high") == F.col("_high"))
+        moved = stored(null_safe_join(moved, measured.select(
+            *keys, "i", F.col("low").alias("_low"), F.col("high").alias("_high")), [*keys, "i"]))
+        intervals = moved.drop("_low", "_high")
+        if moved.where(~same).isEmpty():
+            break  # a value that more rows share than a sketch tells apart
+
+    between = met.where("value >= low").groupBy(*keys, "i", "value").agg(
+        F.count(F.lit(1)).alias("n")).groupBy(*keys, "i").agg(
+            F.sort_array(F.collect_list(F.struct("value", "n"))).alias("inner"))
+    found = null_safe_join(measured, between, [*keys, "i"])
 
     def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_end") > rank) & (F.col("_end") - F.col("n") <= rank),
-                            F.col("value")))
-
-    ends = []
-    for i, p in enumerate(probabilities):
-        place = (F.col("n_values") - 1) * p
-        ends += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}")]
-    found = ranked.groupBy(*by, "n_values").agg(*ends)
-
-    def between(i: int, p: float) -> Column:
-        place, low, high = (F.col("n_values") - 1) * p, F.col(f"_low{i}"), F.col(f"_high{i}")
-        share = place - F.floor(place)
-        return F.when(share == 0, low.cast("double")).otherwise(
-            low * (F.ceil(place) - place) + high * share)
-
-    return found.select(*by, "n_values", F.array(
-        *[between(i, p) for i, p in enumerate(probabilities)]).alias("q"))
+        """The value of a rank, from the counted values between the bounds."""
+        return F.aggregate(
+            F.col("inner"), F.struct(F.col("below").alias("seen"), F.col("least").alias("value")),
+            lambda acc, x: F.struct(
+                (acc["seen"] + x["n"]).alias("seen"),
+                F.when(acc["seen"] <= rank, x["value"]).otherwise(acc["value"]).alias("value")),
+            lambda acc: acc["value"])
+
+    share = place - first
+    quantile = F.when(share == 0, at(first).cast("double")).otherwise(
+        at(first) * (last - place) + at(last) * share)
+    return found.select(*keys, "n_values", "i", quantile.alias("quantile")).groupBy(
+        *keys, "n_values").agg(F.transform(F.sort_array(F.collect_list(
+            F.struct("i", "quantile"))), lambda x: x["quantile"]).alias("q")).drop(ALL)
+
+
+def _in_intervals(values: DataFrame, intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every value up to the upper end of an interval of its group, once per such interval."""
+    parts = intervals.groupBy(*keys).agg(
+        F.collect_list(F.struct("i", "low", "high")).alias("parts"))
+    return null_safe_join(values, parts, keys, "inner").select(
+        *keys, "value", F.inline("parts")).where("value <= high")
 
 
 def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
