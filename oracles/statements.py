@@ -46,6 +46,45 @@ def histogram(values: str, bins: int, by: str = "", within: str = "true",
         GROUP BY ALL"""
 
 
+def band(source: str, x: str, y: str) -> str:
+    """Line and 95 % band at 80 points; the t quantile by halving the angle, for any degrees."""
+    even = "exp(lgamma(k + 0.5) - lgamma(k + 1.0)) / sqrt(pi()) * power(cos(a), 2 * k)"
+    odd = "exp(lgamma(k + 1.0) - lgamma(k + 1.5)) * sqrt(pi()) / 2 * power(cos(a), 2 * k + 1)"
+    share = f"""
+        CASE WHEN v % 2 = 0
+             THEN sin(a) * list_sum(list_transform(range(0, v // 2), lambda k: {even}))
+             ELSE 2 / pi() * (a + sin(a) * coalesce(list_sum(list_transform(
+                      range(0, (v - 1) // 2), lambda k: {odd})), 0)) END"""
+    return f"""
+        SELECT point, {rounded('x', 'fit', 'lower', 'upper')}
+        FROM (SELECT *, fit - t * error AS lower, fit + t * error AS upper
+              FROM (SELECT *, intercept + slope * x AS fit,
+                           se * sqrt(1 / n + power(x - mean_x, 2) / sxx) AS error
+                    FROM (SELECT *, low + (high - low) * point / 79.0 AS x
+                          FROM (SELECT *, CAST(unnest(range(0, 80)) AS INTEGER) AS point
+                                FROM (SELECT n, slope, intercept, mean_x, sxx, low, high,
+                                             sqrt(greatest(syy - slope * sxy, 0) / v) AS se,
+                                             sqrt(v) * tan(first_low) AS t
+                                      FROM (
+            WITH RECURSIVE sums AS (
+                SELECT CAST(regr_count(y, x) AS BIGINT) AS n, regr_slope(y, x) AS slope,
+                       regr_intercept(y, x) AS intercept, regr_avgx(y, x) AS mean_x,
+                       regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy, regr_sxy(y, x) AS sxy,
+                       min(x) FILTER (WHERE y IS NOT NULL) AS low,
+                       max(x) FILTER (WHERE y IS NOT NULL) AS high,
+                       CAST(regr_count(y, x) AS BIGINT) - 2 AS v
+                FROM (SELECT CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y FROM {source})),
+            halving AS (
+                SELECT 0 AS step, 0.0::DOUBLE AS l, pi() / 2 AS h, v FROM sums WHERE v >= 1
+                UNION ALL
+                SELECT step + 1, CASE WHEN part < 0.95 THEN a ELSE l END,
+                       CASE WHEN part < 0.95 THEN h ELSE a END, v
+                FROM (SELECT *, {share} AS part FROM (SELECT *, (l + h) / 2 AS a FROM halving))
+                WHERE step < 60)
+            SELECT sums.*, l AS first_low FROM sums LEFT JOIN halving ON step = 60
+            WHERE sxx > 0))))))"""
+
+
 def trend(source: str, x: str, y: str) -> str:
     return f"""
         SELECT n, {rounded('slope', 'intercept', 'r2', 'mean_x', 'sxx')},
@@ -213,6 +252,7 @@ STATEMENTS: dict[str, str] = {
                      count(*) AS n
               FROM effectiveness GROUP BY 1)""",
     "boolean_effort_trend": trend("effectiveness", "boolean_usage_rate", "avg_time_gap_s"),
+    "boolean_effort_band": band("effectiveness", "boolean_usage_rate", "avg_time_gap_s"),
     "boolean_group_box": """
         SELECT boolean_group, n_values, round(q1, 6) AS q1, round(median, 6) AS median,
                round(q3, 6) AS q3, round(min(t) FILTER (WHERE inside), 6) AS lower_whisker,

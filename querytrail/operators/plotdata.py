@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +18,9 @@ ALL = "_all"
 ACCURACY = 10_000
 CUTS = 64
 MOST_INSIDE = 10_000
+# Degrees of freedom from which the expansion of the t quantile is used, and halvings before.
+SERIES_FROM = 120
+HALVINGS = 60
 
 
 def value_counts(df: DataFrame, value: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -151,11 +156,11 @@ def _in_intervals(values: DataFrame, intervals: DataFrame, keys: Sequence[str])
         *keys, "value", F.inline("parts")).where("value <= high")
 
 
-def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
+def linear_trend(df: DataFrame, x: str, y: str, ends: bool = False) -> DataFrame:
     """Least-squares line of ``y`` on ``x`` over complete pairs.
 
     ``residual_se``, ``mean_x``, ``sxx`` and ``n`` give the standard error of the
-    line at any point.
+    line at any point. ``ends`` adds the least and the greatest ``x``.
     """
     xs, ys = F.col(x).cast("double"), F.col(y).cast("double")
     fit = df.agg(
@@ -166,12 +171,77 @@ def linear_trend(df: DataFrame, x: str, y: str) -> DataFrame:
         F.regr_avgx(ys, xs).alias("mean_x"),
         F.regr_sxx(ys, xs).alias("sxx"),
         F.regr_syy(ys, xs).alias("syy"),
-        F.regr_sxy(ys, xs).alias("sxy"))
+        F.regr_sxy(ys, xs).alias("sxy"),
+        *([F.min(F.when(ys.isNotNull(), xs)).alias("low"),
+           F.max(F.when(ys.isNotNull(), xs)).alias("high")] if ends else []))
     left_over = F.greatest(F.col("syy") - F.col("slope") * F.col("sxy"), F.lit(0.0))
     error = F.when(F.col("n") > 2, F.sqrt(left_over / (F.col("n") - 2)))
     return fit.withColumn("residual_se", error).drop("syy", "sxy")
 
 
+def t_quantile(freedom: Column, level: float) -> Column:
+    """How many standard errors of ``freedom`` degrees hold the share ``level`` in the middle.
+
+    From SERIES_FROM degrees on by the expansion in powers of 1 / freedom, whose error is then
+    below 1e-9. Below that the share within an angle is a finite sum, and the angle is found by
+    halving. NULL below one degree.
+    """
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    terms = ((z ** 3 + z) / 4, (5 * z ** 5 + 16 * z ** 3 + 3 * z) / 96,
+             (3 * z ** 7 + 19 * z ** 5 + 17 * z ** 3 - 15 * z) / 384,
+             (79 * z ** 9 + 776 * z ** 7 + 1482 * z ** 5 - 1920 * z ** 3 - 945 * z) / 92160)
+    many = sum((term / F.pow(freedom, F.lit(i)) for i, term in enumerate(terms, 1)), F.lit(z))
+    odd = freedom % 2 == 1
+
+    def share(angle: Column) -> Column:
+        square = F.cos(angle) * F.cos(angle)
+        steps = F.when(odd, (freedom - 3) / 2).otherwise(freedom / 2 - 1).cast("int")
+        # Each term of the sum is the one before it times a ratio and the squared cosine.
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+        def add(acc: Column, k: Column) -> Column:
+            ratio = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
+            term = acc["term"] * ratio * square
+            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+        counted = F.when(steps >= 1, F.sequence(F.lit(1), F.greatest(steps, F.lit(1)))).otherwise(
+            F.array().cast("array<int>"))
+        total = F.aggregate(counted, start, add, lambda acc: acc["sum"])
+        bare = F.when(freedom == 1, 0.0).otherwise(F.sin(angle) * F.cos(angle) * total)
+        return F.when(odd, (angle + bare) * 2 / math.pi).otherwise(F.sin(angle) * total)
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = (acc["low"] + acc["high"]) / 2
+        inside = share(middle) < level
+        return F.struct(F.when(inside, middle).otherwise(acc["low"]).alias("low"),
+                        F.when(inside, acc["high"]).otherwise(middle).alias("high"))
+
+    ends = F.struct(F.lit(0.0).alias("low"), F.lit(math.pi / 2).alias("high"))
+    few = F.sqrt(freedom) * F.tan(F.aggregate(
+        F.sequence(F.lit(1), F.lit(HALVINGS)), ends, halve, lambda acc: acc["low"]))
+    return F.when(freedom >= SERIES_FROM, many).when(freedom >= 1, few)
+
+
+def trend_band(df: DataFrame, x: str, y: str, points: int = 80,
+               level: float = 0.95) -> DataFrame:
+    """The least-squares line at ``points`` places between the ends of ``x``, with its band.
+
+    ``lower`` and ``upper`` bound the line, not the values, with confidence ``level``. One row
+    per place, from one aggregate row; without a spread in ``x`` there are no rows, and with
+    fewer than three pairs the band is NULL.
+    """
+    fit = linear_trend(df, x, y, ends=True)
+    freedom = F.col("n") - 2
+    at = F.col("low") + (F.col("high") - F.col("low")) * F.col("point") / (points - 1)
+    placed = fit.where("sxx > 0").withColumn("t", t_quantile(freedom, level)).withColumn(
+        "point", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))).withColumn("x", at)
+    error = F.col("residual_se") * F.sqrt(
+        1 / F.col("n") + F.pow(F.col("x") - F.col("mean_x"), F.lit(2)) / F.col("sxx"))
+    line = F.col("intercept") + F.col("slope") * F.col("x")
+    return placed.select("point", "x", line.alias("fit"), (line - F.col("t") * error).alias("lower"),
+                         (line + F.col("t") * error).alias("upper"))
+
+
 def box_statistics(df: DataFrame, group: str, value: str) -> DataFrame:
     """Quartiles, whiskers within 1.5 box lengths, and outliers per group.
 

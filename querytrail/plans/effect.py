@@ -9,7 +9,7 @@ from ..functions.columns import pick_column
 from ..functions.timecols import as_integer, fix_timestamp_units
 from ..operators.joins import KEY, keyed
 from ..operators.ordered import MAX_GROUP_ROWS, with_previous
-from ..operators.plotdata import box_statistics, linear_trend
+from ..operators.plotdata import box_statistics, linear_trend, trend_band
 from ..operators.ranking import top
 from ..session import stored
 from .sessions import query_features
@@ -212,6 +212,11 @@ def boolean_effort_trend(sessions: DataFrame) -> DataFrame:
     return linear_trend(sessions, "boolean_usage_rate", "avg_time_gap_s")
 
 
+def boolean_effort_band(sessions: DataFrame) -> DataFrame:
+    """Points of that line with its 95 % confidence band."""
+    return trend_band(sessions, "boolean_usage_rate", "avg_time_gap_s")
+
+
 def boolean_groups(sessions: DataFrame) -> DataFrame:
     """Sessions labelled by how much they use boolean operators."""
     rate = F.col("boolean_usage_rate")

@@ -417,6 +417,11 @@ def _(t):
     return effect.boolean_effort_trend(_effectiveness(t))
 
 
+@query("boolean_effort_band")
+def _(t):
+    return effect.boolean_effort_band(_effectiveness(t))
+
+
 @query("boolean_group_box")
 def _(t):
     return effect.boolean_group_box(_effectiveness(t))

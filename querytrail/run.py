@@ -123,6 +123,7 @@ def effect_study(load: Load) -> dict[str, DataFrame]:
         "industry_efficiency_top8": effect.industry_efficiency_top(table),
         "response_share": effect.response_share(table),
         "boolean_effort_trend": effect.boolean_effort_trend(table),
+        "boolean_effort_band": effect.boolean_effort_band(table),
         "boolean_group_box": effect.boolean_group_box(table),
     }
 

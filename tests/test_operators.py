@@ -217,3 +217,48 @@ def test_box_statistics(frame):
     assert (box["a"]["lower_whisker"], box["a"]["upper_whisker"], box["a"]["n_outliers"]) == (
         1.0, 4.0, 1)
     assert box["b"]["n_values"] == 1
+
+
+# Two-sided 95 and 99 % points of Student's t as printed in tables.
+T_TABLE = [(1, 0.95, 12.706205), (2, 0.95, 4.302653), (3, 0.95, 3.182446), (4, 0.95, 2.776445),
+           (5, 0.95, 2.570582), (10, 0.95, 2.228139), (29, 0.95, 2.045230), (30, 0.95, 2.042272),
+           (60, 0.95, 2.000298), (119, 0.95, 1.980100), (120, 0.95, 1.979930),
+           (1000, 0.95, 1.962339), (1, 0.99, 63.656741), (7, 0.99, 3.499483), (120, 0.99, 2.617421)]
+
+
+def test_t_quantile_equals_the_tables(frame):
+    for level in (0.95, 0.99):
+        rows = [(v, t) for v, share, t in T_TABLE if share == level]
+        for r in frame(rows, "v long, t double").select(
+                "t", plotdata.t_quantile(F.col("v"), level).alias("got")).collect():
+            assert r.got == pytest.approx(r.t, abs=1e-6)
+    assert frame([(0,)], "v long").select(plotdata.t_quantile(F.col("v"), 0.95)).first()[0] is None
+
+
+def test_series_and_halving_agree_where_they_meet(spark, monkeypatch):
+    df = spark.range(110, 131).select(F.col("id").alias("v"))
+    series = [plotdata.SERIES_FROM, 1000]
+    got = []
+    for limit in (100, 1000):
+        monkeypatch.setattr(plotdata, "SERIES_FROM", limit)
+        got.append([r[0] for r in df.select(plotdata.t_quantile(F.col("v"), 0.95)).collect()])
+    assert series[0] == 120 and got[0] == pytest.approx(got[1], abs=1e-8)
+
+
+def test_trend_band(frame):
+    """Against the formula on a small sample: speed and stopping-like pairs."""
+    pairs = [(4.0, 2.0), (7.0, 22.0), (8.0, 16.0), (9.0, 10.0), (10.0, 26.0), (11.0, 17.0)]
+    df = frame([*pairs, (99.0, None), (None, 5.0)], "x double, y double")
+    rows = plotdata.trend_band(df, "x", "y", points=8).collect()
+    n, mx, my = 6, sum(x for x, _ in pairs) / 6, sum(y for _, y in pairs) / 6
+    sxx = sum((x - mx) ** 2 for x, _ in pairs)
+    slope = sum((x - mx) * (y - my) for x, y in pairs) / sxx
+    se = (sum((y - my - slope * (x - mx)) ** 2 for x, y in pairs) / (n - 2)) ** 0.5
+    assert [r.x for r in rows] == pytest.approx([4.0 + i for i in range(8)])
+    for r in rows:
+        fit = my + slope * (r.x - mx)
+        half = 2.7764451 * se * (1 / n + (r.x - mx) ** 2 / sxx) ** 0.5
+        assert (r.fit, r.lower, r.upper) == pytest.approx((fit, fit - half, fit + half), abs=1e-5)
+    assert plotdata.trend_band(frame([(1.0, 2.0)] * 3, "x double, y double"), "x", "y").count() == 0
+    two = plotdata.trend_band(frame([(1.0, 2.0), (2.0, 3.0)], "x double, y double"), "x", "y").first()
+    assert two.fit == pytest.approx(2.0) and two.lower is None
