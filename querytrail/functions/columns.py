@@ -6,9 +6,11 @@ import re
 import unicodedata
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..session import stored
+
 
 # Signs that become words, quotes that go, and Latin letters whose Unicode name
 # does not say which plain letters stand for them.
@@ -90,11 +92,13 @@ def without_index_columns(df: DataFrame) -> DataFrame:
 
 
 def without_empty_columns(df: DataFrame) -> DataFrame:
-    """Drop columns that hold no value at all.
+    """``df`` as a written table without the columns that hold no value at all.
 
-    The result's columns depend on the data, so this runs one job: a single
-    aggregate row of flags is all that reaches the driver.
+    The result's columns depend on the data. Values are counted on the rows as they are
+    written, so the frame is computed once, for this and for whatever reads the result.
     """
-    flags = df.agg(*[F.coalesce(F.bool_or(F.col(f"`{c}`").isNotNull()), F.lit(False)).alias(c)
-                     for c in df.columns]).first().asDict()
-    return df.select(*[f"`{c}`" for c in df.columns if flags[c]])
+    seen = Observation()
+    counts = [F.count(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(df.columns)]
+    table = stored(df.observe(seen, *counts))
+    found = seen.get
+    return table.select(*[f"`{c}`" for i, c in enumerate(df.columns) if found.get(f"c{i}")])

@@ -30,6 +30,13 @@ LEADING_POSTAL_CODE = r"(?U)^\d+\s+"
 FIRST_NUMBER = r"[0-9]+"
 MISSING_MARK = "NA"
 
+# Texts up to so many characters are compared outright. Longer ones are tried with these
+# bounds where a text is so many times as long; a shared start has fewer than 2 ** 22 signs.
+SHORT_TEXT = 96
+BOUNDS = (16, 128, 1024)
+WORTH = 6
+LONGEST_START = 22
+
 
 def trim_space(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
@@ -58,6 +65,50 @@ def words(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(text, WHITE_SPACE)), "")
 
 
+def _without_common_start(pair: Column) -> Column:
+    """Two texts ``a`` and ``b`` without the start they share, found by halving its length."""
+    a, b = pair["a"], pair["b"]
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(LONGEST_START))])
+
+    def lengthen(size: Column, step: Column) -> Column:
+        same = F.substring(a, F.lit(1), size + step) == F.substring(b, F.lit(1), size + step)
+        return F.when((size + step <= shorter) & same, size + step).otherwise(size)
+
+    size = F.aggregate(steps, F.lit(0), lengthen)
+    return F.transform(F.array(size), lambda n: F.struct(
+        F.substring(a, n + 1, F.char_length(a)).alias("a"),
+        F.substring(b, n + 1, F.char_length(b)).alias("b")))[0]
+
+
+def _bounded_distance(pair: Column) -> Column:
+    """Distance of two texts, tried with bounds that are small against their length."""
+    a, b = pair["a"], pair["b"]
+    longest = F.greatest(F.char_length(a), F.char_length(b))
+    tried = [F.when(longest > WORTH * bound, F.nullif(F.levenshtein(a, b, bound), F.lit(-1)))
+             for bound in BOUNDS]
+    return F.coalesce(*tried, F.levenshtein(a, b))
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance in characters; NULL if either text is.
+
+    The whole table of a distance grows with the square of the length. Long texts therefore
+    lose the start and the end that they share, and what is left is tried with bounds, each
+    eight times the last, before the whole table is filled in. The result is the same.
+    """
+    longest = F.greatest(F.char_length(a), F.char_length(b))
+
+    def turned(pair: Column) -> Column:
+        return F.struct(F.reverse(pair["a"]).alias("a"), F.reverse(pair["b"]).alias("b"))
+
+    # Each step is a lambda, so that its texts are made once.
+    left = F.array(F.struct(a.alias("a"), b.alias("b")))
+    for step in (_without_common_start, turned, _without_common_start, _bounded_distance):
+        left = F.transform(left, step)
+    return F.when(longest <= SHORT_TEXT, F.levenshtein(a, b)).otherwise(left[0])
+
+
 def match_or_null(text: Column, pattern: str) -> Column:
     """First match of ``pattern``, NULL where there is none."""
     return F.regexp_substr(text, F.lit(pattern))

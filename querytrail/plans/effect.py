@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
 from ..functions.columns import pick_column
 from ..functions.timecols import as_integer, fix_timestamp_units
 from ..operators.joins import KEY, keyed
@@ -124,7 +125,8 @@ def _distances(features: DataFrame, valid: DataFrame, max_group_rows: int) -> Da
         {"previous_time": "TIMESTAMP", "previous_query": "QUERY"}, max_group_rows, valid)
     return stepped.withColumns({
         "time_gap_s": F.col("TIMESTAMP") - F.col("previous_time"),
-        "reformulation_dist": F.levenshtein("previous_query", "QUERY").cast("double"),
+        "reformulation_dist": X.edit_distance(
+            F.col("previous_query"), F.col("QUERY")).cast("double"),
     }).drop("previous_time", "previous_query")
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from conftest import rows_of
@@ -247,3 +248,35 @@ def test_index_and_empty_columns(frame):
     assert C.without_index_columns(df).columns == ["e", "v"]
     assert rows_of(C.without_empty_columns(df).select("v")) == [(2,), (None,)]
     assert "e" not in C.without_empty_columns(df).columns
+
+
+def test_edit_distance_equals_the_whole_table(spark):
+    """Texts on both sides of every bound, a few edits or none in common."""
+    rng = random.Random(8)
+    rows = [(None, "a"), ("a", None), ("", ""), ("", "x" * 300), ("æøå", "aeoeaa")]
+    for size in (5, 60, 95, 97, 400, 770, 2500):
+        text = "".join(rng.choices("abcdeæø ", k=size))
+        for edits in (0, 1, 15, 16, 17, 129, 2 * size):
+            other = list(text)
+            for _ in range(min(edits, 1500)):
+                other[rng.randrange(len(other))] = rng.choice("xyz")
+            rows.append((text, "".join(other[rng.randrange(3):])))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select(X.edit_distance(F.col("a"), F.col("b")).alias("got"),
+                    F.levenshtein("a", "b").alias("whole")).collect()
+    assert [r.got for r in got] == [r.whole for r in got]
+    assert sum(r.whole is None for r in got) == 2
+
+
+def test_empty_columns_are_found_while_writing(spark, frame):
+    """One job, and what follows reads the written table, not the frame's own plan."""
+    df = frame([(1, None, 2), (2, None, None)], "a int, e string, v int")
+    spark.sparkContext.setJobGroup("empty-columns", "")
+    try:
+        kept = C.without_empty_columns(df.repartition(2))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    # Adaptive execution runs the shuffle's stage as a job of its own.
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("empty-columns")) <= 2
+    assert kept.columns == ["a", "v"] and len(kept.inputFiles()) > 0
+    assert C.without_empty_columns(df.where("false")).columns == []
