@@ -16,6 +16,8 @@ from ..session import stored
 
 # Tuning parameter: a key with more rows than this on the right is joined by itself.
 HOT_ROWS = 5_000_000
+# Buckets of mixed keys that are counted before any key is.
+BUCKETS = 1 << 16
 KEY = "_key"
 
 
@@ -48,19 +50,40 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return joined.drop(*[f"_right_{k}" for k in keys])
 
 
+def hot_keys(df: DataFrame, keys: Sequence[str], most: int) -> DataFrame | None:
+    """``keys`` and ``rows`` of every key with more than ``most`` rows, or None if there is none.
+
+    Rows are first counted per bucket of mixed keys, at most BUCKETS small rows a task however
+    many keys there are. A key is in one bucket, so buckets of up to ``most`` rows hold no hot
+    key; only rows of the others are counted by key. Exact: buckets that fill up by many small
+    keys cost time, never a key.
+    """
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    full = stored(df.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("rows"))
+                  .where(F.col("rows") > most).select("_bucket"))
+    if full.isEmpty():
+        return None
+    # At most BUCKETS whole numbers: small by definition.
+    suspects = df.select(*keys).withColumn("_bucket", bucket).join(
+        F.broadcast(full), "_bucket", "left_semi")
+    hot = stored(suspects.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+                 .where(F.col("rows") > most))
+    return None if hot.isEmpty() else hot
+
+
 def fan_out_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                       hot_rows: int = HOT_ROWS) -> DataFrame:
     """Left join to a side that may hold very many rows for one key.
 
-    A left outer join cannot be split on its right side. One count of the right keys finds
-    those with more than ``hot_rows`` rows; usually there are none and this is a plain left
+    A left outer join cannot be split on its right side. ``hot_keys`` finds the keys with more
+    than ``hot_rows`` rows on the right; usually there are none and this is a plain left
     join. Rows with a hot key have a partner, so for them an inner join gives the same rows,
     and adaptive execution may split either side of it.
     """
-    hot = stored(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-                 .where(F.col("_rows") > hot_rows).select(*keys))
-    if hot.isEmpty():
+    found = hot_keys(right, keys, hot_rows)
+    if found is None:
         return null_safe_join(left, right, keys)
+    hot = found.select(*keys)
     ordinary = null_safe_join(null_safe_join(left, hot, keys, "left_anti"),
                               null_safe_join(right, hot, keys, "left_anti"), keys)
     spread = null_safe_join(null_safe_join(left, hot, keys, "left_semi"),

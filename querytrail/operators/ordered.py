@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .joins import null_safe_join
+from .joins import hot_keys, null_safe_join
 
 # Tuning parameter: both ways give the same rows.
 MAX_GROUP_ROWS = 5_000_000
@@ -40,21 +40,20 @@ def _split_hot(df: DataFrame, keys: Sequence[str], order: Sequence[str], max_gro
     if rows_at_most is not None and rows_at_most <= max_group_rows:
         return df, None
     if sizes is None:
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-        hot = stored(counts.where(F.col("rows") > max_group_rows))
+        hot = hot_keys(df, keys, max_group_rows)
     else:
         hot = sizes.where(F.col("rows") > max_group_rows)
-    hot_rows = hot.agg(F.sum("rows")).first()[0]
+    hot_rows = hot.agg(F.sum("rows")).first()[0] if hot is not None else None
     if not hot_rows:
         return df, None
     # At most (rows of df / max_group_rows) groups can be hot: small by definition.
-    hot_keys = F.broadcast(hot.select(*keys))
-    ordinary = null_safe_join(df, hot_keys, keys, "left_anti")
+    listed = F.broadcast(hot.select(*keys))
+    ordinary = null_safe_join(df, listed, keys, "left_anti")
     parts = math.ceil(hot_rows / max_group_rows) + 1
     # Part numbers depend on sampled range bounds, so they are written before
     # two branches use them.
     cut = stored(
-        null_safe_join(df, hot_keys, keys, "left_semi")
+        null_safe_join(df, listed, keys, "left_semi")
         .repartitionByRange(parts, *keys, *_sort_key(order))
         .withColumn(_PART, F.spark_partition_id()))
     return ordinary, cut
@@ -66,8 +65,8 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                   rows_at_most: int | None = None) -> DataFrame:
     """Add ``{new column: source column}`` taken from the previous row of the group.
 
-    Whether a group is hot takes a count per group. ``sizes`` (the keys and
-    ``rows``) gives it ready made; a known bound on the rows of ``df``, if below
+    Whether a group is hot is found by ``hot_keys``. ``sizes`` (the keys and
+    ``rows``) gives the counts ready made; a known bound on the rows of ``df``, if below
     the limit, makes it unnecessary.
     """
     ordinary, cut = _split_hot(df, keys, order, max_group_rows, sizes, rows_at_most)

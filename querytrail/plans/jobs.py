@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import present
 from ..operators.joins import fan_out_left_join, null_safe_join
 from ..operators.ranking import top
+from ..operators.smooth import smooth_curve
 from ..session import stored
 
 # The company columns a job is described by, and the weights of the
@@ -158,6 +159,14 @@ def complexity_by(weighted: DataFrame, dimension: str) -> DataFrame:
         _distinct_with_null("job_id").alias("n_ads"))
 
 
+def complexity_smooth(weighted: DataFrame) -> DataFrame:
+    """Smooth curve of the mean number of skills over the number of employees.
+
+    One point per number of employees, as in the table of ``complexity_by``.
+    """
+    return smooth_curve(complexity_by(weighted, "employee_count"), "employee_count", "avg_skills")
+
+
 def job_level(ads: DataFrame, industry: DataFrame, skills: DataFrame) -> DataFrame:
     """One row per job, title and company, with distinct skills and ad length.
 

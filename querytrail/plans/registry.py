@@ -573,6 +573,12 @@ def _(t):
     return jobs.complexity_by(weighted, "employee_count")
 
 
+@query("complexity_smooth")
+def _(t):
+    weighted = jobs.weighted_ads(_ad_sizes(t), _industry(t), _skills(t))
+    return jobs.complexity_smooth(weighted)
+
+
 @query("complexity_by_location")
 def _(t):
     places = A.job_locations(t, clean.split_locations(A.area_raw(t)))

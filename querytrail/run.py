@@ -162,6 +162,7 @@ def explore_study(load: Load) -> dict[str, DataFrame]:
     ads, industry, tags = _job_tables(load)
     company = jobs.job_company(industry)
     weighted = stored(jobs.weighted_ads(ads, company, tags))
+    by_size = jobs.weighted_ads(ads, industry, tags)
     pairs = stored(jobs.sector_skill_counts(ads, company, tags))
     per_job = skills.skills_per_job(tags)
     scored = stored(jobs.efficiency_score(jobs.job_level(ads, industry, tags)))
@@ -181,8 +182,8 @@ def explore_study(load: Load) -> dict[str, DataFrame]:
         "industry_rare": jobs.rare_by_sector(pairs, skills.rare_skills(tags)),
         "hist_skill_freq_log10": histogram(skills.skill_frequency(tags), F.log10("n"), 50),
         "skill_freq_of_freq": skills.frequency_of_frequencies(tags),
-        "complexity_by_employee_count": jobs.complexity_by(
-            jobs.weighted_ads(ads, industry, tags), "employee_count"),
+        "complexity_by_employee_count": jobs.complexity_by(by_size, "employee_count"),
+        "complexity_smooth": jobs.complexity_smooth(by_size),
         "efficiency_by_industry": jobs.efficiency_by_industry(scored),
     }
 

@@ -52,6 +52,26 @@ def test_fan_out_left_join_of_a_hot_key(spark):
     assert counts[2] == 900
 
 
+def test_hot_keys_are_exact(spark, frame, monkeypatch):
+    """Also where many small keys fill a bucket, and for a NULL key."""
+    hot = frame([(None, 5), ("a", 9), ("b", 4), ("c", 1)], "k string, n int")
+    small = spark.range(400).select(F.concat(F.lit("s"), F.col("id") % 200).alias("k"))
+    rows = hot.select("k", F.explode(F.sequence(F.lit(1), "n"))).select("k").unionByName(small)
+    for buckets in (1, 7, 1 << 16):
+        monkeypatch.setattr(joins, "BUCKETS", buckets)
+        assert rows_of(joins.hot_keys(rows, ["k"], 4), "k", "rows") == [("a", 9), (None, 5)]
+        assert joins.hot_keys(rows, ["k"], 9) is None
+    assert joins.hot_keys(rows.limit(0), ["k"], 0) is None
+
+
+def test_keys_are_counted_in_full_buckets_only(spark, monkeypatch):
+    """Without a full bucket no table but the buckets' is written, so no key is counted."""
+    written = []
+    monkeypatch.setattr(joins, "stored", lambda df: written.append(df.columns) or df)
+    assert joins.hot_keys(spark.range(5000), ["id"], 100) is None
+    assert written == [["_bucket"]]
+
+
 def test_keys_are_never_null_and_tell_values_apart(frame):
     rows = [(None, None), ("", None), (None, ""), ("a", "b"), ("a:1", "b"), ("a", "1:b"),
             ("-", None), ("1:a", None)]

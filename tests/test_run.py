@@ -56,7 +56,7 @@ def test_behaviour_study(spark, folders, tmp_path):
 def test_explore_study(spark, folders, tmp_path):
     _, cleaned, _ = folders
     written = run.run(spark, "explore", cleaned, str(tmp_path / "out"))
-    assert len(written) == len(set(written)) == 17
+    assert len(written) == len(set(written)) == 18
     best = logs.load_log(spark, f"{tmp_path}/out/top_skill_jobs.csv")
     assert best.count() == 20
 
