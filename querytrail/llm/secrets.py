@@ -41,28 +41,57 @@ ENCODINGS = (
      r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9_-]+$"),
 )
 
+# Matches that are placed one after the other before their run is moved as a whole.
+RUN = 256
+
 
 def match_spans(text: Column, pattern: str) -> Column:
     """``array<struct<start, end, match>>`` of the leftmost non-overlapping matches.
 
     Offsets count code points. What lies between matches is what splitting gives, so the
-    offsets are running sums of two arrays of lengths.
+    offsets are running sums of two arrays of lengths. Appending copies an array, so matches
+    are placed in runs of RUN, and the runs are then moved to where they begin: the work
+    grows with the number of matches.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     kind = "array<struct<start:int,end:int,match:string>>"
-    empty = F.array().cast(kind)
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
 
-    def step(state: Column, pair: Column) -> Column:
+    def named(value: Column, use) -> Column:
+        """``use`` of a value that is computed once, however often it is named."""
+        return F.transform(F.array(value), use)[0]
+
+    def place(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
         span = F.struct(start.alias("start"), end.alias("end"), pair["match"].alias("match"))
         return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
 
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step,
-                        lambda state: state["out"])
-    return F.when(text.rlike(pattern), spans).otherwise(empty)
+    def run(own: Column) -> Column:
+        return F.aggregate(own, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")),
+                           place)
+
+    def runs(all_pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(all_pairs), F.lit(1)), F.lit(RUN))
+        return F.transform(firsts, lambda first: run(F.slice(all_pairs, first, RUN)))
+
+    def begins(placed: Column) -> Column:
+        return F.aggregate(
+            placed, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
+            lambda state, own: F.struct(
+                (state["at"] + own["at"]).alias("at"),
+                F.array_append(state["out"], state["at"]).alias("out")),
+            lambda state: state["out"])
+
+    def moved(own: Column, begin: Column) -> Column:
+        return F.transform(own["out"], lambda s: F.struct(
+            (s["start"] + begin).alias("start"), (s["end"] + begin).alias("end"),
+            s["match"].alias("match")))
+
+    spans = named(named(pairs, runs), lambda placed: F.flatten(
+        F.zip_with(placed, begins(placed), moved)))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(kind))
 
 
 def normal_tail(z: Column) -> Column:

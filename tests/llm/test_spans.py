@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -254,3 +255,28 @@ def test_copies_do_not_change_what_is_found_elsewhere(spark):
     alone = found(docs)
     assert alone == found(docs.unionByName(copies))
     assert sum(n for _, _, n in alone) > 0
+
+
+def test_spans_of_many_matches(spark):
+    """Runs of matches meet without a seam, whatever lies between them; in linear time."""
+    rng = random.Random(12)
+    texts = ["", "x", "7", "77 7"]
+    for n in (255, 256, 257, 512, 1000):
+        texts.append("".join("é\U0001f600 ab"[rng.randrange(5)] * rng.randrange(1, 4)
+                             + str(rng.randrange(1000)) for _ in range(n)))
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = frame.select("i", secrets.match_spans(F.col("t"), "[0-9]+").alias("s")).collect()
+    for r in got:
+        assert [tuple(s) for s in r.s] == [
+            (m.start(), m.end(), m.group()) for m in re.finditer("[0-9]+", texts[r.i])]
+
+
+def test_a_text_of_very_many_tokens(spark):
+    rng = random.Random(13)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    tokens = ["".join(rng.choices(letters, k=24)) for _ in range(20_000)]
+    frame = spark.createDataFrame([(1, " ".join(tokens))], "doc_id long, text string")
+    start = time.monotonic()
+    found = secrets.find_secrets(frame).select(F.size(secrets.RANDOM).alias("n")).first()
+    assert found.n > 15_000
+    assert time.monotonic() - start < 30
