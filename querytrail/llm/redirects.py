@@ -61,18 +61,20 @@ def url_parts(df: DataFrame, url: str, prefix: str = "") -> DataFrame:
 def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
     """The longest rule for a host (or a parent domain) and path as a struct, else NULL.
 
+    Of rules of one length that fit, one that allows goes before one that blocks.
     Host suffixes are looked up in a literal map, one look-up per label of the host.
     """
     if len(rules) > MOST_RULES:
         raise ValueError(f"{len(rules)} rules; at most {MOST_RULES} can be part of a plan")
-    kind = "array<struct<size:int,rule:string,path:string,verdict:string>>"
+    kind = "array<struct<size:int,allows:boolean,rule:string,path:string,verdict:string>>"
     by_host: dict[str, list[Rule]] = {}
     for rule in rules:
         by_host.setdefault(rule.host.lower(), []).append(rule)
     entries = []
     for name, own in by_host.items():
         entries += [F.lit(name), F.array(*[F.struct(
-            F.lit(len(r.host) + len(r.path)).alias("size"), F.lit(name + r.path).alias("rule"),
+            F.lit(len(r.host) + len(r.path)).alias("size"),
+            F.lit(r.verdict == "allow").alias("allows"), F.lit(name + r.path).alias("rule"),
             F.lit(r.path).alias("path"), F.lit(r.verdict).alias("verdict")) for r in own])]
     if not entries:
         return F.lit(None).cast(kind)[0]

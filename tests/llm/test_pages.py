@@ -8,6 +8,7 @@ import random
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from querytrail.llm import redirects, warc
 from querytrail.llm.components import components
@@ -177,3 +178,16 @@ def test_components_match_union_find(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, groups.values()))
     assert all(k in v for k, v in got.items())
     assert components(frame.where("false")).count() == 0
+
+
+def test_allow_goes_before_block_of_one_length(spark):
+    """Whatever the order of the rules; a longer rule still wins."""
+    rules = [redirects.Rule("block", "a.org", "/x"), redirects.Rule("allow", "a.org", "/x"),
+             redirects.Rule("block", "a.org", "/xyz"), redirects.Rule("allow", "b.org", "/x"),
+             redirects.Rule("block", "b.org", "/x")]
+    rows = [("a.org", "/x1"), ("a.org", "/xyz"), ("b.org", "/x"), ("c.org", "/x")]
+    frame = spark.createDataFrame(rows, "host string, path string")
+    for order in (rules, rules[::-1]):
+        got = frame.withColumn("r", redirects.matching_rule(
+            F.col("host"), F.col("path"), order)).collect()
+        assert [r.r and r.r.verdict for r in got] == ["allow", "block", "allow", None]
