@@ -38,6 +38,32 @@ def register(text: Column) -> Column:
             .otherwise("prose"))
 
 
+def whole_target(cells: DataFrame, name: str, target: DataFrame) -> DataFrame:
+    """``name, target`` of every value that occurs in ``cells``; the targets sum to 1.
+
+    A value without a target keeps its present share of the tokens, and those with one divide
+    what is left in proportion to their targets. Targets of values that do not occur are left
+    out; those of a value given twice add up; NULL is the value ``(none)``. Targets that are
+    all 0, with no other value to take the tokens, say nothing: shares stay as they are.
+    """
+    total = cells.agg(F.sum("tokens").alias("tokens")).scalar()
+    given = target.select(F.coalesce(F.col(name).cast("string"), F.lit(NONE)).alias(name),
+                          F.col("target").cast("double").alias("given")).groupBy(name).agg(
+                              F.sum("given").alias("given"))
+    shares = cells.groupBy(name).agg((F.sum("tokens") / total).alias("share")).join(
+        given, name, "left")
+    sums = shares.agg(F.struct(
+        F.coalesce(F.sum("given"), F.lit(0.0)).alias("given"),
+        F.coalesce(F.sum(F.when(F.col("given").isNull(), F.col("share"))), F.lit(0.0))
+        .alias("free"))).scalar()
+    left_over = F.when(F.col("sums.given") > 0, 1 - F.col("sums.free")).otherwise(0.0)
+    part = F.when(F.col("given").isNull(), F.col("share")).otherwise(
+        F.coalesce(F.try_divide("given", F.col("sums.given")), F.lit(0.0)) * left_over)
+    said = (F.col("sums.given") > 0) | (F.col("sums.free") > 0)
+    return shares.withColumn("sums", sums).select(name, F.when(
+        said, part / (F.col("sums.free") + left_over)).otherwise(F.col("share")).alias("target"))
+
+
 def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float = TOLERANCE,
          most_sweeps: int = MOST_SWEEPS) -> DataFrame:
     """``cells`` with ``mass``: token shares fitted to the target marginals in turn.
@@ -47,16 +73,22 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
     sums are pre-aggregated and joined back by the value, so a dimension with many values
     stays distributed. Every step is written, so that plans stay small and a lost executor
     costs one step; the sweeps end when no value is scaled by more than ``tolerance``.
+
+    Targets need not name every value (``whole_target``), so no cell is lost. They may ask for
+    what the cells that occur cannot give; then the sweeps end after ``most_sweeps``, and
+    ``marginal_error``, the same in every row, says how far off the worst marginal is left.
     """
     total = cells.agg(F.sum("tokens").alias("tokens")).scalar()
     fitted = cells.withColumn("mass", F.col("tokens") / total)
     for name, target in targets.items():
-        fitted = fitted.join(target.select(name, F.col("target").alias(f"__{name}")), name)
+        fitted = fitted.join(whole_target(cells, name, target).withColumnRenamed(
+            "target", f"__{name}"), name)
     fitted = stored(fitted.withColumn("moved", F.lit(0.0)))
     for _ in range(most_sweeps):
         for i, name in enumerate(targets):
-            scales = fitted.groupBy(name).agg(
-                (F.first(f"__{name}") / F.sum("mass")).alias("scale"))
+            # A value whose cells all have no mass left cannot be scaled.
+            scales = fitted.groupBy(name).agg(F.coalesce(
+                F.try_divide(F.first(f"__{name}"), F.sum("mass")), F.lit(1.0)).alias("scale"))
             moved = F.abs(F.col("scale") - 1)
             fitted = stored(fitted.join(scales, name).withColumns({
                 "mass": F.col("mass") * F.col("scale"),
@@ -64,7 +96,10 @@ def rake(cells: DataFrame, targets: Mapping[str, DataFrame], tolerance: float =
         most = fitted.agg(F.max("moved")).first()[0]
         if most is None or most <= tolerance:
             break
-    return fitted.drop("moved", *[f"__{name}" for name in targets])
+    errors = [fitted.groupBy(name).agg(F.abs(F.sum("mass") - F.first(f"__{name}")).alias("off"))
+              .agg(F.max("off").alias("off")).scalar() for name in targets]
+    return fitted.withColumn("marginal_error", F.greatest(F.lit(0.0), *errors)).drop(
+        "moved", *[f"__{name}" for name in targets])
 
 
 def calibrated(cells: DataFrame, token_share: float) -> DataFrame:
@@ -98,7 +133,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", topic: Column
         powers: Mapping[str, float] = POWERS, token_share: float = TOKEN_SHARE,
         targets: Mapping[str, DataFrame] | None = None,
         keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key, source, lang, topic, n_tokens, weight, probability, kept`` of every document.
+    """``key, source, lang, topic, n_tokens, weight, probability, kept, marginal_error`` of
+    every document.
 
     The tokens of each (source, language, topic) are raked to target marginals; a cell's
     ``weight`` is its fitted share over its present share. Documents are drawn with the
@@ -106,7 +142,10 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", topic: Column
     and copies with one key share a fate.
 
     ``targets`` gives frames of a dimension's value and ``target`` share; otherwise the
-    target is proportional to the tokens at hand to the power in ``powers``. ``topic`` is any
+    target is proportional to the tokens at hand to the power in ``powers``. Values without a
+    target keep their present share; only a target of 0 takes documents out. Targets that
+    cannot all be met leave a ``marginal_error`` above ``TOLERANCE``: how far the worst marginal
+    share is from its target (NULL for documents without tokens). ``topic`` is any
     column, by default the register of the text. ``keep`` names columns to carry along.
 
     Counting is one aggregate that is combined before its shuffle, the raking works on the
@@ -142,7 +181,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", topic: Column
     fitted = calibrated(rake(cells, goals), token_share)
     total = cells.agg(F.sum("tokens").alias("all")).scalar()
     weights = stored(fitted.select(
-        *[F.col(d).alias(c) for d, c in names.items()], "probability",
+        *[F.col(d).alias(c) for d, c in names.items()], "probability", "marginal_error",
         (F.col("mass") * total / F.col("tokens")).alias("weight")))
     chance = F.when(F.col("__tokens") > 0, F.coalesce("probability", F.lit(0.0))).otherwise(0.0)
     return rows.join(weights, list(names.values()), "left").select(
@@ -150,7 +189,8 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", topic: Column
         *[F.col(c).alias(f"mix_{d}" if d in extra else d) for d, c in names.items()],
         F.col("__tokens").alias("n_tokens"),
         F.when(F.col("__tokens") > 0, F.coalesce("weight", F.lit(0.0))).otherwise(0.0)
-        .alias("weight"), chance.alias("probability"), (F.col("__draw") < chance).alias("kept"))
+        .alias("weight"), chance.alias("probability"), (F.col("__draw") < chance).alias("kept"),
+        "marginal_error")
 
 
 def op4_raking_mixture(spark: SparkSession, folder: str) -> DataFrame:

@@ -187,6 +187,55 @@ def test_shards_with_ties_nulls_and_a_hot_key(spark, documents):
 
 # --- mixing ------------------------------------------------------------------------------
 
+def cells_of(spark, rows):
+    return spark.createDataFrame(rows, "source string, lang string, topic string, tokens long")
+
+
+def test_values_without_a_target_keep_their_share(spark):
+    cells = cells_of(spark, [("a", "en", "t", 100), ("b", "en", "t", 300), ("c", "en", "t", 200),
+                             ("c", "de", "t", 400)])
+    targets = {"source": spark.createDataFrame(
+        [("a", 2.0), ("b", 1.0), ("b", 1.0), ("gone", 5.0)], "source string, target double")}
+    got = mixing.rake(cells, targets).collect()
+    assert len(got) == 4
+    shares = Counter()
+    for r in got:
+        shares[r.source] += r.mass
+        assert r.marginal_error < 1e-9
+    assert shares == pytest.approx({"a": 0.2, "b": 0.2, "c": 0.6})
+
+
+@pytest.mark.parametrize("given, expected", [
+    ([("a", 0.0)], {"a": 0.0, "b": 1.0}),                  # the other takes all
+    ([("a", 0.0), ("b", 0.0)], {"a": 0.25, "b": 0.75}),    # says nothing
+    ([("a", 3.0), ("b", 1.0)], {"a": 0.75, "b": 0.25}),    # any scale
+    ([], {"a": 0.25, "b": 0.75}),
+    ([("zz", 1.0), (None, 1.0)], {"a": 0.25, "b": 0.75})])
+def test_odd_targets(spark, given, expected):
+    cells = cells_of(spark, [("a", "en", "t", 10), ("b", "en", "t", 30)])
+    target = spark.createDataFrame(given, "source string, target double")
+    got = mixing.rake(cells, {"source": target}).collect()
+    assert {r.source: r.mass for r in got} == pytest.approx(expected)
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    """Each source has one language, so their targets contradict each other."""
+    cells = cells_of(spark, [("a", "en", "t", 10), ("b", "de", "t", 10)])
+    goal = {"source": [("a", 0.7), ("b", 0.3)], "lang": [("en", 0.2), ("de", 0.8)]}
+    targets = {k: spark.createDataFrame(v, f"{k} string, target double") for k, v in goal.items()}
+    got = mixing.rake(cells, targets, most_sweeps=3).collect()
+    assert [r.marginal_error for r in got] == pytest.approx([0.5, 0.5])
+
+
+def test_a_target_for_one_source_keeps_the_others(spark, documents):
+    rng = random.Random(5)
+    rows = [(i, prose(rng, 30), "en", f"s{i % 20}") for i in range(200)]
+    target = spark.createDataFrame([("s3", 1.0)], "source string, target double")
+    got = mixing.mix(documents(rows), targets={"source": target}).collect()
+    assert all(r.weight > 0 and r.probability > 0 for r in got)
+    assert len({r.source for r in got if r.kept}) == 20
+
+
 def test_raking_matches_numpy(spark, documents):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.randrange(1, 90)), rng.choice(["en", "de", None]),
