@@ -430,9 +430,10 @@ def test_blocks_hold_no_more_passages_than_the_rank_serves(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, 40)) for i in range(700)]  # two passages each
     frame = spark.createDataFrame([*rows, (900, None)], "item_id long, text string")
-    blocks = decontamination.item_blocks(frame, "text", "item_id", None)
+    keyed = decontamination.keyed_items(frame, "text", "item_id", None)
+    blocks = list(decontamination.item_blocks(keyed.union(keyed)))  # every item twice
     assert len(blocks) >= 1400 // decontamination.BLOCK_PASSAGES
-    assert sorted(i.item_id for b in blocks for i in b) == list(range(700))
+    assert sorted(i.item for b in blocks for i in b) == sorted(r.item for r in keyed.collect())
     for block in blocks:
         rank = decontamination.rank_for(2 * len(block))
         assert rank / (2 * len(block)) >= decontamination.RANK / decontamination.BLOCK_PASSAGES
@@ -450,6 +451,68 @@ def test_passages_of_long_items_are_found(spark, documents):
     assert sorted((r.doc_id, r.item_id) for r in found) == [(0, 1), (1, 1), (2, 1)]
 
 
+def test_short_items_need_a_line_or_their_answer(spark, documents):
+    bench = spark.createDataFrame(
+        [(1, "the", None), (2, "Of the", None), (3, "True", "True"), (4, "Name the third planet", None),
+         (5, "Name the third planet", "It is the Earth, seen from Mars"), (6, None, "x")],
+        "item_id long, text string, answer string")
+    rows = [(1, "of the many, the\nthe\nof the\nTrue"), (2, "first\n* Name the third planet!\nlast"),
+            (3, "they name the third planet in a song"), (4, "Name the third planet: it is the Earth, "
+                                                          "seen from Mars."), (5, None), (6, "")]
+    found = decontamination.find_leaks(documents(rows), bench, answer="answer").collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(2, 4), (4, 5)]
+
+
+def test_repeated_items_and_documents_are_each_reported(spark, documents):
+    rng = random.Random(8)
+    items = [(k, prose(rng, 30)) for k in range(4)]
+    bench = spark.createDataFrame([*items, *[(50 + k, items[0][1]) for k in range(40)], (None, items[1][1])],
+                                  "item_id long, text string")
+    rows = [(1, items[0][1]), (1, items[0][1]), (2, items[1][1]), (3, prose(rng, 90))]
+    rows += [(100 + k, items[2][1]) for k in range(60)]
+    found = sorted((r.doc_id, r.item_id if r.item_id is not None else -1)
+                   for r in decontamination.find_leaks(documents(rows), bench).collect())
+    assert found == sorted([(1, k) for k in [0, *range(50, 90)] for _ in range(2)] +
+                           [(2, -1), (2, 1)] + [(100 + k, 2) for k in range(60)])
+
+
+def test_the_fitting_sample_holds_no_copies(spark, documents):
+    rows = [(k, "one text held by many") for k in range(3000)] + [(5000 + k, f"text {k}") for k in range(50)]
+    sample = decontamination.sample_of(documents([*rows, (1, None)]), "text", 3051)
+    assert sample.count() == sample.distinct().count() <= 51
+
+
+def test_recall_over_several_blocks(spark, documents, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCK_PASSAGES", 60)
+    monkeypatch.setattr(decontamination, "PASS_BLOCKS", 2)
+    rng = random.Random(12)
+    items = [(k, prose(rng, 40)) for k in range(200)]  # 400 passages, seven blocks, four passes
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, " ".join([prose(rng, 60), body, prose(rng, 60)])) for k, body in items]
+    rows += [(1000 + k, prose(rng, 120)) for k in range(100)]
+    found = {(r.doc_id, r.item_id) for r in decontamination.find_leaks(documents(rows), bench).collect()}
+    assert found == {(k, k) for k, _ in items}
+
+
+def test_passages_are_the_sums_of_their_words():
+    rng = np.random.default_rng(3)
+    names = [f"w{k}" for k in range(50)]
+    vocabulary = {w: k for k, w in enumerate(names[:30])}
+    basis = rng.standard_normal((30, 5)).astype(np.float32)
+    found = [list(rng.choice(names, n)) for n in (0, 1, 31, 32, 33, 64, 65, 300)] + [["w40"] * 100]
+    vectors, text, first = decontamination.projected(found, vocabulary, basis, least=1)
+    got = {(int(t), int(f)): v for t, f, v in zip(text, first, vectors, strict=True)}
+    want = {}
+    for t, words in enumerate(found):
+        for f in range(0, len(words), decontamination.STRIDE):
+            own = [vocabulary[w] for w in words[f:f + decontamination.WINDOW] if w in vocabulary]
+            if own:
+                want[t, f] = basis[own].sum(axis=0)
+    assert set(got) == set(want)
+    for place, vector in want.items():
+        np.testing.assert_allclose(got[place], vector, rtol=1e-4, atol=1e-4)
+
+
 def test_subsequence_matches_dynamic_programming():
     rng = random.Random(9)
     for _ in range(200):
