@@ -26,6 +26,15 @@ def rounded(*columns: str) -> str:
     return ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in columns)
 
 
+EFFECTIVENESS = f"""
+        SELECT JOB_ID, n_queries,
+               {rounded('avg_time_gap_s', 'median_time_gap_s', 'avg_reformulation',
+                        'median_reformulation', 'boolean_usage_rate')},
+               any_positive_response, total_positive_responses, industry_sector,
+               {rounded('time_to_first_pos_response_min')}
+        FROM effectiveness"""
+
+
 def histogram(values: str, bins: int, by: str = "", within: str = "true",
               centre: bool = False) -> str:
     """``values``: a SELECT of ``value`` (and the group column ``by``)."""
@@ -186,6 +195,7 @@ STATEMENTS: dict[str, str] = {
         SELECT * FROM features WHERE token_count > 0 AND "TIMESTAMP" > 0""",
     "unique_tokens_per_session": "SELECT * FROM tokens",
     "session_summary": f"SELECT {SESSION_COLUMNS} FROM sessions",
+    "session_summary_bucketed": f"SELECT {SESSION_COLUMNS} FROM sessions",
     "summary_stats": """
         SELECT round(avg(n_queries), 6) AS avg_queries_per_session,
                round(median(n_queries), 6) AS median_queries_per_session,
@@ -232,13 +242,8 @@ STATEMENTS: dict[str, str] = {
         FROM stepped s LEFT JOIN responses r ON r.JOB_ID IS NOT DISTINCT FROM s.JOB_ID
         LEFT JOIN industry_one i ON i.JOB_ID IS NOT DISTINCT FROM s.JOB_ID""",
     "time_to_response": f"SELECT JOB_ID, {rounded('time_to_first_pos_response_min')} FROM waits",
-    "session_effectiveness": f"""
-        SELECT JOB_ID, n_queries,
-               {rounded('avg_time_gap_s', 'median_time_gap_s', 'avg_reformulation',
-                        'median_reformulation', 'boolean_usage_rate')},
-               any_positive_response, total_positive_responses, industry_sector,
-               {rounded('time_to_first_pos_response_min')}
-        FROM effectiveness""",
+    "session_effectiveness": EFFECTIVENESS,
+    "session_effectiveness_bucketed": EFFECTIVENESS,
     "industry_efficiency": f"""
         SELECT industry_sector, sessions, {rounded('mean_time_to_first_pos_response_min')}
         FROM efficiency""",

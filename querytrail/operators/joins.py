@@ -19,6 +19,7 @@ HOT_ROWS = 5_000_000
 # Buckets of mixed keys that are counted before any key is.
 BUCKETS = 1 << 16
 KEY = "_key"
+SESSION_KEY = "_session_key"  # the key of JOB_ID in a table that is bucketed by it
 
 
 def key_of(*names: str) -> Column:
@@ -33,6 +34,12 @@ def keyed(df: DataFrame, *names: str, key: str = KEY) -> DataFrame:
     return df.withColumn(key, key_of(*names))
 
 
+def session_keyed(df: DataFrame, key: str = KEY) -> DataFrame:
+    """``df`` with the key of JOB_ID; a bucketed table brings it along and keeps its buckets."""
+    return (df.withColumn(key, F.col(SESSION_KEY)) if SESSION_KEY in df.columns
+            else keyed(df, "JOB_ID", key=key))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str],
                    how: str = "left") -> DataFrame:
     """Join on ``keys`` with ``<=>``; the result keeps the left key columns.

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.columns import pick_column
 from ..functions.timecols import as_integer, fix_timestamp_units
-from ..operators.joins import KEY, keyed
+from ..operators.joins import KEY, SESSION_KEY, session_keyed
 from ..operators.ordered import MAX_GROUP_ROWS, with_previous
 from ..operators.plotdata import box_statistics, linear_trend, trend_band
 from ..operators.ranking import top
@@ -82,7 +82,8 @@ def session_times(log: DataFrame) -> DataFrame:
     """Session and repaired time of every row; the queries are not read."""
     time = (fix_timestamp_units(F.col("TIMESTAMP")) if "TIMESTAMP" in log.columns
             else F.lit(None).cast("double"))
-    return _with_job_text(log).select("JOB_ID", time.alias("TIMESTAMP"))
+    carried = [c for c in log.columns if c == SESSION_KEY]
+    return _with_job_text(log).select("JOB_ID", time.alias("TIMESTAMP"), *carried)
 
 
 def _bounds(times: DataFrame, *by: str) -> DataFrame:
@@ -104,13 +105,13 @@ def valid_sessions(times: DataFrame, shortest_s: float = SHORTEST_S,
     The key is never NULL, so grouping, windows and joins on it share one exchange of the
     log, which a null-safe join would not.
     """
-    return _bounds(keyed(times, "JOB_ID"), KEY, "JOB_ID").where(
+    return _bounds(session_keyed(times), KEY, "JOB_ID").where(
         F.col("duration_s").between(shortest_s, longest_s))
 
 
 def _of_valid(df: DataFrame, valid: DataFrame) -> DataFrame:
     """The rows of valid sessions, with the key."""
-    return keyed(_with_job_text(df), "JOB_ID").join(valid.select(KEY), KEY, "left_semi")
+    return session_keyed(_with_job_text(df)).join(valid.select(KEY), KEY, "left_semi")
 
 
 def only_valid(df: DataFrame, valid: DataFrame) -> DataFrame:
@@ -142,7 +143,7 @@ def query_reformulation(log: DataFrame, responses: DataFrame, industry: DataFram
     answered = _response_measures(_of_valid(responses, valid), KEY)
     named = _industry_names(_of_valid(industry, valid), KEY)
     described = valid.select(KEY).join(answered, KEY, "left").join(named, KEY, "left")
-    return queries.join(described, KEY, "left").drop(KEY)
+    return queries.join(described, KEY, "left").drop(KEY, SESSION_KEY)
 
 
 def _timed_responses(responses: DataFrame, valid: DataFrame) -> DataFrame:

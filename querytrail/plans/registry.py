@@ -18,7 +18,7 @@ from ..functions.timecols import as_number, datetime_text, parse_datetime
 from ..operators.plotdata import histogram
 from ..session import scratch_path, stored
 from ..sources import adapters as A
-from ..sources import logs, results
+from ..sources import buckets, logs, results
 from . import audit, clean, effect, jobs, sessions, skills
 
 PLACES = 6
@@ -71,6 +71,13 @@ def _summary(t: A.Tables) -> DataFrame:
     return sessions.session_summary(_log(t))
 
 
+def _bucketed_log(t: A.Tables) -> DataFrame:
+    """The query log as one study hands it on to the next."""
+    path = scratch_path(t.spark, "buckets")
+    buckets.write(_log(t), path)
+    return buckets.load(t.spark, path)
+
+
 def _profile(t: A.Tables) -> DataFrame:
     return sessions.session_profile(A.query_log(t))
 
@@ -397,6 +404,16 @@ def _(t):
     return _effectiveness(t)
 
 
+@query("session_effectiveness_bucketed")
+def _(t):
+    return effect.session_effectiveness(_bucketed_log(t), A.response_log(t), A.industry_session(t))
+
+
+@query("session_summary_bucketed")
+def _(t):
+    return sessions.session_summary(_bucketed_log(t))
+
+
 @query("industry_efficiency")
 def _(t):
     return effect.industry_efficiency(_effectiveness(t))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.timecols import as_number, fix_timestamp_units
-from ..operators.joins import null_safe_join
+from ..operators.joins import SESSION_KEY, null_safe_join
 from ..operators.plotdata import linear_trend, quantiles
 from ..session import stored
 
@@ -47,9 +47,9 @@ def unique_tokens_per_session(log: DataFrame) -> DataFrame:
     Words are made distinct per query before they are exploded; the distinct
     count itself is partitioned by (session, word), so a hot session is spread.
     """
-    tokens = log.select(F.col("JOB_ID").cast("string").alias("JOB_ID"),
-                        F.explode(X.words(F.lower("QUERY"))).alias("token"))
-    return (tokens.distinct().groupBy("JOB_ID")
+    by = _session_of(log)
+    tokens = _with_job_text(log).select(*by, F.explode(X.words(F.lower("QUERY"))).alias("token"))
+    return (tokens.distinct().groupBy(*by)
             .agg(F.count(F.lit(1)).alias("unique_token_count")))
 
 
@@ -57,6 +57,11 @@ def _with_job_text(df: DataFrame) -> DataFrame:
     return df.withColumn("JOB_ID", F.col("JOB_ID").cast("string"))
 
 
+def _session_of(log: DataFrame) -> list[str]:
+    """What tells sessions apart: in a bucketed table the key first, so that no row is moved."""
+    return [c for c in (SESSION_KEY, "JOB_ID") if c in log.columns]
+
+
 def _share(flag: Column) -> Column:
     return F.avg(F.coalesce(flag, F.lit(False)).cast("int"))
 
@@ -69,7 +74,7 @@ def session_measures(features: DataFrame) -> DataFrame:
     """
     counter, tokens = F.col("QUERY_COUNTER"), F.col("token_count")
     place = F.struct(counter.isNull(), counter, F.col("row_id"))
-    return features.groupBy("JOB_ID").agg(
+    return features.groupBy(*_session_of(features)).agg(
         F.count(F.lit(1)).alias("n_queries"),
         F.avg(tokens).alias("avg_query_length"),
         F.median(tokens).alias("median_query_length"),
@@ -105,8 +110,11 @@ def session_summary(log: DataFrame, shortest_min: float = SHORTEST_MIN,
     """The profile with the distinct words of each session."""
     kept = stored(session_profile(log, shortest_min, longest_min, fix_units))
     # Only words of the sessions kept are taken apart and shuffled.
-    own = null_safe_join(_with_job_text(log).select("JOB_ID", "QUERY"), kept.select("JOB_ID"),
-                         ["JOB_ID"], "left_semi")
+    own = _with_job_text(log).select(*_session_of(log), "QUERY")
+    if SESSION_KEY in log.columns:
+        tokens = unique_tokens_per_session(own.join(kept.select(SESSION_KEY), SESSION_KEY, "left_semi"))
+        return kept.join(tokens.drop("JOB_ID"), SESSION_KEY, "left").drop(SESSION_KEY)
+    own = null_safe_join(own, kept.select("JOB_ID"), ["JOB_ID"], "left_semi")
     return null_safe_join(kept, unique_tokens_per_session(own), ["JOB_ID"])
 
 

@@ -14,7 +14,8 @@ part files works as well):
 Each study writes its tables as CSV into the output folder, in place of those of an earlier
 run; ``clean`` also writes the
 ``*_clean`` tables as Parquet, which the others read where they find them, so its output
-folder is their input folder.
+folder is their input folder. The queries also come bucketed by session, so that ``behaviour``
+and ``effect`` read them without a shuffle.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from querytrail.functions.timecols import as_long, as_number  # noqa: E402
 from querytrail.operators.plotdata import histogram  # noqa: E402
 from querytrail.plans import audit, clean, effect, jobs, sessions, skills  # noqa: E402
 from querytrail.session import build_session, sized_for, stored  # noqa: E402
-from querytrail.sources import logs  # noqa: E402
+from querytrail.sources import buckets, logs  # noqa: E402
 from querytrail.sources.results import ResultFolder  # noqa: E402
 
 Load = Callable[..., DataFrame]
@@ -94,8 +95,13 @@ def _clean_log(load: Load, name: str) -> DataFrame:
     return _numeric(load(name, snake=False), ["row_id"])
 
 
+def _session_log(load: Load) -> DataFrame:
+    """The cleaned queries, bucketed by session where the cleaning left them so."""
+    return _numeric(load("queries_clean", bucketed=True, snake=False), ["row_id"])
+
+
 def behaviour_study(load: Load) -> dict[str, DataFrame]:
-    log = _clean_log(load, "queries_clean")
+    log = _session_log(load)
     summary = stored(sessions.session_summary(log))
     filtered = sessions.query_filtered(sessions.query_features(log))
     return {
@@ -115,7 +121,7 @@ def behaviour_study(load: Load) -> dict[str, DataFrame]:
 
 def effect_study(load: Load) -> dict[str, DataFrame]:
     table = stored(effect.session_effectiveness(
-        _clean_log(load, "queries_clean"), _clean_log(load, "responses_clean"),
+        _session_log(load), _clean_log(load, "responses_clean"),
         load("industry", snake=False, row_id=True)))
     return {
         "session_effectiveness": table,
@@ -201,7 +207,10 @@ def run(spark: SparkSession, study: str, source: str, target: str) -> list[str]:
     given = ResultFolder(spark, source)
     given.recover()
 
-    def load(name: str, **options) -> DataFrame:
+    def load(name: str, bucketed: bool = False, **options) -> DataFrame:
+        place = given.path(f"{name}.buckets")
+        if bucketed and given.files.exists(place):
+            return buckets.load(spark, place)
         try:
             return logs.load_parquet(spark, given.path(f"{name}.parquet"))
         except AnalysisException as error:
@@ -211,7 +220,8 @@ def run(spark: SparkSession, study: str, source: str, target: str) -> list[str]:
 
     tables = STUDIES[study](load)
     typed = [name for name in tables if name.endswith("_clean")] if study == "clean" else ()
-    return logs.export(tables, target, typed, study, given.files.signature(source))
+    by_session = {"queries_clean": buckets.write} if study == "clean" else None
+    return logs.export(tables, target, typed, study, given.files.signature(source), by_session)
 
 
 def main(arguments: Sequence[str] | None = None) -> None:

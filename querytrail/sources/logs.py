@@ -106,7 +106,8 @@ def write_parquet(df: DataFrame, path: str) -> None:
 
 
 def export(tables: Mapping[str, DataFrame], folder: str, typed: Sequence[str] = (),
-           study: str = "tables", inputs: str = "") -> list[str]:
+           study: str = "tables", inputs: str = "",
+           bucketed: Mapping[str, results.Write] | None = None) -> list[str]:
     """Write every table as ``<name>.csv``, those in ``typed`` as ``<name>.parquet`` too.
 
     Earlier versions are replaced, all at once and only when every table is written; see
@@ -116,7 +117,7 @@ def export(tables: Mapping[str, DataFrame], folder: str, typed: Sequence[str] =
         return []
     spark = next(iter(tables.values())).sparkSession
     return results.ResultFolder(spark, folder).save(
-        study, results.plan(tables, typed, write_csv, write_parquet), inputs)
+        study, results.plan(tables, typed, write_csv, write_parquet, bucketed), inputs)
 
 
 def manifest(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -170,14 +170,20 @@ def _written(frame: DataFrame, path: str, write: Write) -> int:
     return seen.get.get("rows", 0)
 
 
-def plan(tables: Mapping[str, DataFrame], typed: Sequence[str], csv: Write, parquet: Write
+def plan(tables: Mapping[str, DataFrame], typed: Sequence[str], csv: Write, parquet: Write,
+         bucketed: Mapping[str, Write] | None = None
          ) -> dict[str, tuple[DataFrame | str, Write]]:
-    """Every table as CSV, those in ``typed`` as Parquet too, computed once."""
+    """Every table as CSV, those in ``typed`` as Parquet too, computed once.
+
+    ``bucketed`` names typed tables that are also written as ``<name>.buckets``, and how.
+    """
     found: dict[str, tuple[DataFrame | str, Write]] = {}
     for name, table in tables.items():
         if name in typed:
             found[f"{name}.parquet"] = table, parquet
             found[f"{name}.csv"] = f"{name}.parquet", csv
+            if bucketed and name in bucketed:
+                found[f"{name}.buckets"] = f"{name}.parquet", bucketed[name]
         else:
             found[f"{name}.csv"] = table, csv
     return found
