@@ -72,9 +72,12 @@ def _summary(t: A.Tables) -> DataFrame:
 
 
 def _bucketed_log(t: A.Tables) -> DataFrame:
-    """The query log as one study hands it on to the next."""
+    """The query log as one study hands it on to the next.
+
+    It is written once, straight into its buckets; its sessions are counted without the texts.
+    """
     path = scratch_path(t.spark, "buckets")
-    buckets.write(_log(t), path)
+    buckets.write(A.query_log(t), path, counted=A.event_log(t))
     return buckets.load(t.spark, path)
 
 

@@ -24,14 +24,16 @@ from .results import Files
 SPEC = "_buckets"
 
 
-def write(log: DataFrame, path: str, max_group_rows: int = MAX_GROUP_ROWS) -> None:
+def write(log: DataFrame, path: str, max_group_rows: int = MAX_GROUP_ROWS,
+          counted: DataFrame | None = None) -> None:
     """Write a log bucketed and sorted by session, as many buckets as shuffle partitions.
 
-    JOB_ID becomes text. Rows without a session are a session of their own.
+    JOB_ID becomes text. Rows without a session are a session of their own. Rows per session
+    are counted first, in ``counted`` if that has the same JOB_IDs and is cheaper to read.
     """
     spark = log.sparkSession
     log = log.withColumn("JOB_ID", F.col("JOB_ID").cast("string"))
-    if hot_keys(log, ["JOB_ID"], max_group_rows) is not None:
+    if hot_keys(log if counted is None else counted, ["JOB_ID"], max_group_rows) is not None:
         log.write.parquet(path)
         return
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
