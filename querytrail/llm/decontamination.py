@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 from itertools import batched, chain, repeat
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import spread, stored
-from .tables import col, map_texts, read
+from ..session import drop_folder, scratch_path, spread, stored
+from .tables import chunks, col, map_texts, read
 
 WINDOW, STRIDE = 64, 32  # words of a passage, and from one to the next
 # Items longer than WINDOW are judged piece by piece too. From one piece to the next are fewer
@@ -22,9 +26,11 @@ PIECE_STRIDE = 24
 BLOCK_CHARS = 120_000    # benchmark text that shares a latent space
 PASS_BLOCKS = 8          # latent spaces searched in one pass over the documents
 RANK, OVERSAMPLING, ROUNDS = 192, 16, 2
+FIT_TASKS = 4            # that the rows of a block's space are spread over
 BLOCK_PASSAGES = 330     # passages of a block that RANK serves; the rank of more grows alike
-SAMPLE_DOCUMENTS = 2000  # expected number of distinct texts that help to fit the spaces, at most
-SAMPLE_WEIGHT = 0.1      # of their rows against those of the benchmark
+# All distinct texts help to fit the spaces: their rows have this weight against those of the
+# benchmark. From so many documents on, all together weigh as that many do.
+TEXT_WEIGHT, FULL_WEIGHT_DOCUMENTS = 0.1, 2000
 # Terms in more than COMMON of all documents (and COMMON_LEAST more) carry no weight in the
 # space. Items that this leaves too few terms are searched by all their words (Frequent).
 COMMON, COMMON_LEAST = 0.1, 50
@@ -38,6 +44,7 @@ PARAPHRASE, ANSWER = 0.65, 0.8  # less of the item, if so much of its answer is
 # line, and not even there with fewer than SHORT_LINE words ("True", "Yes").
 SHORT, SHORT_LINE = 8, 3
 SLAB = 4_000_000         # cosines held at once
+CHUNK_BYTES = 1_000_000  # of coded texts that are worked on at once
 WORD = re.compile(r"\w+")
 SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -54,8 +61,8 @@ def answer_of(text: str) -> list[str]:
 
 class Item(NamedTuple):
     item: str            # digest of text and answer, which equal items share
-    words: list[str]
-    answer: list[str]
+    words: list          # as texts, or as the codes of a pass
+    answer: list
     whole: int           # its number in the block, or that of the item it is a piece of
 
 
@@ -76,7 +83,6 @@ class Space(NamedTuple):
     vectors: np.ndarray  # items' passages x rank
     owner: np.ndarray    # item of each passage
     frequent: list[Frequent]
-    lines: dict[tuple[str, ...], list[int]]  # items of few words, found as whole lines
 
 
 def strides(found: Sequence[Sequence[str]], vocabulary: dict[str, int], stride: int
@@ -241,22 +247,28 @@ def holding(found: Sequence[Sequence[str]], group: Frequent) -> Iterator[tuple[i
             yield int(text[r]), i, int(first[r])
 
 
-def as_lines(texts: list[str], lines: dict[tuple[str, ...], list[int]]
-             ) -> Iterator[tuple[int, int]]:
-    """Text and item wherever a line has the words of a short item and no others."""
-    for t, text in enumerate(texts if lines else ()):
-        for line in text.split("\n"):
-            for i in lines.get(tuple(words_of(line)), ()):
-                yield t, i
+def lines_of(items: Iterable[Item]) -> dict[tuple[str, ...], list[str]]:
+    """The items of few words by their words: they are found as whole lines."""
+    lines: dict[tuple[str, ...], list[str]] = {}
+    for item in items:
+        if SHORT_LINE <= len(item.words) < SHORT:
+            lines.setdefault(tuple(item.words), []).append(item.item)
+    return lines
+
 
+def as_lines(text: str, lines: dict[tuple[str, ...], list[str]]) -> list[str]:
+    """The items whose words, and no others, a line of the text has."""
+    if not lines:
+        return []
+    return sorted({item for line in text.split("\n") for item in lines.get(tuple(words_of(line)), ())})
 
-def matches(texts: list[str], spaces: Sequence[Space], checks: Sequence[Sequence[Check]],
+
+def matches(found: Sequence[Sequence], spaces: Sequence[Space], checks: Sequence[Sequence[Check]],
             cosine: float = COSINE) -> Iterator[tuple[int, Item, float, float, float]]:
-    """Text, item, cosine and both shares for every item found in a text.
+    """Text, item, cosine and both shares for every item found in a text, given by its words.
 
-    The cosine is None where only the words of a frequent or short item led to it.
+    The cosine is None where only the words of a frequent item led to it.
     """
-    found = [words_of(t) for t in texts]
     for space, own in zip(spaces, checks, strict=True):
         vectors, text, first = projected(found, space.vocabulary, space.basis)
         best: dict[tuple[int, int], tuple] = {}
@@ -282,31 +294,116 @@ def matches(texts: list[str], spaces: Sequence[Space], checks: Sequence[Sequence
                 old = best.get(pair, (None, 0.0, 0.0))
                 if shares and shares > old[1:]:
                     best[pair] = (old[0], *shares)
-        for t, i in as_lines(texts, space.lines):
-            best[t, i] = None, 1.0, 0.0
         for (t, i), value in best.items():
             yield t, space.items[i], *value
 
 
-def document_frequencies(docs: DataFrame, text: str, terms: set[str]) -> dict[str, int]:
-    """In how many documents each term occurs; the number of documents under the empty word."""
+def coded(rows: DataFrame, codes: dict[str, int], lines: dict[tuple[str, ...], list[str]]
+          ) -> DataFrame:
+    """``__key, digest``, the words of ``text`` as codes (0: of no item) and the short items.
+
+    Texts are split into words once a pass; the fit and the search read the codes.
+    """
+    kind = code_type(len(codes))
+
+    def work(texts: list[str]) -> dict[str, list]:
+        return {"codes": [np.fromiter(map(codes.get, words, repeat(0)), kind, len(words)).tobytes()
+                          for words in map(words_of, texts)],
+                "lines": [as_lines(t, lines) for t in texts]}
+
+    return map_texts(rows, work, "codes binary, lines array<string>", ("__key", "digest"))
+
+
+def code_type(n: int) -> np.dtype:
+    return np.dtype("<u2" if n < 1 << 16 else "<u4")
+
+
+def document_frequencies(coded_docs: DataFrame, n_codes: int) -> dict[int, int]:
+    """In how many documents each code occurs; the number of documents under 0."""
+    kind = code_type(n_codes)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, int] = {"": 0}
+        total = np.zeros(n_codes + 1, np.int64)
         for batch in batches:
-            for body in batch["text"]:
-                seen[""] += 1
-                for word in terms.intersection(words_of(body or "")):
-                    seen[word] = seen.get(word, 0) + 1
-        yield pd.DataFrame({"term": list(seen), "n": list(seen.values())})
-
-    partial = docs.select(col(text).alias("text")).mapInPandas(count, "term string, n long")
+            total[0] += len(batch)
+            for codes in batch["codes"]:
+                own = np.unique(np.frombuffer(codes, kind))
+                total[own[own > 0]] += 1
+        used = np.flatnonzero(total)
+        yield pd.DataFrame({"term": used, "n": total[used]})
+
+    partial = coded_docs.select("codes").mapInPandas(count, "term long, n long")
     return {r.term: r.n for r in partial.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
+def moments(found: Sequence[Sequence], vocabulary: dict, idf: np.ndarray, base: np.ndarray,
+            total: np.ndarray) -> None:
+    """Adds A'A ``base`` to ``total``, where A has the texts' TF-IDF passages as unit rows.
+
+    A passage is the sum of its two strides, so every word is gathered once on the way to the
+    passages and once on the way back.
+    """
+    here, numbers, _, first = strides(found, vocabulary, STRIDE)
+    if not len(here):
+        return
+    at, terms, _, _ = passages(found, vocabulary)
+    cells, counts = np.unique(at * len(idf) + terms, return_counts=True)
+    squares = np.bincount(cells // len(idf), (counts * idf[cells % len(idf)]) ** 2, len(first))
+    some, begins = np.unique(here, return_index=True)
+    sums = np.zeros((len(first), base.shape[1]), base.dtype)
+    sums[some] = np.add.reduceat((base * idf[:, None].astype(base.dtype))[numbers], begins, axis=0)
+    later = np.flatnonzero(first > 0)
+    whole = sums.copy()
+    whole[later - 1] += sums[later]
+    whole *= np.divide(1.0, squares, out=np.zeros(len(first)), where=squares > 0
+                       ).astype(base.dtype)[:, None]
+    back = whole.copy()
+    back[later] += whole[later - 1]
+    order = np.argsort(numbers, kind="stable")
+    used, begins = np.unique(numbers[order], return_index=True)
+    total[used] += idf[used, None] * np.add.reduceat(back[here[order]], begins, axis=0)
+
+
+def document_rows(texts: DataFrame, n_codes: int, vocabulary: dict[int, int], idf: np.ndarray,
+                  base: np.ndarray) -> np.ndarray:
+    """Rows R such that R'R stands for A'A, A having the passages of all ``texts`` as unit rows.
+
+    One pass: every task multiplies its own passages with ``base`` (terms x rank) and back, and
+    Spark adds the products by term. R'R equals A'A along ``base`` (Nystroem's approximation).
+    """
+    n_terms, width = base.shape
+    kind, narrow = code_type(n_codes), base.astype(np.float32)
+    names = [f"v{i}" for i in range(width)]
+    schema = "term int, " + ", ".join(f"{n} float" for n in names)
+
+    def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((n_terms, width))
+        for batch in batches:
+            codes = batch["text"].tolist()
+            for begin, end in chunks(codes, CHUNK_BYTES):
+                moments([np.frombuffer(c, kind).tolist() for c in codes[begin:end]],
+                        vocabulary, idf, narrow, total)
+        used = np.flatnonzero(total.any(axis=1))
+        out = pd.DataFrame(total[used].astype(np.float32), columns=names)
+        out.insert(0, "term", used.astype(np.int32))
+        yield out
+
+    # As many products as cores, however many files there are.
+    tasks = spread(texts).coalesce(texts.sparkSession.sparkContext.defaultParallelism)
+    product = np.zeros((n_terms, width))
+    for r in tasks.mapInPandas(multiply, schema).groupBy("term").agg(
+            *[F.sum(n).alias(n) for n in names]).collect():
+        product[r[0]] = r[1:]
+    inner = base.T @ product
+    values, turn = np.linalg.eigh((inner + inner.T) / 2)
+    keep = values > max(1e-6 * values.max(), 1e-12)
+    return ((product @ turn[:, keep]) / np.sqrt(values[keep])).T
+
+
 def randomised_svd(rows: DataFrame, n_terms: int, rank: int) -> np.ndarray:
     """Right singular vectors (terms x rank) of a matrix whose rows Spark holds.
 
-    ``rows`` has ``terms`` and ``weights`` arrays. Each round, every task multiplies its own
+    ``rows`` has ``terms`` (each once) and ``weights`` arrays. Each round, every task multiplies its own
     rows with the broadcast range (terms x rank) and back, Spark adds the tasks' products by
     term, and the driver makes the sum orthonormal; only matrices of terms x rank move.
     """
@@ -319,8 +416,7 @@ def randomised_svd(rows: DataFrame, n_terms: int, rank: int) -> np.ndarray:
             total = np.zeros((n_terms, width))
             for batch in batches:
                 for terms, weights in zip(batch["terms"], batch["weights"], strict=True):
-                    inner = weights @ base[terms]
-                    np.add.at(total, terms, np.outer(weights, inner))
+                    total[terms] += np.outer(weights, weights @ base[terms])
             used = np.flatnonzero(total.any(axis=1))
             out = pd.DataFrame(total[used], columns=names)
             out.insert(0, "term", used.astype(np.int32))
@@ -347,60 +443,57 @@ def rank_for(n_passages: int) -> int:
     return max(RANK, -(-n_passages * RANK // BLOCK_PASSAGES))
 
 
-def sample_of(docs: DataFrame, text: str, n_docs: int) -> DataFrame:
-    """Distinct texts, drawn by hash, that help to fit every space: written once for all blocks.
+def sample_of(docs: DataFrame, text: str, n_docs: int | None = None) -> DataFrame:
+    """The texts that help to fit every space: all distinct ones, written once for all blocks.
 
-    SAMPLE_DOCUMENTS of them are expected if all texts differ, and fewer if not: copies of a
-    drawn text are merged where they are read, before the shuffle.
+    Nothing is drawn, whatever the number of documents. Copies are merged where they are read,
+    before the shuffle.
     """
-    share = min(1.0, SAMPLE_DOCUMENTS / max(1, n_docs))
-    draw = F.pmod(F.xxhash64(col(text)), F.lit(1 << 30))
-    return stored(docs.where(col(text).isNotNull() & (draw < int(share * (1 << 30)))).select(
+    return stored(docs.where(col(text).isNotNull()).select(
         col(text).alias("text")).dropDuplicates())
 
 
-def fitted(sample: DataFrame, items: list[Item], seen: dict[str, int]) -> Space:
+def fitted(texts: DataFrame, n_codes: int, items: list[Item], seen: dict[int, int]) -> Space:
     """Weights from the frequencies over all documents, and the latent space of one block.
 
-    Short items take no part in it: they are looked up as lines.
+    The space is that of the items' passages and, with less weight, of the passages of all
+    distinct ``texts``. Short items take no part in it: they are looked up as lines.
     """
-    n_docs = seen.get("", 0)
+    n_docs = seen.get(0, 0)
     words = [item.words if len(item.words) >= SHORT else [] for item in items]
-    lines: dict[tuple[str, ...], list[int]] = {}
-    for i, item in enumerate(items):
-        if SHORT_LINE <= len(item.words) < SHORT:
-            lines.setdefault(tuple(item.words), []).append(i)
     terms = sorted({w for own in words for w in own
                     if seen.get(w, 0) <= COMMON_LEAST + COMMON * n_docs})
     vocabulary = {w: i for i, w in enumerate(terms)}
-    idf = np.array([np.log((1 + n_docs) / (1 + seen.get(w, 0))) + 1 for w in terms])
-    spark = sample.sparkSession
-
-    def unit_rows(found: Sequence[Sequence[str]], scale: float) -> pd.DataFrame:
-        at, numbers, _, _ = passages(found, vocabulary)
-        some, begins = np.unique(at, return_index=True)
-        out = []
-        for own in np.split(numbers, begins[1:]) if len(some) else []:
-            distinct, counts = np.unique(own, return_counts=True)
-            weights = counts * idf[distinct]
-            out.append((distinct, scale * weights / np.linalg.norm(weights)))
-        return pd.DataFrame(out, columns=["terms", "weights"])
-
-    def sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield unit_rows([words_of(t or "") for t in batch["text"]], SAMPLE_WEIGHT)
-
     if not terms:
         return Space(items, {}, np.zeros((0, 1), np.float32), np.zeros((0, 1), np.float32),
-                     np.zeros(0, np.int64), frequent(items, vocabulary), lines)
-    kind = "terms array<int>, weights array<double>"
-    own = unit_rows(words, 1.0)
-    local = spark.createDataFrame(
-        [(t.tolist(), w.tolist()) for t, w in own.itertuples(index=False)], kind)
-    rows = stored(local.union(spread(sample).mapInPandas(sampled, kind)))
-    basis = (randomised_svd(rows, len(terms), rank_for(len(own))) * idf[:, None]).astype(np.float32)
+                     np.zeros(0, np.int64), frequent(items, vocabulary))
+    idf = np.array([np.log((1 + n_docs) / (1 + seen.get(w, 0))) + 1 for w in terms])
+
+    at, numbers, _, _ = passages(words, vocabulary)
+    begins = np.unique(at, return_index=True)[1]
+    rows = []
+    for part in np.split(numbers, begins[1:]):
+        distinct, counts = np.unique(part, return_counts=True)
+        weights = counts * idf[distinct]
+        rows.append((distinct, weights / np.linalg.norm(weights)))
+
+    # The texts are summed up along the leading directions of the items.
+    rank = rank_for(len(rows))
+    base = np.random.default_rng(7).standard_normal(
+        (len(terms), min(rank + OVERSAMPLING, len(terms))))
+    for _ in range(ROUNDS):
+        turned = np.zeros_like(base)
+        moments(words, vocabulary, idf, np.linalg.qr(base)[0], turned)
+        base = np.linalg.qr(turned)[0]
+    weight = TEXT_WEIGHT * np.sqrt(min(1.0, FULL_WEIGHT_DOCUMENTS / max(1, n_docs)))
+    rows += [(np.flatnonzero(r), weight * r[r != 0])
+             for r in document_rows(texts, n_codes, vocabulary, idf, base)]
+    local = pa.table({"terms": pa.array([t for t, _ in rows], pa.list_(pa.int32())),
+                      "weights": pa.array([w for _, w in rows], pa.list_(pa.float64()))})
+    rows = stored(texts.sparkSession.createDataFrame(local).coalesce(FIT_TASKS))
+    basis = (randomised_svd(rows, len(terms), rank) * idf[:, None]).astype(np.float32)
     vectors, owner, _ = projected(words, vocabulary, basis, least=1)
-    return Space(items, vocabulary, basis, vectors, owner, frequent(items, vocabulary), lines)
+    return Space(items, vocabulary, basis, vectors, owner, frequent(items, vocabulary))
 
 
 def keyed_items(benchmark: DataFrame, text: str, key: str, answer: str | None) -> DataFrame:
@@ -443,6 +536,48 @@ def item_blocks(keyed: DataFrame) -> Iterator[list[Item]]:
         yield from blocks.values()
 
 
+def searched(rows: DataFrame, blocks: Sequence[list[Item]], added: str) -> DataFrame:
+    """``__key, digest`` and what is found of the items of one pass, written as a table."""
+    spark = rows.sparkSession
+    words = sorted({w for b in blocks for i in b for w in (*i.words, *i.answer)})
+    codes = {w: k for k, w in enumerate(words, 1)}
+    path = scratch_path(spark, "codes")
+    coded(rows if words else rows.where(F.lit(False)), codes,
+          lines_of(chain.from_iterable(blocks))).write.parquet(path)
+    pass_rows = spark.read.parquet(path)
+    texts = sample_of(pass_rows, "codes")
+    seen = document_frequencies(pass_rows, len(codes))
+    spaces = [fitted(texts, len(codes), [i._replace(
+        words=[codes[w] for w in i.words], answer=[codes[w] for w in i.answer])
+        for i in items], seen) for items in blocks]
+    checks = [[check_of(item) for item in space.items] for space in spaces]
+    kind = code_type(len(codes))
+
+    schema = T.StructType([*pass_rows.select("__key", "digest").schema.fields,
+                           *T._parse_datatype_string(added).fields])
+    arrow = to_arrow_schema(schema)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column("codes").to_pylist()
+            found = [[{"item": item, "cosine": None, "item_share": 1.0, "answer_share": 0.0}
+                      for item in own] for own in batch.column("lines").to_pylist()]
+            for begin, end in chunks(bodies, CHUNK_BYTES):
+                for t, item, cosine, share, answered in matches(
+                        [np.frombuffer(c, kind).tolist() for c in bodies[begin:end]], spaces, checks):
+                    found[begin + t].append({"item": item.item, "cosine": cosine,
+                                             "item_share": share, "answer_share": answered})
+            some = pa.array([i for i, f in enumerate(found) if f], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(name).take(some) for name in ("__key", "digest")),
+                 pa.array([f for f in found if f], arrow.field("found").type)], schema=arrow)
+
+    hits = stored(pass_rows.mapInArrow(search, schema).select(
+        "__key", "digest", F.explode("found").alias("f")))
+    drop_folder(spark, path)
+    return hits
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id",
                item_text: str = "text", item_key: str = "item_id",
                answer: str | None = None) -> DataFrame:
@@ -451,7 +586,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     The benchmark is the stated query set: it is searched in blocks of bounded size, PASS_BLOCKS
     of them in one pass over the documents. A block's terms are weighted by their document
     frequency over all documents; a randomised SVD over its TF-IDF passages, together with
-    those of a bounded sample of distinct texts, gives the latent space. Every passage of every
+    those of all distinct texts, gives the latent space. Every passage of every
     document is projected and compared with the items; passages above the cosine threshold
     are verified: VERBATIM of the item's words must be there in order, or PARAPHRASE of them
     and ANSWER of its answer (the ``answer`` column, else the last sentence of the item).
@@ -462,8 +597,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     answer. If that is still short, it is found only where its words are a whole line of the
     text, and not at all with fewer than SHORT_LINE words, which prove nothing.
 
-    Two passes over the texts, no shuffle of them. ``digest`` is the text's MD5, by which
-    repeated keys can be told apart. NULL and empty texts and items match nothing; equal items
+    Texts are read once a pass and not shuffled: their words are written as codes, which are
+    counted, made distinct for the fit, searched, and dropped. ``digest`` is the text's MD5, by
+    which repeated keys can be told apart. NULL and empty texts and items match nothing; equal items
     are searched once, and repeated documents or items are each reported; of several places of
     an item in a text the best counts, ties by the first; an empty table gives no rows; extra
     columns are left out.
@@ -472,26 +608,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     rows = docs.select(col(key).alias("__key"), col(text).alias("text"),
                        F.md5(col(text).cast("binary")).alias("digest"))
     added = "found array<struct<item: string, cosine: double, item_share: double, answer_share: double>>"
-    sample = out = None
+    hits = []
     passes = batched(item_blocks(keyed), PASS_BLOCKS)
     for some in chain([next(passes, ())], passes):
-        spaces = []
-        if some:
-            seen = document_frequencies(docs, text, {w for b in some for i in b for w in i.words})
-            sample = sample_of(docs, text, seen.get("", 0)) if sample is None else sample
-            spaces = [fitted(sample, items, seen) for items in some]
-        checks = [[check_of(item) for item in space.items] for space in spaces]
-
-        def work(texts: list[str], spaces=spaces, checks=checks) -> dict[str, list]:
-            found: list[list[dict]] = [[] for _ in texts]
-            for t, item, cosine, share, answered in matches(texts, spaces, checks):
-                found[t].append({"item": item.item, "cosine": cosine,
-                                 "item_share": share, "answer_share": answered})
-            return {"found": found}
-
-        hits = map_texts(rows, work, added, ("__key", "digest")).select(
-            "__key", "digest", F.explode("found").alias("f"))
-        out = hits if out is None else out.union(hits)
+        hits.append(searched(rows, some, added))
+    out = reduce(DataFrame.union, hits)
     named = keyed.select("item", F.col("key").alias("item_id"))
     return out.select("__key", "digest", "f.*").join(named, "item").select(
         col("__key").alias(key), "digest", "item_id", "cosine", "item_share", "answer_share")

@@ -482,6 +482,36 @@ def test_the_fitting_sample_holds_no_copies(spark, documents):
     assert sample.count() == sample.distinct().count() <= 51
 
 
+def test_all_distinct_texts_help_to_fit(spark, documents):
+    rows = [(k, f"text {k}") for k in range(6000)] + [(7000 + k, "text 1") for k in range(100)]
+    assert decontamination.sample_of(documents(rows), "text", 6100).count() == 6000
+
+
+def test_sums_over_all_documents_match_brute_force(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = {k + 1: k for k in range(9)}  # codes 10 to 12 have no weight
+    idf = 1 + rng.random(9)
+    bodies = [rng.integers(0, 13, n).tolist() for n in (0, 1, 32, 33, 64, 65, 200, *[40] * 60)]
+    kind = decontamination.code_type(12)
+    texts = spark.createDataFrame(
+        [(bytearray(np.array(b, kind).tobytes()),) for b in bodies], "text binary").repartition(5)
+    want = np.zeros((9, 9))
+    for body in bodies:
+        for f in range(0, len(body), decontamination.STRIDE):
+            row = np.zeros(9)
+            for w in body[f:f + decontamination.WINDOW]:
+                if w in vocabulary:
+                    row[vocabulary[w]] += idf[vocabulary[w]]
+            if row.any():
+                want += np.outer(row, row) / (row @ row)
+    base = np.linalg.qr(rng.standard_normal((9, 9)))[0]
+    rows = decontamination.document_rows(texts, 12, vocabulary, idf, base)
+    np.testing.assert_allclose(rows.T @ rows, want, rtol=1e-3, atol=1e-3)
+    total = np.zeros((9, 9))
+    decontamination.moments(bodies, vocabulary, idf, base, total)
+    np.testing.assert_allclose(total, want @ base, atol=1e-9)
+
+
 def test_recall_over_several_blocks(spark, documents, monkeypatch):
     monkeypatch.setattr(decontamination, "BLOCK_PASSAGES", 60)
     monkeypatch.setattr(decontamination, "PASS_BLOCKS", 2)
