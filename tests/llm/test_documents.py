@@ -487,6 +487,15 @@ def test_all_distinct_texts_help_to_fit(spark, documents):
     assert decontamination.sample_of(documents(rows), "text", 6100).count() == 6000
 
 
+def test_sums_of_runs_match_reduceat():
+    rng = np.random.default_rng(4)
+    matrix, numbers = rng.standard_normal((30, 4)), rng.integers(0, 30, 900)
+    for begins in ([0], [0, 1, 2, 18, 19, 400], np.arange(900), np.arange(0, 900, 17)):
+        begins = np.array(begins)
+        np.testing.assert_allclose(decontamination.run_sums(matrix, numbers, begins),
+                                   np.add.reduceat(matrix[numbers], begins, axis=0), atol=1e-9)
+
+
 def test_sums_over_all_documents_match_brute_force(spark):
     rng = np.random.default_rng(5)
     vocabulary = {k + 1: k for k in range(9)}  # codes 10 to 12 have no weight
