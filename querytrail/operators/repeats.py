@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
 from .joins import null_safe_join
 
+MARK = "_mark"
+
 
 def keep_repeating_rows(df: DataFrame, row_id: str = "row_id",
                         anchor: str | None = None) -> DataFrame:
@@ -52,6 +54,26 @@ def _cells(df: DataFrame, columns: Sequence[str], row_id: str) -> DataFrame:
 
 
 def without_exact_copies(df: DataFrame, row_id: str = "row_id") -> DataFrame:
-    """The first of each set of rows equal in all columns but ``row_id``."""
+    """The first of each set of rows equal in all columns but ``row_id``.
+
+    Equal rows have equal marks. So rows are counted by mark, without their contents, and only
+    those that share a mark are grouped by all columns.
+    """
     columns = [c for c in df.columns if c != row_id]
-    return df.groupBy(*columns).agg(F.min(row_id).alias(row_id)).select(*df.columns)
+    marked = df.withColumn(MARK, row_mark(df, columns))
+    shared = stored(marked.groupBy(MARK).agg(F.count(F.lit(1)).alias("rows"))
+                    .where(F.col("rows") > 1).select(MARK))
+    if shared.isEmpty():
+        return df
+    grouped = marked.join(shared, MARK, "left_semi").groupBy(*columns).agg(
+        F.min(row_id).alias(row_id))
+    return marked.join(shared, MARK, "left_anti").select(*df.columns).union(
+        grouped.select(*df.columns))
+
+
+def row_mark(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A whole number that rows equal in ``columns`` share; others rarely do."""
+    kinds = dict(df.dtypes)
+    # -0.0 and 0.0 are equal, but not bit by bit.
+    return F.xxhash64(*[F.col(c) + F.lit(0.0) if kinds[c] in ("float", "double") else F.col(c)
+                        for c in columns])
