@@ -9,7 +9,8 @@ from ..functions import text as X
 from ..functions.columns import present, without_empty_columns
 from ..functions.timecols import as_integer, as_number, datetime_text, parse_datetime
 from ..operators.joins import null_safe_join
-from ..operators.repeats import keep_repeating_rows, without_exact_copies
+from ..operators.repeats import MARK, keep_repeating_rows, row_mark, without_exact_copies
+from ..session import stored
 
 # The columns that make a row usable, name a session, or describe
 # when a query was sent rather than what it says.
@@ -49,8 +50,9 @@ def clean_query_log(log: DataFrame, mode: str = "any_column",
         *[F.lower(datetime_text(F.col(c)) if c == "TIMESTAMP_FORMATTED"
                   else F.col(c).cast("string")).alias(c)
           for c in usable.columns if c != ROW_ID])
-    return null_safe_join(lowered, single_content_sessions(lowered),
-                          present(lowered, SESSION_COLUMNS), "left_anti")
+    # Written first: the planner then knows whether the log must be shuffled for them.
+    alike = stored(single_content_sessions(lowered))
+    return null_safe_join(lowered, alike, present(lowered, SESSION_COLUMNS), "left_anti")
 
 
 def single_content_sessions(log: DataFrame) -> DataFrame:
@@ -60,10 +62,17 @@ def single_content_sessions(log: DataFrame) -> DataFrame:
                if c not in (*SESSION_COLUMNS, *TIMING_COLUMNS, ROW_ID)]
     if not content:
         return log.select(*session).distinct()
+    # Rows that agree have the same mark, so contents are compared only where all marks agree.
+    marks = log.select(*session, row_mark(log, content).alias(MARK)).groupBy(*session).agg(
+        F.min(MARK).alias("least"), F.max(MARK).alias("most"), F.count(F.lit(1)).alias("rows"))
+    alike = stored(marks.where(F.col("least") == F.col("most")).select(*session, "rows"))
+    several = alike.where(F.col("rows") > 1).select(*session)
     # All rows agree if the least and the greatest do; in a struct NULL is a value.
     row = F.struct(*content)
-    return (log.groupBy(*session).agg(F.min(row).alias("least"), F.max(row).alias("most"))
-            .where(F.col("least") == F.col("most")).select(*session))
+    agreed = (null_safe_join(log, several, session, "left_semi")
+              .groupBy(*session).agg(F.min(row).alias("least"), F.max(row).alias("most"))
+              .where(F.col("least") == F.col("most")).select(*session))
+    return alike.where(F.col("rows") == 1).select(*session).union(agreed)
 
 
 def clean_response_log(log: DataFrame, mode: str = "any_column",

@@ -7,6 +7,7 @@ from conftest import rows_of
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from querytrail.operators.repeats import without_exact_copies
 from querytrail.plans import audit, clean, effect, jobs, sessions, skills
 
 LOG = "row_id long, JOB_ID string, MESSAGE_ID string, QUERY_COUNTER int, TIMESTAMP long, " \
@@ -40,6 +41,28 @@ def test_clean_query_log_exact_copies(frame):
         ("a", "one"), ("a", "two")]
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_copies_are_grouped_only_where_marks_are_shared(frame):
+    kind = "row_id long, a string, b double"
+    rows = [(5, "x", 0.0), (3, "x", -0.0), (None, None, 1.0), (7, None, 1.0), (1, "y", None), (1, "z", None)]
+    kept = without_exact_copies(frame(rows, kind))
+    assert rows_of(kept) == sorted([(3, "x", 0.0), (7, None, 1.0), (1, "y", None), (1, "z", None)],
+                                   key=lambda r: [(v is None, str(v)) for v in r])
+    assert "Exchange" not in plan_of(without_exact_copies(frame(rows[1:3], kind)))
+
+
+def test_contents_are_compared_only_where_marks_agree(frame):
+    log = frame(log_rows(("a", "0", 1, 5, "one"), ("b", "0", 1, 5, None), ("b", "0", 2, 6, None),
+                         ("c", "0", 1, 5, None), ("c", "0", 2, 6, "x"), ("c", "1", 3, 7, "x"),
+                         (None, "0", 1, 5, "q"), (None, "0", 2, 5, "q")), LOG)
+    found = clean.single_content_sessions(log)
+    assert rows_of(found) == [("a", "0"), ("b", "0"), ("c", "1"), (None, "0")]
+    assert "LeftSemi" in plan_of(found)
+
+
 def test_clean_response_log(frame):
     log = frame([(1, "a", 1, 10, 0, "2021-01-01 00:00:00"), (2, "b", None, 11, 0, "x"),
                  (3, "b", 2, 12, 0, "bad"), (4, "c", 3, 13, 7, "2021-01-01 10:00:00")],
