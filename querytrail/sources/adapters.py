@@ -110,9 +110,10 @@ def query_log(t: Tables) -> DataFrame:
     share a word. Documents and events are joined before the queries are exploded, so the
     rows of the log are not shuffled.
     """
-    # explode() of the single array makes a document be split once, not for every query.
-    words = spread(t.documents.select("doc_id", "text"), "doc_id").select(
-        "doc_id", F.explode(F.array(F.split(F.lower("text"), WORD_BREAK))).alias("words"))
+    # Texts are shuffled and sorted as they are, and split after that, below the join: arrays
+    # of words take several times their room. A document is split once, not for every query.
+    words = t.documents.select("doc_id", "text").repartition("doc_id").sortWithinPartitions(
+        "doc_id").select("doc_id", F.split(F.lower("text"), WORD_BREAK).alias("words"))
 
     def cut(low: Column, high: Column, part: Column, parts: Column) -> tuple[Column, Column]:
         begin = low + F.floor((high - low) * part / parts)

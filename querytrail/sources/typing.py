@@ -38,16 +38,19 @@ def as_datetime(value: Column) -> Column:
 
 def bits(value: Column) -> Column:
     """One bit for every type that a text fits; NULL where there is no text."""
-    whole = value.rlike(WHOLE) & value.try_cast("long").isNotNull()
-    fits = {
-        "logical": value.isin(*TRUE, *FALSE),
-        "integer": whole,
-        "double": value.rlike(NUMBER) & (F.abs(value.try_cast("double")) <= 1.7976931348623157e308),
-        "date": value.rlike(DATE) & as_date(value).isNotNull(),
-        "datetime": value.rlike(DATETIME) & as_datetime(value).isNotNull(),
-    }
-    return F.when(value.isNotNull(), sum(
-        (F.when(fits[t], F.lit(1 << i)).otherwise(0) for i, t in enumerate(TYPES)), F.lit(0)))
+    def bit(kind: str, fits: Column) -> Column:
+        return F.when(fits, F.lit(1 << TYPES.index(kind))).otherwise(0)
+
+    # Each pattern is tried only where a wider one holds: a whole number is a number, a date
+    # may be a date-time without time, and all of them begin with a digit, a sign or a point.
+    number = F.when(value.rlike(NUMBER), bit(
+        "double", F.abs(value.try_cast("double")) <= 1.7976931348623157e308) + bit(
+        "integer", value.rlike(WHOLE) & value.try_cast("long").isNotNull())).otherwise(0)
+    time = F.when(F.substring(value, 5, 1).isin("-", "/") & value.rlike(DATETIME), bit(
+        "datetime", as_datetime(value).isNotNull()) + bit(
+        "date", value.rlike(DATE) & as_date(value).isNotNull())).otherwise(0)
+    return F.when(value.isNotNull(), bit("logical", value.isin(*TRUE, *FALSE)) + F.when(
+        F.ascii(value).between(ord("+"), ord("9")), number + time).otherwise(0))
 
 
 def type_of(shared: int | None) -> str:
