@@ -552,6 +552,54 @@ def test_passages_are_the_sums_of_their_words():
         np.testing.assert_allclose(got[place], vector, rtol=1e-4, atol=1e-4)
 
 
+def test_codes_are_those_of_the_words():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["", " ", "...", "One two,three_4", " a\x00b\tc\x1fd ", "\u212a,a", "\u0130.X", "\u039f\u03a3's",
+             "don\u2019t \u201cstop\u201d", "".join(f"a{p}B " for p in points), "\n".join(points)]
+    words = sorted({w for t in texts for w in decontamination.words_of(t)})
+    for known in (words, words[:60000], words[::7], []):
+        codes = {w: k for k, w in enumerate(known, 1)}
+        kind = decontamination.code_type(len(known))
+        got = [np.frombuffer(c, kind).tolist() for c in decontamination.codes_of(texts, known)]
+        assert got == [[codes.get(w, 0) for w in decontamination.words_of(t)] for t in texts]
+
+
+def test_coded_words_are_looked_up_alike():
+    rng = np.random.default_rng(6)
+    vocabulary = {int(c): k for k, c in enumerate(rng.permutation(np.arange(1, 40))[:25])}
+    arrays = [rng.integers(0, n, 90).astype(np.uint16) for n in (1, 12, 60)]
+    for own in (arrays, arrays[:1], [a[:0] for a in arrays]):
+        lists = [a.tolist() for a in own]
+        for known in (vocabulary, {}):
+            got = decontamination.numbered(own, known)
+            assert got.tolist() == decontamination.numbered(lists, known).tolist()
+            assert got.tolist() == [known.get(w, -1) for a in lists for w in a]
+
+
+def test_regions_without_the_words_are_not_aligned(monkeypatch):
+    item = decontamination.Item("x", [f"w{k}" for k in range(20)], [], 0)
+    check = decontamination.check_of(item)
+    body = ["other"] * 100 + item.words + ["other"] * 100
+    assert decontamination.judged(check, body) == (1.0, 0.0)
+    monkeypatch.setattr(decontamination, "common_subsequence", None)
+    assert decontamination.judged(check, ["other"] * 100 + item.words[:12] * 3) is None
+
+
+def test_a_place_is_verified_once_an_item(monkeypatch):
+    calls = []
+    monkeypatch.setattr(decontamination, "verified",
+                        lambda check, words, first: calls.append((check, first)))
+    words = list(range(1, 97))  # three strides, and an item of three alike passages
+    vocabulary = {w: k for k, w in enumerate(words)}
+    basis = np.eye(96, dtype=np.float32)
+    vectors, _, _ = decontamination.projected([words], vocabulary, basis)
+    item = decontamination.Item("x", words, [], 0)
+    space = decontamination.Space([item], vocabulary, basis, vectors, np.zeros(3, np.int64), [])
+    found = [np.array(words, np.uint16)]
+    assert not list(decontamination.matches(found, [space], [["check"]]))
+    assert sorted(calls) == [("check", 0), ("check", 32), ("check", 64)]
+
+
 def test_subsequence_matches_dynamic_programming():
     rng = random.Random(9)
     for _ in range(200):
