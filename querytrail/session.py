@@ -6,6 +6,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,6 +24,7 @@ _LOCAL: list[tempfile.TemporaryDirectory] = []
 _DUE: set[str] = set()
 
 TASK_BYTES = 128 * 1024 * 1024
+COMPILED_BYTES = 8000  # Fixed value: the longest method that HotSpot compiles.
 
 
 def sized_for(input_bytes: int) -> dict[str, str]:
@@ -44,6 +47,22 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """Write wide tables of long expressions with code that the JVM compiles.
+
+    HotSpot interprets a method of over 8,000 bytes however often it runs, and a stage is one
+    method. Under this setting Spark cuts such a stage into a method per expression.
+    """
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(COMPILED_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def build_session(app_name: str = "querytrail", master: str | None = None,
                   settings: dict[str, str] | None = None) -> SparkSession:
     """A configured session; cluster settings come from the submit command."""

@@ -6,6 +6,7 @@ import os
 
 import pytest
 from conftest import rows_of
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from querytrail import run
@@ -210,3 +211,47 @@ def test_joining_bits_in_any_order_gives_the_same_type():
             assert typing.type_of(a & b) == typing.type_of(b & a)
             assert typing.type_of(a & a) == typing.type_of(a)
     assert typing.type_of(None) == "logical" and typing.type_of(0) == "text"
+
+
+def test_cells_are_tested_by_code_that_is_compiled_and_with_few_patterns(spark, tmp_path, monkeypatch):
+    path = tmp_path / "wide.csv"
+    names = [f"c{i}" for i in range(12)]
+    path.write_text(",".join(names) + "\n" + ",".join(["2021-02-28"] * 12) + "\n")
+    limit, write, seen = "spark.sql.codegen.hugeMethodLimit", DataFrameWriter.parquet, []
+
+    def noted(writer, *args, **options):
+        plan = writer._df._jdf.queryExecution().optimizedPlan().toString()
+        seen.append((int(spark.conf.get(limit)), plan.count("RLIKE") / len(names)))
+        return write(writer, *args, **options)
+
+    before = spark.conf.get(limit)
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    log = logs.load_log(spark, str(path), infer=True)
+    assert seen == [(8000, 2)] and spark.conf.get(limit) == before
+    assert {kind for _, kind in log.dtypes} == {"date"}
+
+    def broken(writer, *args, **options):
+        raise OSError
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", broken)
+    with pytest.raises(OSError):
+        logs.load_log(spark, str(path), infer=True)
+    assert spark.conf.get(limit) == before
+
+
+WHOLE, NUMBER, DAY, TIME = 0b00110, 0b00100, 0b11000, 0b10000
+ODD_CELLS = {
+    "0": WHOLE, "-0": WHOLE, "+7": WHOLE, "12\n": WHOLE, "-9223372036854775808": WHOLE,
+    "-9223372036854775809": NUMBER, "1e5": NUMBER, "1E+5": NUMBER, "5.": NUMBER, "-.5": NUMBER,
+    "1.5e-3": NUMBER, "1234e-5": NUMBER, "1e999": 0, "00": 0, "-01": 0, "1e": 0, ".": 0, "+": 0,
+    "1d": 0, "NaN": 0, "0x1F": 0, "\u0663": 0, "": 0, " 1": 0, "T": 1, "false": 1, "False": 0,
+    "3118-20240117": 0, "2021-2-3": DAY, "2021/02-03": DAY, "2021-02-28\r\n": DAY, "2021-02-30": 0,
+    "20210228": WHOLE, "2021-1-1 1:1:1": TIME, "2021/1/1T1:1:1.5Z": TIME, "2021-1-1 25:1:1": 0,
+    "2021-1-1 1:1:1 ": 0, "2021-1-1 1:1": 0, "2021-1-1T1:1:1+02:00": TIME, "x": 0, None: None,
+}
+
+
+def test_types_of_odd_cells(spark):
+    df = spark.createDataFrame([(text,) for text in ODD_CELLS], "v string")
+    found = df.select("v", typing.bits(F.col("v")).alias("bits")).collect()
+    assert {r.v: r.bits for r in found} == ODD_CELLS
