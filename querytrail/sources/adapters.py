@@ -55,8 +55,11 @@ def _visits(t: Tables, doc: Column) -> Column:
 
 
 def _queries(visits: Column) -> Column:
-    """Queries of one visit, by the document's length alone, so that no text is read for it."""
-    share = F.floor(F.coalesce("n_chars", F.lit(0)) / visits)
+    """Queries of one visit, by the document's length alone, so that no text is read for it.
+
+    NULL for a document without a visit, as where documents outnumber events.
+    """
+    share = F.floor(F.coalesce("n_chars", F.lit(0)) / F.nullif(visits, F.lit(0)))
     return (F.floor(share / QUERY_CHARS) + 1).cast("int")
 
 

@@ -94,10 +94,13 @@ def load_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV part files with a header; NULL is written as ``NA``, no row names."""
+def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
+    """CSV part files with a header; NULL is written as ``NA``, no row names.
+
+    ``load_log`` reads compressed files as it reads plain ones.
+    """
     (df.write.option("header", True).option("nullValue", MISSING_MARK)
-     .option("emptyValue", "").option("escape", '"').csv(path))
+     .option("emptyValue", "").option("escape", '"').option("compression", compression).csv(path))
 
 
 def write_parquet(df: DataFrame, path: str) -> None:

@@ -255,3 +255,17 @@ def test_types_of_odd_cells(spark):
     df = spark.createDataFrame([(text,) for text in ODD_CELLS], "v string")
     found = df.select("v", typing.bits(F.col("v")).alias("bits")).collect()
     assert {r.v: r.bits for r in found} == ODD_CELLS
+
+
+def test_a_packed_log_is_read_as_a_plain_one(spark, tmp_path):
+    rows = [("a\nb", "1", None), ('"x", y', "2.5", "2021-01-01"), ("", "3", "2021-1-2")]
+    df = spark.createDataFrame(rows * 200, "text string, number string, day string").coalesce(1)
+    logs.write_csv(df, str(tmp_path / "plain"))
+    logs.write_csv(df, str(tmp_path / "packed"), "lz4")
+    plain, packed = (logs.load_log(spark, str(tmp_path / name), infer=True, row_id=True)
+                     for name in ("plain", "packed"))
+    assert packed.dtypes == plain.dtypes and rows_of(packed) == rows_of(plain)
+    assert packed.count() == 600 and packed.schema["day"].dataType.simpleString() == "date"
+    size = {name: sum(f.stat().st_size for f in (tmp_path / name).glob("part-*"))
+            for name in ("plain", "packed")}
+    assert size["packed"] < size["plain"] / 5

@@ -8,8 +8,9 @@ import pytest
 
 from querytrail import session as S
 from querytrail.plans import clean
+from querytrail.plans.registry import QUERIES
 from querytrail.session import sized_for, stored
-from querytrail.sources import logs
+from querytrail.sources import adapters, logs
 
 
 def write(path, text):
@@ -148,3 +149,20 @@ def test_a_cluster_needs_a_shared_folder():
 def test_sized_for():
     assert sized_for(0)["spark.sql.shuffle.partitions"] == "200"
     assert sized_for(100 * 1024 ** 4)["spark.sql.shuffle.partitions"] == str(8 * 102400)
+
+
+def test_documents_without_an_event_are_not_in_the_log(spark, frame, tmp_path):
+    texts = [(0, "some words"), (1, "2021-01-01"), (2, "never visited"), (3, ""), (4, None)]
+    frame([(i, text, len(text or "")) for i, text in texts],
+          "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    frame([(0, 7), (1, 8)], "event_id long, user_id long").selectExpr(
+        "*", "timestamp_ntz'2024-01-02 03:04:05' as ts").write.parquet(f"{tmp_path}/events.parquet")
+    log = adapters.query_log(adapters.Tables(spark, str(tmp_path)))
+    assert rows_of(log, "row_id", "QUERY") == [
+        (0, "some and words"), (1, None), (1_000_000, "2021-01-01")]
+    types = QUERIES["log_column_types"](spark, str(tmp_path))
+    assert {r.column_name: (r.column_type, r.n_values) for r in types.collect()} == {
+        "row_id": ("integer", 3), "JOB_ID": ("text", 1), "MESSAGE_ID": ("integer", 3),
+        "QUERY_COUNTER": ("integer", 3), "TIMESTAMP": ("integer", 3),
+        "TIMESTAMP_FORMATTED": ("datetime", 3), "QUERY": ("text", 2), "HOUR": ("double", 3),
+        "DAY": ("date", 3), "EVEN": ("logical", 3), "CODE": ("text", 3)}
